@@ -1,0 +1 @@
+"""Operators of the engine; every module works on DataFrames and Columns."""

@@ -1,0 +1 @@
+"""Plans of the engine; every module works on DataFrames and Columns."""

@@ -1,0 +1 @@
+"""Sources of the engine; every module works on DataFrames and Columns."""

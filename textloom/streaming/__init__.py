@@ -1,0 +1 @@
+"""Streaming of the engine; every module works on DataFrames and Columns."""
