@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.storage import drop_stash, fresh_path, shared_dir, stash  # noqa: F401
 
@@ -45,3 +46,11 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
                 yield function(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def extended(schema: T.StructType, **added: str) -> T.StructType:
+    """A new schema with further nullable columns; added: name to type."""
+    fields = list(schema.fields)
+    for name, kind in added.items():
+        fields.append(T.StructField(name, T._parse_datatype_string(kind), True))
+    return T.StructType(fields)
