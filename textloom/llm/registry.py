@@ -4,19 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import simhash
+from textloom.llm import language, orderminhash, quality, simhash, tokens
 from textloom.llm.common import table
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.edit_probe(table(spark, sf_dir, "documents"))
+
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable."""
-    return {"op5_simhash_near_dedup": op5_simhash_near_dedup}
+    return {f.__name__: f for f in (op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
