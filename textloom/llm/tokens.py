@@ -10,6 +10,7 @@ Normalising for the digest undoes only what the tokenizer itself undoes (see
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
@@ -24,6 +25,7 @@ from textloom.llm.common import extended, fresh_path, keyed_text, map_slices, sl
 
 #: The pattern of tokenizers that drop white space and never join what it parts. Fixed value from the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LIBRARIES = {"json": "tokenizers", "tiktoken": "tiktoken", "model": "sentencepiece"}
 #: Word counts that a Python worker remembers before it starts anew.
 MEMO_WORDS = 400_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -49,7 +51,7 @@ def parts_at_white_space(path: str) -> bool:
 
 def tokenizer_digest(path: str) -> str:
     """Digest of the vocabulary file, the library's version and the way of counting."""
-    library = "tokenizers" if path.endswith(".json") else "sentencepiece"
+    library = LIBRARIES[path.rpartition(".")[2]]
     with open(path, "rb") as f:
         return hashlib.sha256(f.read() + f"|{library} {__import__(library).__version__}|plain".encode()).hexdigest()
 
@@ -67,6 +69,14 @@ class Counter:
             own.no_truncation()
             own.no_padding()
             self.encode = lambda texts: [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        elif path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [len(own.encode_ordinary(t)) for t in texts]
         else:
             from sentencepiece import SentencePieceProcessor
 
