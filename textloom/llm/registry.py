@@ -7,13 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, orderminhash, quality, simhash, tokens
+from textloom.llm import language, orderminhash, packing, privacy, quality, simhash, tokens
 from textloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Key of the registered queries' surrogates; a real run takes its own from a secret store.
+SURROGATE_KEY = b"textloom registered queries"
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.edit_probe(table(spark, sf_dir, "documents"))
 
@@ -34,9 +41,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_out="n_replaced")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable."""
-    return {f.__name__: f for f in (op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keyed_text, map_slices, stash
+from textloom.llm.common import extended, keyed_text, map_slices, stash
 from textloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -274,3 +274,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2) -> DataFrame:
+    """The rows of docs, with their columns, of the least doc_id of each near-duplicate component; of repeated rows of that id one stays.
+
+    Where a component has null ids only, one row of each of its fingerprints stays.
+    """
+    classes = near_duplicates(docs, doc_id, text, tau)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("__fp")).withColumnRenamed("doc_id", "__id")
+    named = docs.filter(F.col(doc_id).isNotNull()).join(kept.filter("__id is not null").select("__id"), F.col(doc_id) == F.col("__id")).drop("__id").dropDuplicates([doc_id])
+    nameless = classes.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+    if nameless.isEmpty():
+        return named
+    marked = _with_fingerprint(docs.filter(F.col(doc_id).isNull()), text)
+    rest = marked.join(nameless.withColumnRenamed("fingerprint", "__fp"), "__fp").dropDuplicates(["__fp"]).select(*docs.columns)
+    return named.unionByName(rest)
+
+
+def _with_fingerprint(docs: DataFrame, text: str) -> DataFrame:
+    at = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [f"{simhash(t):016x}" for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], [*batch.schema.names, "__fp"])
+
+    return map_slices(docs, run, extended(docs.schema, __fp="string"))
