@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, orderminhash, packing, privacy, quality, simhash, tokens
+from textloom.llm import language, licenses, orderminhash, packing, privacy, quality, sentencepiece, simhash, tokens
 from textloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.edit_probe(table(spark, sf_dir, "documents"))
 
@@ -41,15 +45,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_out="n_replaced")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_license_scan, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {}
+    return {"op9_license_scan": licenses.oracle()}
