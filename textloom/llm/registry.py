@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, licenses, orderminhash, packing, privacy, quality, sentencepiece, simhash, tokens
+from textloom.llm import language, licenses, orderminhash, packing, privacy, quality, sentencepiece, simhash, tokens, urls
 from textloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,9 +59,9 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_order_minhash, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_license_scan, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_order_minhash, op4_url_filter, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_license_scan, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {"op9_license_scan": licenses.oracle()}
+    return {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle()}
