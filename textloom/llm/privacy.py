@@ -87,7 +87,7 @@ PATTERN = re.compile(
     )
 )
 #: No pattern matches a text without one of these.
-_trigger = re.compile(rf"@|\d\d|\d\.\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|ghp_|gho_|sk-|xox")
+_trigger = re.compile(rf"@|\d\d|\d\.\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|A[KS]IA|ghp_|gho_|sk-|xox")
 
 
 def luhn(digits: str) -> bool:
