@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import language, packing, privacy, quality, simhash
-from textloom.llm.common import stash, table
+from textloom.llm.common import bounded_batches, stash, table
 from textloom.llm.registry import BYTE_VOCABULARY, PIECE_MODEL, SURROGATE_KEY
 
 #: Fertility, profiles, fingerprints, surrogates and packing have no SQL form; tests hold the stages against brute force.
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded_batches(spark)
     return quality.keep_good(docs, PIECE_MODEL)
 
 

@@ -15,8 +15,20 @@ from textloom.storage import drop_stash, fresh_path, shared_dir, stash  # noqa:
 SLICE_BYTES = 8 << 20
 
 
+#: Rows of an Arrow batch: whole texts of any length travel in batches, so these are kept short.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Shortens the session's Arrow batches to BATCH_ROWS rows, unless they are shorter already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table; read by Spark alone, so sf_dir may be in any store that Spark reaches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,7 +30,7 @@ FIGURES = {"chars_per_token": (100, 6400, 12, 6, 10_000), "byte_share": (1000, 1
 LEAST_DOCS = 30
 #: Bands (one for each language or script) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_BANDS = 10_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Rejection by the base rules. Fixed values of the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOLS = b"#*$%&|<>"

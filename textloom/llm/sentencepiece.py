@@ -32,7 +32,7 @@ from textloom.llm.common import keyed_text, slices, stash
 BLANK = "▁"
 #: Characters of a text beyond which it is cut, and of a chunk.
 GIANT, CHUNK = 100_000, 32_768
-MEMO_WORDS, MEMO_LENGTH = 600_000, 64
+MEMO_WORDS, MEMO_LENGTH = 400_000, 64
 #: Steps to one of a score, and bits of the tie below it.
 STEPS, TIE = 1 << 20, 96
 #: A character that no piece has costs this much more than the worst piece. Fixed value of the format.
