@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans import functions
+
 Query = Callable[[SparkSession, str], DataFrame]
-_modules: list = []
+_modules = [functions]
 
 
 def queries() -> dict[str, Query]:

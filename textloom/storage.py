@@ -34,7 +34,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as parquet in the shared folder and returns what was written: later plans start from files, not from df's lineage."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
