@@ -127,13 +127,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_MARKS = "n_chars long, edited_sha256 string, mark binary, edited_mark binary, near_edited double, near_next double"
+_MARKS = "n_chars long, edited_sha256 binary, mark binary, edited_mark binary, near_edited double, near_next double"
 
 
 def _probe(text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
     changed = edited(text, following)
     mark = own if changed == text else sketch(changed)
-    return len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes(), mark.tobytes(), likeness(own, mark), likeness(own, theirs)
+    return len(text), hashlib.sha256(changed.encode()).digest(), own.tobytes(), mark.tobytes(), likeness(own, mark), likeness(own, theirs)
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -157,7 +157,7 @@ def edit_probe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last_first = F.col("doc_id").desc_nulls_last()
     dealt = keyed.repartitionByRange(ranges, last_first).sortWithinPartitions(last_first, "text")
-    marks = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "mark": pa.binary(), "edited_mark": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    marks = {"n_chars": pa.int64(), "edited_sha256": pa.binary(), "mark": pa.binary(), "edited_mark": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
     first_pass = {"kind": pa.int32(), "range": pa.int32(), "doc_id": pa.int64(), "text": pa.string()} | marks
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def edit_probe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 yield _batch(rows, {"doc_id": pa.int64()} | marks)
 
     result = passed.filter(F.col("kind") == 0).select("doc_id", *marks).unionByName(edges.mapInArrow(close, f"doc_id long, {_MARKS}"))
-    return result.select("doc_id", "n_chars", "edited_sha256", _hex("mark").alias("fingerprint"), _hex("edited_mark").alias("edited_fingerprint"), "near_edited", "near_next")
+    return result.select("doc_id", "n_chars", _hex("edited_sha256").alias("edited_sha256"), _hex("mark").alias("fingerprint"), _hex("edited_mark").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _hex(column: str) -> Column:
