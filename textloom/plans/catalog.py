@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import functions
+from textloom.plans import evaluation, functions
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions]
+_modules = [functions, evaluation]
 
 
 def queries() -> dict[str, Query]:
