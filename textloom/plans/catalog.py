@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import evaluation, functions
+from textloom.plans import evaluation, functions, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions, evaluation]
+_modules = [functions, evaluation, retrieval]
 
 
 def queries() -> dict[str, Query]:
