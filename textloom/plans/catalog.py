@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import evaluation, functions, retrieval
+from textloom.plans import evaluation, functions, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions, evaluation, retrieval]
+_modules = [functions, evaluation, retrieval, texts]
 
 
 def queries() -> dict[str, Query]:
