@@ -23,13 +23,13 @@ def _sentence_end(text: str, start: int, target: int) -> int:
                 end += 1
             if end > start:
                 return end
-    return _word_start(text, target)
+    return _word_start(text, start, target)
 
 
-def _word_start(text: str, target: int) -> int:
+def _word_start(text: str, start: int, target: int) -> int:
     if target >= len(text):
         return len(text)
-    for i in range(target - 1, -1, -1):
+    for i in range(target - 1, start - 1, -1):
         if text[i].isspace():
             return i + 1
     return target
@@ -42,7 +42,7 @@ def chunk_text(text: str, size: int, overlap: int, sentences: bool = True) -> li
     out, at = [], 0
     while True:
         target = min(at + size, len(text))
-        end = len(text) if target >= len(text) else _sentence_end(text, at, target) if sentences else _word_start(text, target)
+        end = len(text) if target >= len(text) else _sentence_end(text, at, target) if sentences else _word_start(text, at, target)
         out.append((at, end))
         if end >= len(text):
             return out

@@ -123,7 +123,7 @@ def discover(spark: SparkSession, folder: str, max_files: int, max_bytes: int) -
                 left -= size
         return rows.loc[keep, ["path", "size", "mtime", "ext"]]
 
-    chosen = listed.groupBy(F.lit(1)).applyInPandas(fold, "path string, size long, mtime timestamp, ext string")
+    chosen = listed.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "path string, size long, mtime timestamp, ext string")
     return chosen.join(files.select("path", F.sha2(F.col("content"), 256).alias("sha256")), "path")
 
 

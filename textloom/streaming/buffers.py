@@ -78,7 +78,7 @@ def buffered_batch(fragments: DataFrame, most: int = MOST_BYTES) -> DataFrame:
 def parse_sse(frames: DataFrame, schema: str, frame: str = "frame") -> DataFrame:
     """Server-sent event frames: the event's name and its data lines, joined and parsed; [DONE] and comments have no data."""
     lines = F.split(F.col(frame), "\r?\n")
-    event = F.element_at(F.filter(lines, lambda x: x.startswith("event:")), 1)
+    event = F.try_element_at(F.filter(lines, lambda x: x.startswith("event:")), F.lit(1))
     data = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
     return frames.withColumn("event", F.trim(F.substring(event, F.lit(7), F.length(event)))).withColumn("data", F.when((data != "") & (data != "[DONE]"), F.from_json(data, schema)))
 
