@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import evaluation, functions, retrieval, texts
+from textloom.plans import evaluation, extraction, functions, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions, evaluation, retrieval, texts]
+_modules = [functions, evaluation, retrieval, texts, extraction]
 
 
 def queries() -> dict[str, Query]:
