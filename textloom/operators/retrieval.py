@@ -9,22 +9,26 @@ from textloom.functions import vectors
 
 #: Constant of reciprocal-rank fusion and of BM25, as published.
 RRF, K1, B = 60, 1.2, 0.75
-#: Queries up to which their vectors are sent to every task.
-BROADCAST_QUERIES = 1_000
+#: Queries of a block, whose vectors are sent to every task.
+BLOCK_QUERIES = 1_000
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Rows (query, vec_id, score, rank) of the k nearest vectors of each query by cosine; ties: the lesser id.
 
-    The stated queries (at most BROADCAST_QUERIES of them, checked) go to
-    every task and meet all vectors there; each task keeps k rows a query
+    The stated queries go in blocks of about BLOCK_QUERIES, of a checked size,
+    to every task and meet all vectors there; each task keeps k rows a query
     before anything is shuffled.
     """
     q = queries.select(F.col(vec_id).alias("query"), F.col(embedding).alias("__q"))
-    if (n := q.count()) > BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries; run them in blocks of at most {BROADCAST_QUERIES}")
-    pairs = corpus.select(vec_id, embedding).join(F.broadcast(q)).withColumn("score", vectors.cosine(F.col(embedding), F.col("__q")))
-    return _top(pairs.select("query", vec_id, "score"), "query", k, F.desc("score"), vec_id)
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    out = None
+    for block in range(blocks):
+        own = F.broadcast(q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block))
+        pairs = corpus.select(vec_id, embedding).join(own).select("query", vec_id, vectors.cosine(F.col(embedding), F.col("__q")).alias("score"))
+        top = _top(pairs, "query", k, F.desc("score"), vec_id)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def _top(df: DataFrame, by: str, k: int, *order) -> DataFrame:

@@ -149,7 +149,7 @@ def type_drift_kl(s, d):
 
 def type_divergence_js(s, d):
     docs = table(s, d, "documents")
-    return _r(drift.js_divergence(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "source"), "js")
+    return _r(drift.js_divergence(docs.filter("lang = 'en'"), docs.filter("lang <> 'en'"), "source"), "js")
 
 
 def vocabulary_drift(s, d):
@@ -158,7 +158,7 @@ def vocabulary_drift(s, d):
 
 def leakage_ratio(s, d):
     docs = table(s, d, "documents")
-    return _r(drift.leakage(docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 5 > 0"), "text"), "share")
+    return _r(drift.leakage(docs.filter("source = 'src0'"), docs.filter("source <> 'src0'"), "text"), "share")
 
 
 def train_redundancy(s, d):
@@ -200,9 +200,9 @@ ORACLE = {
     "ranking_scores": "WITH f AS (SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1) SELECT round(avg(coalesce(1 / f, 0)), 6) AS mrr, round(avg(coalesce((f = 1)::INT, 0)), 6) AS p_at_1, round(avg(coalesce((f <= 2)::INT, 0)), 6) AS hits FROM f",
     "prediction_windows": f"WITH {HISTORY_SQL}, {_windows} SELECT \"window\", count(*) AS n, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std, count(DISTINCT backend) AS kinds FROM w GROUP BY 1 HAVING count(*) = 300",
     "type_drift_kl": f"WITH {HISTORY_SQL}, p AS (SELECT dataset, count(*) / sum(count(*)) OVER () AS p FROM history WHERE f1 > 0.5 GROUP BY 1), q AS (SELECT dataset, count(*) / sum(count(*)) OVER () AS q FROM history WHERE f1 <= 0.5 GROUP BY 1) SELECT round(sum(p * ln(p / coalesce(q, 1e-10))), 6) AS kl FROM p LEFT JOIN q USING (dataset)",
-    "type_divergence_js": "WITH p AS (SELECT source, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), q AS (SELECT source, count(*) / sum(count(*)) OVER () AS q FROM documents WHERE doc_id % 2 = 1 GROUP BY 1), b AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, (coalesce(p, 0) + coalesce(q, 0)) / 2 AS m FROM p FULL JOIN q USING (source)) SELECT round((sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END)) / 2 / ln(2), 6) AS js FROM b",
+    "type_divergence_js": "WITH p AS (SELECT source, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE lang = 'en' GROUP BY 1), q AS (SELECT source, count(*) / sum(count(*)) OVER () AS q FROM documents WHERE lang <> 'en' GROUP BY 1), b AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, (coalesce(p, 0) + coalesce(q, 0)) / 2 AS m FROM p FULL JOIN q USING (source)) SELECT round((sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END)) / 2 / ln(2), 6) AS js FROM b",
     "vocabulary_drift": "WITH c AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM conversations), b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark) SELECT round(1 - count(b.w) / count(*), 6) AS drift FROM c LEFT JOIN b USING (w) WHERE c.w <> ''",
-    "leakage_ratio": "WITH t AS (SELECT DISTINCT lower(text) AS t FROM documents WHERE doc_id % 5 > 0) SELECT count_if(lower(text) IN (SELECT t FROM t))::BIGINT AS leaked, round(count_if(lower(text) IN (SELECT t FROM t)) / count(*), 6) AS share FROM documents WHERE doc_id % 5 = 0",
+    "leakage_ratio": "WITH t AS (SELECT DISTINCT lower(text) AS t FROM documents WHERE source <> 'src0') SELECT count_if(lower(text) IN (SELECT t FROM t))::BIGINT AS leaked, round(count_if(lower(text) IN (SELECT t FROM t)) / count(*), 6) AS share FROM documents WHERE source = 'src0'",
     "train_redundancy": "SELECT round(1 - count(DISTINCT lower(text)) / count(*), 6) AS redundancy FROM documents",
     "dataset_text_stats": "WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), l AS (SELECT len(w) AS n FROM w) SELECT (SELECT count(*) FROM l) AS texts, (SELECT sum(n)::BIGINT FROM l) AS words, (SELECT round(avg(n), 6) FROM l) AS mean, (SELECT round(stddev_pop(n), 6) FROM l) AS std, (SELECT list_sort(list(n))[count(*) // 2 + 1]::INT FROM l) AS median, (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM w)) AS distinct_words",
 }

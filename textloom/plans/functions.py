@@ -98,12 +98,12 @@ def code_switch_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mention_types(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("mention"))
+    first = table(spark, sf, "conversations").select("conv_id", "turn", F.element_at(F.split("text", " "), 1).alias("mention"))
     return first.select("conv_id", "turn", strings.mention_type(F.col("mention")).alias("type"))
 
 
 _pro = ", ".join(f"'{p}'" for p in strings.PRONOUNS)
-MENTION_SQL = f"""WITH m AS (SELECT conv_id, turn, substr(text, 1, 12) AS m FROM conversations)
+MENTION_SQL = f"""WITH m AS (SELECT conv_id, turn, string_split(text, ' ')[1] AS m FROM conversations)
 SELECT conv_id, turn, CASE WHEN trim(lower(m)) IN ({_pro}) THEN 'pronominal' WHEN regexp_matches(lower(m), '^({'|'.join(strings.DETERMINERS)}) ') THEN 'nominal'
 WHEN substr(ltrim(m), 1, 1) <> lower(substr(ltrim(m), 1, 1)) AND substr(ltrim(m), 1, 1) = upper(substr(ltrim(m), 1, 1)) THEN 'proper' ELSE 'nominal' END AS type FROM m"""
 

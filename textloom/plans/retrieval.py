@@ -103,7 +103,7 @@ def filtered_search(s, d):
 
 def vector_top_k(s, d):
     e = table(s, d, "embeddings")
-    top = retrieval.cosine_top_k(e, e.filter("vec_id < 20"), 5)
+    top = retrieval.cosine_top_k(e, e.filter("vec_id % 20 = 0"), 5)
     return top.select("query", "rank", F.round("score", 5).alias("score"))
 
 
@@ -242,7 +242,7 @@ ORACLE = {
     "keyword_top_k": f"WITH {_kw} SELECT * FROM kw WHERE rank <= 10",
     "hybrid_search_rrf": f"WITH {_kw}, {_stem}, f AS (SELECT query, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM kw WHERE rank <= 50 UNION ALL SELECT * FROM tr WHERE rank <= 50) GROUP BY ALL) SELECT query, doc_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 10",
     "filtered_search": f"WITH {_kw} SELECT kw.* FROM kw WHERE rank <= 50 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-    "vector_top_k": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, round(score, 5) AS score FROM p QUALIFY rank <= 5",
+    "vector_top_k": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, round(score, 5) AS score FROM p QUALIFY rank <= 5",
     "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 0) ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "folder_subtree": "WITH p AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '/')) AS p FROM pages) SELECT page_id FROM p WHERE p = '/m.free-bets.example.com' OR starts_with(p, '/m.free-bets.example.com/') OR p = '/blog.ththan.example.net/en' OR starts_with(p, '/blog.ththan.example.net/en/')",
     "memories_by_entity": f"WITH {MEM_SQL} SELECT id, kind FROM m0 WHERE list_has_any(refs, ['the', 'de', 'and']) AND valid_from <= 60 AND (valid_to IS NULL OR valid_to > 60) ORDER BY id LIMIT 100",
