@@ -131,7 +131,7 @@ def memory_recall(s, d):
 
 def memory_invalidate(s, d):
     m = memories(s, d)
-    return memory.invalidate(m, m.filter("id % 7 = 0").select("id"), F.lit(99).cast("bigint")).select("id", "valid_to")
+    return memory.invalidate(m, m.filter("id % 7 = 0").select("id"), F.lit(99).cast("bigint")).select("id", F.coalesce("valid_to", F.lit(-1)).alias("valid_to"))
 
 
 def memory_upsert(s, d):
@@ -248,7 +248,7 @@ ORACLE = {
     "memories_by_entity": f"WITH {MEM_SQL} SELECT id, kind FROM m0 WHERE list_has_any(refs, ['the', 'de', 'and']) AND valid_from <= 60 AND (valid_to IS NULL OR valid_to > 60) ORDER BY id LIMIT 100",
     "memory_point_in_time": f"WITH {MEM_SQL} SELECT id, valid_from FROM m0 WHERE valid_from <= 50 AND (valid_to IS NULL OR valid_to > 50) AND (session IS NULL OR session = 's3')",
     "memory_recall": f"WITH {MEM_SQL}, p AS (SELECT *, (id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM m0 ORDER BY score DESC, id LIMIT 80) SELECT id, score FROM p WHERE kind IN ('preference', 'fact') AND (session IS NULL OR session = 's1') AND valid_from <= 70 AND (valid_to IS NULL OR valid_to > 70) ORDER BY score DESC, id LIMIT 40",
-    "memory_invalidate": f"WITH {MEM_SQL} SELECT id, CASE WHEN id % 7 = 0 AND valid_to IS NULL THEN 99 ELSE valid_to END::BIGINT AS valid_to FROM m0",
+    "memory_invalidate": f"WITH {MEM_SQL} SELECT id, coalesce(CASE WHEN id % 7 = 0 AND valid_to IS NULL THEN 99 ELSE valid_to END, -1)::BIGINT AS valid_to FROM m0",
     "memory_upsert": f"WITH {MEM_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE kind END AS kind FROM m0",
     "memory_conflicts": f"WITH {MEM_SQL}, m AS (SELECT m0.*, e.embedding::DOUBLE[] AS v FROM m0 JOIN embeddings e ON vec_id = id % 10 WHERE kind IN ('preference', 'reference')) SELECT a.id, b.id AS prior, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM m a JOIN m b ON a.kind = b.kind AND b.created_at < a.created_at AND b.valid_to IS NULL AND list_has_any(a.refs, b.refs) WHERE list_cosine_similarity(a.v, b.v) >= 0.5",
     "memory_forget": f"WITH {MEM_SQL} SELECT DISTINCT unnest(refs) AS token FROM m0 WHERE id % 2 <> 0",
