@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Month names. Fixed values.
 MONTHS = {"janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12}
+#: Patterns that decide what counts as a date, an amount and a delay. Fixed values.
 _dated = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})"
 _numeric = r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
 _amount = r"(?i)(\d{1,3}(?:[\s.]\d{3})*(?:,\d{1,2})?|\d+(?:,\d{1,2})?)\s*(?:€|EUR|euros?)"
