@@ -70,7 +70,7 @@ def test_same_digest_same_count():
 
 def test_language(spark, docs):
     en, de = "the quick brown fox and the other thing that was here ", "der schnelle braune fuchs und das andere ding das hier war "
-    rows = [(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(100, 160)] + [(1, None, "en"), (2, "", "de"), (3, "123 !!", "en"), (None, en, "de"), (None, en, None)]
+    rows = [(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(100, 160)] + [(1, None, "en"), (2, "", "de"), (3, "12² Ⅷ !!", "en"), (None, en, "de"), (None, en, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", language.F.lit("x"))
     got = language.identify(df)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]

@@ -71,7 +71,7 @@ class Profiles:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language and 1 - its distance as a share of the greatest possible; ties: the first name. No letter or no profile: und, 0."""
         grams, counts = ngrams(text)
-        if not len(grams) or not self.languages:
+        if not len(grams) or not self.languages or not any(map(str.isalpha, text)):  # number signs stand among the letters of a word
             return UNKNOWN, 0.0
         own = ranked(grams, counts, self.most)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
