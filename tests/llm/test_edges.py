@@ -199,6 +199,10 @@ def test_surrogates_keep_form():
         assert re.sub(r"\w", "x", new) == re.sub(r"\w", "x", t) or "." in t
         assert [s[2] for s in privacy.spans(new)] == [s[2] for s in privacy.spans(t)]
         assert privacy.replace(t, privacy.Keyed(b"other"), {})[0] != new
+    for t, same in (('password=e3b3ed3cc8548923d6!!', 9), ('api_key: "Ab3-xYz9"', 10), ("pwd:abc12345%%%", 4)):
+        new, n = privacy.replace(t, k, {})
+        assert n == 1 and new != t and new[:same] == t[:same] and len(new) == len(t) and re.sub(r"\w", "x", new) == re.sub(r"\w", "x", t)
+    assert privacy.replace("the token: word and secret: none", k, {})[1] == 0
     digits = privacy.replace("4111 1111 1111 1111", k, {})[0].replace(" ", "")
     assert privacy.luhn(digits)
     said = privacy.replace("Mrs. Anna Schmidt met Herr SCHMIDT; Mrs. Anna Weber; г-н Иванов", k, {})[0].split()

@@ -73,6 +73,7 @@ _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERN = re.compile(
     "|".join(
         (
+            r"(?P<credential>(?i:(?<![^\W_])(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>(?=[^\s\"']*\d)[^\s\"']{5,}\w))",
             r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
             rf"(?P<ip>(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?![\w]|\.\d))",
             r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
@@ -87,7 +88,10 @@ PATTERN = re.compile(
     )
 )
 #: No pattern matches a text without one of these.
-_trigger = re.compile(rf"@|\d\d|\d\.\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|A[KS]IA|ghp_|gho_|sk-|xox")
+_trigger = re.compile(rf"@|\d\d|\d\.\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|A[KS]IA|ghp_|gho_|sk-|xox|(?i:password|passwd|passphrase|pwd|secret|token|key|auth)")
+
+
+_hex = re.compile(r"[0-9a-f]{8,}|[0-9A-F]{8,}")
 
 
 def luhn(digits: str) -> bool:
@@ -183,8 +187,11 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
         return out
     for m in PATTERN.finditer(text):
         kind, s = m.lastgroup, m.group()
-        if kind in ("title", "names"):
-            kind = "person"
+        if kind == "credential":
+            s = m["value"]
+            canon, kind = (s.lower(), "secret") if _hex.fullmatch(s) else (s, "credential")
+            out.append((m.start("value"), m.end("value"), kind, canon, s))
+            continue
         if kind == "person":
             names = [(n.start() + m.start("names"), n.group()) for n in re.finditer(r"\S+", m["names"])]
             gender = _gender[m["title"]]
@@ -263,6 +270,10 @@ def surrogate(keyed: Keyed, kind: str, canon: str, attempt: int = 0) -> str:
         return f"{land}{check:02d}{new}"
     if kind == "secret":
         return keyed.over(canon + "0" * more, HEX, tweak)
+    if kind == "credential":
+        case = "".join("u" if c.isupper() else "l" for c in canon)
+        low = _lower(canon) + "0" * more
+        return _cased(keyed.letters(low, f"{tweak}|{case}"), canon + "0" * more)
     if kind == "aws":
         return canon[:4] + keyed.over(canon[4:] + "0" * more, BASE36, tweak)
     head = re.match(r"(?:ghp_|gho_|sk-|xox[abp]-)", canon).group()
@@ -278,7 +289,7 @@ def written(kind: str, surface: str, new: str) -> str:
         return _cased(new, surface)
     if kind == "secret":
         return new.upper() if any(c.isupper() for c in surface) else new
-    if kind in ("ip", "aws", "token"):
+    if kind in ("ip", "aws", "token", "credential"):
         return new
     signs = iter(new.replace("|", ""))
     dressed = "".join(next(signs) if c.isalnum() else c for c in surface)
