@@ -116,7 +116,7 @@ def vault_tokens(values: DataFrame, vault: DataFrame, kind: str = "type", value:
 
     new = values.select(F.col(kind).alias("type"), F.col(value).alias("text")).distinct().join(vault, ["type", "text"], "left_anti")
     last = vault.groupBy("type").agg(F.max(F.regexp_extract("token", r"(\d+)$", 1).cast("long")).alias("last"))
-    ranked = new.withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy("text"))).join(F.broadcast(last), "type", "left")
+    ranked = new.withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy("text"))).join(last, "type", "left")
     return vault.select("type", "text", "token").unionByName(ranked.select("type", "text", F.concat("type", F.lit("_"), F.coalesce("last", F.lit(0)) + F.col("k")).alias("token")))
 
 
