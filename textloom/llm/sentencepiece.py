@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from textloom.llm.common import keyed_text, slices, stash
 BLANK = "▁"
 #: Characters of a text beyond which it is cut, and of a chunk.
 GIANT, CHUNK = 100_000, 32_768
-MEMO_WORDS, MEMO_LENGTH = 400_000, 64
+MEMO_WORDS, MEMO_LENGTH = 500_000, 64
 #: Steps to one of a score, and bits of the tie below it.
 STEPS, TIE = 1 << 20, 96
 #: A character that no piece has costs this much more than the worst piece. Fixed value of the format.
@@ -110,8 +111,13 @@ class Model:
         self.unknown = self._whole(worst - UNKNOWN_COST, -1)
         self.pieces = {p: (*self._whole(s, k), k) for p, (s, k) in scores.items()}
         self.longest = max(map(len, self.pieces))
-        #: Every start of a piece: what the piece is, or () if it only goes on.
-        self.heads: dict[str, tuple] = {p[:i]: () for p in self.pieces for i in range(1, len(p))} | self.pieces
+        #: The pieces as a tree of characters: (children, score, hash, id), id -1 where no piece ends.
+        self.root: tuple = ({}, 0, 0, -1)
+        for p in sorted(self.pieces, key=len):
+            node = self.root
+            for c in p[:-1]:
+                node = node[0].setdefault(c, ({}, 0, 0, -1))
+            node[0][p[-1]] = (node[0].get(p[-1], ({},))[0], *self.pieces[p])
         pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         #: No piece goes on over the start of a blank run or over a line end: a text falls apart there.
         self.parts = not any((b == BLANK and a != BLANK) or "\n" in (a, b) for a, b in pairs)
@@ -165,25 +171,26 @@ class Model:
 
     def segment(self, s: str) -> tuple[bytes, int]:
         """Ids (as bytes of 32-bit numbers) and score of one word in which blanks are already marks."""
-        n, heads = len(s), self.heads
+        n, root, unknown, tie = len(s), self.root, *self.unknown
         score, back, last = [NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0
         for i in range(n):
-            had, single = score[i], False
-            for j in range(i + 1, n + 1):
-                found = heads.get(s[i:j])
-                if found is None:
+            had, place, node = score[i], i + 1, root
+            single = False
+            for j in range(i, n):
+                node = node[0].get(s[j])
+                if node is None:
                     break
-                if found:
-                    single |= j == i + 1
-                    new = had + found[0] + found[1] * (1 + i)
-                    if new > score[j]:
-                        score[j], back[j], last[j] = new, i, found[2]
+                if node[3] >= 0:
+                    single |= j == i
+                    new = had + node[1] + node[2] * place
+                    if new > score[j + 1]:
+                        score[j + 1], back[j + 1], last[j + 1] = new, i, node[3]
             if not single:
-                new = had + self.unknown[0] + self.unknown[1] * (1 + i)
-                if new > score[i + 1]:
-                    score[i + 1], back[i + 1], last[i + 1] = new, i, -1
-        return np.array(self._ids(s, back, last, 0, n), "<i4").tobytes(), score[n]
+                new = had + unknown + tie * place
+                if new > score[place]:
+                    score[place], back[place], last[place] = new, i, -1
+        return array("i", self._ids(s, back, last, 0, n)).tobytes(), score[n]
 
     def marked(self, text: str) -> str:
         """The text as the model sees it."""
