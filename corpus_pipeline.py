@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, packing, privacy, quality, simhash
+from textloom.llm import language, nearcopies, packing, privacy, quality
 from textloom.llm.common import bounded_batches, stash, table
 from textloom.llm.registry import BYTE_VOCABULARY, PIECE_MODEL, SURROGATE_KEY
 
-#: Fertility, profiles, fingerprints, surrogates and packing have no SQL form; tests hold the stages against brute force.
+#: Fertility, profiles, shingle sets, surrogates and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates."""
-    return simhash.first_of_each(docs)
+    """The document of least id of each group of near copies: five-word shingles of similarity 0.8 or more, found exactly."""
+    return nearcopies.first_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

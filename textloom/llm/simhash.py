@@ -14,7 +14,7 @@ All three levels are exact, so no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -281,22 +281,26 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     Where a component has null ids only, one row of each of its fingerprints stays.
     """
-    classes = near_duplicates(docs, doc_id, text, tau)
+    return keep_first(docs, near_duplicates(docs, doc_id, text, tau), doc_id, text, simhash)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """The rows of docs that first_of_each keeps of classes (doc_id, fingerprint, component_id); fingerprint is that of a text, unsigned."""
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("__fp")).withColumnRenamed("doc_id", "__id")
     named = docs.filter(F.col(doc_id).isNotNull()).join(kept.filter("__id is not null").select("__id"), F.col(doc_id) == F.col("__id")).drop("__id").dropDuplicates([doc_id])
     nameless = classes.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
     if nameless.isEmpty():
         return named
-    marked = _with_fingerprint(docs.filter(F.col(doc_id).isNull()), text)
+    marked = _with_fingerprint(docs.filter(F.col(doc_id).isNull()), text, fingerprint)
     rest = marked.join(nameless.withColumnRenamed("fingerprint", "__fp"), "__fp").dropDuplicates(["__fp"]).select(*docs.columns)
     return named.unionByName(rest)
 
 
-def _with_fingerprint(docs: DataFrame, text: str) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, text: str, fingerprint: Callable[[str | None], int]) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [f"{simhash(t):016x}" for t in batch.column(at).to_pylist()]
+        fps = [f"{fingerprint(t):016x}" for t in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], [*batch.schema.names, "__fp"])
 
     return map_slices(docs, run, extended(docs.schema, __fp="string"))
