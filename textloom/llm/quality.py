@@ -6,8 +6,10 @@ and the entropy of the tokens (divided by the logarithm of their number, so 1
 means that none occurs twice). A text is rejected if a figure is outside the
 band of its language (its script where the language is unknown).
 
-A band is the median over all documents of that language that pass the base
-rules, give or take some median absolute deviations (FIGURES). Figures are rounded to
+A band is the median over all documents of that language and length that pass
+the base rules, give or take some median absolute deviations (FIGURES). Lengths
+are classed by half octaves of the number of tokens, as entropy falls with it.
+A class of fewer than LEAST_DOCS is judged by the whole language. Figures are rounded to
 steps and counted first, so both medians are exact and do not depend on how
 the rows are dealt out.
 """
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import extended, keyed_text, slices, stash
 
-#: Figure: steps to one; in steps: the greatest value, the least half of a band; median absolute deviations in half a band; steps times tokens that some odd tokens may add (a secret, an address), so short texts have wider bands.
-FIGURES = {"chars_per_token": (100, 6400, 12, 6, 10_000), "byte_share": (1000, 1000, 50, 6, 40_000), "token_entropy": (1000, 1000, 120, 10, 0)}
-#: Documents of a language below which its band is that of no rejection.
+#: Figure: steps to one; in steps: the greatest value, the least half of a band; median absolute deviations in half a band.
+FIGURES = {"chars_per_token": (100, 6400, 12, 6), "byte_share": (1000, 1000, 50, 6), "token_entropy": (1000, 1000, 20, 6)}
+#: Words of most tokens that are left out of the figures (a secret, an address), so that they decide no short text.
+ODD_WORDS = 3
+#: Documents below which a language, or one class of lengths of it, has no band of its own.
 LEAST_DOCS = 30
 #: Bands (one for each language or script) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_BANDS = 10_000
@@ -107,8 +111,8 @@ class Fertility:
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.memo: dict[bytes, bytes] = {}
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Token ids of the words, each encoded on its own."""
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (int32) of the words, each encoded on its own."""
         memo = self.memo
         new = [w for w in set(words) if w not in memo]
         if new:
@@ -117,18 +121,31 @@ class Fertility:
                 new = list(set(words))
             for w, own in zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True):
                 memo[w] = np.array(own, np.int32).tobytes()
-        return np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32)
+        return list(map(memo.__getitem__, words))
 
     def __call__(self, text: str | None, word_chars: int) -> tuple[int, int, int, int]:
-        """Number of tokens and the three figures in steps, each at most the greatest value; no token: zeros."""
-        ids = self.ids((text or "").encode().split())
-        n = len(ids)
-        if not n:
+        """Number of tokens and the three figures in steps, each at most the greatest value; no token: zeros.
+
+        The figures leave out the ODD_WORDS words of most tokens (ties: the first), unless there are no others.
+        """
+        words = (text or "").encode().split()
+        encoded = self.ids(words)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        every = int(sizes.sum()) // 4
+        if not every:
             return 0, 0, 0, 0
+        if len(words) > ODD_WORDS:
+            odd = np.argsort(-sizes, kind="stable")[:ODD_WORDS].tolist()
+            if int(sizes[odd].sum()) < 4 * every:
+                for i in odd:
+                    word_chars -= len(words[i].decode())
+                    encoded[i] = b""
+        ids = np.frombuffer(b"".join(encoded), np.int32)
+        n = len(ids)
         counts = np.unique(ids, return_counts=True)[1]
         entropy = float(-(counts / n * np.log2(counts / n)).sum() / np.log2(n)) if n > 1 else 1.0
         figures = (word_chars / n, self.is_byte[ids].sum() / n, entropy)
-        return n, *(min(most, int(x * steps + 0.5)) for x, (steps, most, *_) in zip(figures, FIGURES.values(), strict=True))
+        return every, *(min(most, int(x * steps + 0.5)) for x, (steps, most, *_) in zip(figures, FIGURES.values(), strict=True))
 
 
 _models: dict[str, Fertility] = {}
@@ -174,8 +191,10 @@ def _median(counted: DataFrame, value: str, out: str) -> DataFrame:
     return counted.withColumns({"upto": upto, "all": F.sum("n").over(by)}).filter(F.col("upto") * 2 >= F.col("all")).groupBy("band_key", "figure").agg(F.min(value).alias(out), F.first("all").alias("docs"))
 
 
-def fit_bands(measured: DataFrame, prefix: str = "") -> DataFrame:
-    """Rows (band_key, low and high of each figure in steps) from all documents that pass the base rules."""
+def fit_bands(measured: DataFrame, prefix: str = "", keys: Column | None = None) -> DataFrame:
+    """Rows (band_key, low and high of each figure in steps) from all documents that pass the base rules; keys: an array of keys to use for band_key."""
+    if keys is not None:
+        measured = measured.filter(~F.col(prefix + "base_failed")).withColumn(prefix + "band_key", F.explode(keys))
     figures = F.array(*(F.struct(F.lit(k).alias("figure"), F.col(prefix + k).alias("value")) for k in FIGURES))
     counted = (
         measured.filter(~F.col(prefix + "base_failed")).select(F.col(prefix + "band_key").alias("band_key"), F.inline(figures)).groupBy("band_key", "figure", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -191,16 +210,27 @@ def fit_bands(measured: DataFrame, prefix: str = "") -> DataFrame:
     return bands.groupBy("band_key").agg(*(edge(k, s).alias(f"__{k}_{name}") for k in FIGURES for s, name in ((-1, "low"), (1, "high"))))
 
 
+def _keys(prefix: str) -> Column:
+    """The keys of a document's bands, that of choice first."""
+    length = F.floor(F.log2(F.greatest(F.col(prefix + "n_tokens"), F.lit(1)).cast("double")) * 2).cast("string")
+    own = F.col(prefix + "band_key")
+    return F.array(F.concat(F.lit("length "), length, F.lit(":"), own), F.concat(F.lit("any:"), own))
+
+
 def _verdict(measured: DataFrame, prefix: str) -> DataFrame:
-    """measured with __kept; a band_key without a band is judged by the base rules alone."""
-    bands = stash(fit_bands(measured, prefix), "bands")
-    if bands.count() <= BROADCAST_BANDS:
-        bands = F.broadcast(bands)
+    """measured with __kept: by the first of its bands that enough documents have made; where none has, by the base rules alone."""
+    measured = measured.withColumn("__keys", _keys(prefix))
+    bands = fit_bands(measured, prefix, F.col("__keys"))
+    edges = [c for c in bands.columns if c != "band_key"]
+    wanted = measured.filter(~F.col(prefix + "base_failed")).select(F.col("__keys").alias("__band")).distinct().select("__band", F.posexplode("__band").alias("level", "band_key"))
+    chosen = wanted.join(bands, "band_key").groupBy("__band").agg(F.min_by(F.struct(*edges), "level").alias("e")).select("__band", "e.*")
+    chosen = stash(chosen, "bands")
+    if chosen.count() <= BROADCAST_BANDS:
+        chosen = F.broadcast(chosen)
     inside = F.lit(True)
-    for k, (*_, odd) in FIGURES.items():
-        slack = F.lit(float(odd)) / F.greatest(F.col(prefix + "n_tokens"), F.lit(1))
-        inside = inside & F.coalesce(F.col(prefix + k).between(F.col(f"__{k}_low") - slack, F.col(f"__{k}_high") + slack), F.lit(True))
-    joined = measured.join(bands.withColumnRenamed("band_key", "__band"), F.col(prefix + "band_key") == F.col("__band"), "left")
+    for k in FIGURES:
+        inside = inside & F.coalesce(F.col(prefix + k).between(F.col(f"__{k}_low"), F.col(f"__{k}_high")), F.lit(True))
+    joined = measured.join(chosen, F.col("__keys") == F.col("__band"), "left")
     return joined.withColumn("__kept", ~F.col(prefix + "base_failed") & inside)
 
 
