@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from textloom.llm import quality
+from textloom.llm import language, quality
 from textloom.llm.registry import PIECE_MODEL
 
 WORDS = "the market by a river window where people of one station keep their garden and number every story in the morning letter about water paper".split()
@@ -22,3 +22,14 @@ def test_short_table_like_junk_goes_and_a_secret_stays(spark):
     kept = {r.doc_id for r in quality.judge(df, PIECE_MODEL).filter("kept").collect()}
     assert 300 not in kept and 301 in kept
     assert len(kept) >= 158
+
+
+def test_unlearned_language_and_letter_noise_go(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, prose(rng, int(rng.integers(60, 200))), "en") for i in range(100)]
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(120))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    rows += [(500, noise, None), (501, finnish * 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.recognised(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(100))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import extended, keyed_text, slices
+from textloom.llm.common import extended, keyed_text, slices, stash
 
 #: n-grams of a profile.
 PROFILE = 400
@@ -26,6 +26,10 @@ BLOCK_CHARS = 1 << 20
 #: Distinct n-grams held by a training task before they are handed on.
 HELD = 2_000_000
 UNKNOWN = "und"
+#: A text is recognised from FLOOR_SHARE of the score that all but LOWEST of its language's documents of like length reach.
+LOWEST, FLOOR_SHARE = 0.01, 0.75
+#: Steps to one of the scores that are counted, and documents below which a length, then a language, takes the floor of the next wider group.
+SCORE_STEPS, LEAST_DOCS = 10_000, 30
 _letters = re.compile(r"[^\W\d_]+")
 
 
@@ -70,15 +74,19 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language and 1 - its distance as a share of the greatest possible; ties: the first name. No letter or no profile: und, 0."""
+        return self.nearest(text)[:2]
+
+    def nearest(self, text: str | None) -> tuple[str, float, int]:
+        """predict() and the number of n-grams that were compared."""
         grams, counts = ngrams(text)
         if not len(grams) or not self.languages or not any(map(str.isalpha, text)):  # number signs stand among the letters of a word
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         own = ranked(grams, counts, self.most)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         ranks = np.where((self.grams[at] == own)[:, None], self.ranks[at], -1)
         far = np.where(ranks < 0, self.most, np.abs(ranks - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(far.argmin())
-        return self.languages[best], float(1 - far[best] / (len(own) * self.most))
+        return self.languages[best], float(1 - far[best] / (len(own) * self.most)), len(own)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,20 +128,20 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Profiles(found, most)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with the predicted language and its score; columns of those names are replaced. One pass, no shuffle."""
-    kept = docs.drop(lang_out, score_out)
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", size_out: str | None = None) -> DataFrame:
+    """docs with the predicted language and its score, and the number of n-grams compared if size_out is given; columns of those names are replaced. One pass, no shuffle."""
+    names = {lang_out: "string", score_out: "double"} | ({size_out: "int"} if size_out else {})
+    kept = docs.drop(*names)
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                found = [profiles.predict(t) for t in piece.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*piece.schema.names, lang_out, score_out]
-                )
+                found = [profiles.nearest(t) for t in piece.column(at).to_pylist()]
+                columns = [pa.array([x[k] for x in found], kind) for k, kind in zip(range(len(names)), (pa.string(), pa.float64(), pa.int32()), strict=False)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *columns], [*piece.schema.names, *names])
 
-    return kept.mapInArrow(run, extended(kept.schema, **{lang_out: "string", score_out: "double"}))
+    return kept.mapInArrow(run, extended(kept.schema, **names))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = PROFILE) -> DataFrame:
@@ -148,7 +156,39 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(keyed_text(docs, doc_id, text), profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def score_floors(scored: DataFrame, lang: str, taught: Column, lang_out: str, score_out: str, length: Column) -> dict[tuple[str | None, int | None], float]:
+    """The least score of (language, length), (language, None) and (None, None), each where at least LEAST_DOCS documents that taught a profile have it as theirs.
+
+    It is FLOOR_SHARE of the exact lower quantile LOWEST of their scores, counted in steps.
+    """
+    own = scored.filter(taught & (F.col(lang).cast("string") == F.col(lang_out))).select(F.col(lang_out).alias("name"), length.alias("length"), F.floor(F.col(score_out) * SCORE_STEPS).alias("step"))
+    groups = F.array(F.struct("name", "length"), F.struct("name", F.lit(None).cast("int").alias("length")), F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("length")))
+    counted = own.select(F.inline(groups), "step").groupBy("name", "length", "step").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("name", "length")
+    upto = counted.withColumns({"upto": F.sum("n").over(by.orderBy("step")), "all": F.sum("n").over(by)})
+    lows = upto.filter((F.col("all") >= LEAST_DOCS) & (F.col("upto") >= F.col("all") * LOWEST)).groupBy("name", "length").agg(F.min("step").alias("step"))
+    return {(r.name, r.length): FLOOR_SHARE * r.step / SCORE_STEPS for r in lows.collect()}
+
+
 def recognised(docs: DataFrame, least_score: float = 0.05, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs, with their columns, whose text is in a learned language: not und, and no farther from it than 1 - least_score of the greatest distance."""
-    marked = predict(docs, learn(docs, doc_id, text, lang), text, "__lang", "__score")
-    return marked.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).drop("__lang", "__score")
+    """The rows of docs, with their columns, whose text is in a learned language: not und, a score of least_score, and one of the floor of its language and length.
+
+    Floors come from all documents that taught the profiles (score_floors);
+    lengths are classed by octaves of the n-grams compared. Too few documents
+    of a length: the floor of the language, then that of all; too few at all:
+    least_score alone. The texts are written once, scored, to the shared folder.
+    """
+    scored = stash(predict(docs, learn(docs, doc_id, text, lang), text, "__lang", "__score", "__size"), "scored")
+    length = F.when(F.col("__size") >= PROFILE, F.lit(99)).otherwise(F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1)).cast("double"))).cast("int"))
+    taught = F.col(text).isNotNull() & ~held_out(F.col(doc_id))
+    floors = score_floors(scored, lang, taught, "__lang", "__score", length)
+    marked = scored.withColumn("__length", length)
+    if floors:
+        table = scored.sparkSession.createDataFrame([(*k, v) for k, v in sorted(floors.items(), key=str)], "name string, length int, floor double")
+        own = F.broadcast(table.filter("length is not null").select(F.col("name").alias("__n1"), F.col("length").alias("__n2"), F.col("floor").alias("__f1")))
+        any_length = F.broadcast(table.filter("name is not null and length is null").select(F.col("name").alias("__n3"), F.col("floor").alias("__f2")))
+        marked = marked.join(own, (F.col("__lang") == F.col("__n1")) & (F.col("__length") == F.col("__n2")), "left").join(any_length, F.col("__lang") == F.col("__n3"), "left")
+        floor = F.coalesce("__f1", "__f2", F.lit(floors.get((None, None), 0.0)))
+    else:
+        floor = F.lit(0.0)
+    return marked.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= F.greatest(floor, F.lit(least_score)))).select(*docs.columns)
