@@ -33,3 +33,14 @@ def test_unlearned_language_and_letter_noise_go(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = language.recognised(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(100))
+
+
+def test_rare_language_is_judged_by_wider_bands(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, prose(rng, 90), "en") for i in range(80)]
+    junk = " | ".join(rng.choice(WORDS, 90)) + " |"
+    rows += [(300, junk, "xx"), (301, prose(rng, 90), "xx"), (302, junk, None), (303, "ж" * 3000 + " " + " ".join(f"ω{i}ψ" for i in range(90)), "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(df, PIECE_MODEL).filter("kept").collect()}
+    assert kept & {300, 301, 302, 303} == {301}
+    assert quality.script("É ÿ ª") == "latin" and quality.script("12 ¿ ×") == "latin" and quality.script("12 !") == "other"

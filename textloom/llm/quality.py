@@ -9,7 +9,9 @@ band of its language (its script where the language is unknown).
 A band is the median over all documents of that language and length that pass
 the base rules, give or take some median absolute deviations (FIGURES). Lengths
 are classed by half octaves of the number of tokens, as entropy falls with it.
-A class of fewer than LEAST_DOCS is judged by the whole language. Figures are rounded to
+A class of fewer than LEAST_DOCS is judged by the whole language, such a
+language by the documents of its script (of like length, else all), and such a
+script by all documents. Figures are rounded to
 steps and counted first, so both medians are exact and do not depend on how
 the rows are dealt out.
 """
@@ -54,13 +56,22 @@ _scripts = {
 
 def script(text: str) -> str:
     """The script of most letters; ties and none: the first of the list and `other`."""
-    if text.isascii():
+    if _only_latin(text):
         return "latin" if _scripts["latin"].search(text) else "other"
     counts = {k: len(p.findall(text)) for k, p in _scripts.items()}
     best = max(counts, key=counts.get)
     return best if counts[best] else "other"
 
 
+def _only_latin(text: str) -> bool:
+    """Whether a text has characters up to U+00FF alone; those have letters of one script."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words found at least twice, the first such window included; each word counts once."""
     if len(words) < 4:
@@ -162,8 +173,8 @@ MEASURED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup
 
 
 def measure(docs: DataFrame, model: str, text: str = "text", lang: str | None = "lang", prefix: str = "") -> DataFrame:
-    """docs with the counts of MEASURED and band_key, all named with the prefix; columns of those names are replaced. One pass, no shuffle."""
-    names = {prefix + k: v for k, v in MEASURED.items()} | {prefix + "band_key": "string"}
+    """docs with the counts of MEASURED, band_key and band_script, all named with the prefix; columns of those names are replaced. One pass, no shuffle."""
+    names = {prefix + k: v for k, v in MEASURED.items()} | {prefix + "band_key": "string", prefix + "band_script": "string"}
     kept = docs.drop(*names)
     at, lang_at = kept.columns.index(text), kept.columns.index(lang) if lang and lang in kept.columns else None
 
@@ -177,7 +188,8 @@ def measure(docs: DataFrame, model: str, text: str = "text", lang: str | None =
                 for t, name in zip(texts, langs, strict=True):
                     n_words, chars, *rest, repeated = base_counts(t)
                     failed = n_words < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n_words
-                    rows.append((n_words, chars, *rest, repeated, failed, *own(t, chars), str(name) if name is not None else f"script:{script(t or '')}"))
+                    of_script = f"script:{script(t or '')}"
+                    rows.append((n_words, chars, *rest, repeated, failed, *own(t, chars), str(name) if name is not None else of_script, of_script))
                 columns = [pa.array(x, pa.bool_() if kind == "boolean" else pa.string() if kind == "string" else pa.int64()) for x, kind in zip(zip(*rows, strict=True), names.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *columns], [*piece.schema.names, *names])
 
@@ -213,8 +225,8 @@ def fit_bands(measured: DataFrame, prefix: str = "", keys: Column | None = None)
 def _keys(prefix: str) -> Column:
     """The keys of a document's bands, that of choice first."""
     length = F.floor(F.log2(F.greatest(F.col(prefix + "n_tokens"), F.lit(1)).cast("double")) * 2).cast("string")
-    own = F.col(prefix + "band_key")
-    return F.array(F.concat(F.lit("length "), length, F.lit(":"), own), F.concat(F.lit("any:"), own))
+    groups = (F.concat(F.lit(":"), F.col(prefix + "band_key")), F.concat(F.lit(":all of "), F.col(prefix + "band_script")), F.lit(":all"))
+    return F.array(*(F.concat(F.lit(f"{k} "), at, g) for k, g in enumerate(groups) for at in (length, F.lit("any"))))
 
 
 def _verdict(measured: DataFrame, prefix: str) -> DataFrame:
