@@ -31,6 +31,8 @@ SHINGLE = 5
 SAMPLE, COMMON_TEXTS = 16, 16
 #: Common shingles that are moved to the end of the order, the most common first.
 MOST_COMMON = 100_000
+#: Longs (shared shingles, ids of sets to compare) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_LONGS = 4_000_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -80,6 +82,11 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r.key for r in counted.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()), np.int64)
 
 
+def _only(rows: DataFrame, longs: DataFrame, name: str) -> DataFrame:
+    """The rows whose column name is in longs (written, distinct), left out before any exchange where longs can be broadcast."""
+    return rows.join(F.broadcast(longs) if longs.count() <= BROADCAST_LONGS else longs, name, "left_semi")
+
+
 def _possible(a: str, b: str) -> Column:
     """Whether sets of the structs a and b (sid, n, at) can be near copies if the shingle at those places is the first that both have."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -89,13 +96,15 @@ def _possible(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets have a similarity of 0.8 or more, written; docs has text."""
     pairs = stash(pairs.distinct(), "near-candidates")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), _lists(sets)], ["sid", "own"])
 
-    sets = stash(map_slices(docs.select("text"), run, "sid long, own array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "near-sets")
+    if wanted.isEmpty():
+        return pairs
+    sets = stash(_only(map_slices(docs.select("text"), run, "sid long, own array<long>"), wanted, "sid").dropDuplicates(["sid"]), "near-sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
     found = stash(both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "near-pairs")
     drop_stash(sets)
@@ -104,11 +113,12 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any such pair reaches. nodes: sid, n, prefix, one row per set."""
+    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any such pair reaches. nodes: sid, n, prefix, a set may have several rows."""
     keys = nodes.select("sid", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("sid", "n", "at")).alias("low"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").drop("sets")
-    rows = stash(keys.join(shared, "key").select("key", F.struct("sid", "n", "at").alias("own"), "low"), "near-keys")
-    stars = rows.filter(F.col("own.sid") != F.col("low.sid")).filter(_possible("own", "low"))
+    shared = stash(keys.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("key"), "near-shared")
+    rows = stash(_only(keys, shared, "key").distinct().select("key", F.struct("sid", "n", "at").alias("own")), "near-keys")
+    low = rows.groupBy("key").agg(F.min("own").alias("low"))
+    stars = rows.join(low, "key").filter(F.col("own.sid") != F.col("low.sid")).filter(_possible("own", "low"))
     links = _verified(stars.select(F.col("low.sid").alias("a"), F.col("own.sid").alias("b")), docs)
     roots = connected_components(links, "a", "b")
     rooted = rows.select("key", "own", F.col("own.sid").alias("node")).join(roots, "node", "left").select("key", "own", F.coalesce("root", "node").alias("root"))
@@ -142,7 +152,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sid", "n", "prefix"])
 
     rows = stash(map_slices(keyed, run, f"doc_id {id_type}, sid long, n long, prefix array<long>"), "near-prefixes")
-    roots = connected_components(near_links(rows.dropDuplicates(["sid"]).select("sid", "n", "prefix"), keyed), "a", "b")
+    roots = connected_components(near_links(rows.select("sid", "n", "prefix"), keyed), "a", "b")
     nodes = rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
     rooted = nodes.join(roots, nodes.sid == roots.node, "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
