@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from textloom.llm import nearcopies as N
+from textloom.llm import simhash as S
 
 
 def brute_set(t):
@@ -47,10 +48,7 @@ def edited(rng):
     return texts + ["", None, "one", "One", "a b c", "a b c d e f", texts[0].upper()]
 
 
-@pytest.mark.parametrize("common", [(16, 16), (1, 3)])
-def test_all_near_copies_and_no_others(spark, monkeypatch, common):
-    monkeypatch.setattr(N, "SAMPLE", common[0])
-    monkeypatch.setattr(N, "COMMON_TEXTS", common[1])
+def test_all_near_copies_and_no_others(spark):
     texts = edited(np.random.default_rng(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in N.near_copies(df).collect()}
@@ -59,6 +57,36 @@ def test_all_near_copies_and_no_others(spark, monkeypatch, common):
     assert N.near_copies(df.limit(0)).count() == 0
 
 
+def test_copies_of_one_original_that_are_not_copies_of_each_other(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+    texts = [" ".join(base)]
+    for _ in range(60):  # similarity of about 0.83 to the original and 0.7 to one another
+        own = base.copy()
+        for at in rng.choice(300, 5, replace=False):
+            own[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(own))
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_copies(df).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and want.count(0) > 50
+
+
+def test_keys_and_fingerprint_of_a_set(monkeypatch):
+    own = N.shingle_set(" ".join(f"w{i}" for i in range(900)))
+    keys = N.band_keys(own)
+    x = own.view(np.uint64)
+    least = [min(int(v) * int(m) % (1 << 64) for v in x) for m in N._ODD[: N.ROWS]]
+    assert keys[0] == np.uint64(N.xxhash.xxh64_intdigest(np.array(least, np.uint64).tobytes(), seed=0)).astype(np.int64) and len(keys) == N.BANDS
+    bits = [sum(int(v) >> (63 - b) & 1 for v in x) * 2 > len(x) for b in range(64)]
+    assert N.set_fingerprint(own) & (1 << 64) - 1 == int("".join(map(str, map(int, bits))), 2)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "BLOCK_WORDS", 11)
+    assert (N.band_keys(own) == keys).all() and N.set_fingerprint(own) & (1 << 64) - 1 == int("".join(map(str, map(int, bits))), 2)
+    assert len(N.band_keys(own[:0])) == 0 and N.set_fingerprint(own[:0]) == 0
+
+
 def test_stage_drops_edited_copy(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in rng.integers(0, 500, 200)]
@@ -76,3 +104,13 @@ def test_set_in_blocks(monkeypatch):
     monkeypatch.setattr(N, "BLOCK_WORDS", 7)
     monkeypatch.setattr("textloom.llm.simhash.BLOCK_BYTES", 11)
     assert (N.shingle_set(t) == whole).all()
+
+
+@pytest.mark.parametrize("keep", [N.first_of_each, S.first_of_each])
+def test_unlike_texts_of_one_id_both_stay(spark, keep):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (0, c), (2, b), (1, a), (None, a), (None, "d e f g h i"), (None, "d e f g h i"), (3, None), (4, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS __id", "text AS fp")
+    got = keep(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", a), ("1", b), ("0", c), ("None", "d e f g h i"), ("3", "None")])

@@ -60,6 +60,14 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name with as many underscores before it as make it none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def extended(schema: T.StructType, **added: str) -> T.StructType:
     """A new schema with further nullable columns; added: name to type."""
     fields = list(schema.fields)

@@ -1,38 +1,43 @@
-"""Near copies by exact shingle similarity.
+"""Near copies: SimHash probes and min-wise keys give candidates, whole shingle sets decide.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. In any one order of all shingles, two such sets
-share one of their first n - ceil(0.8 n) + 1 shingles (n: the size of each), so
-equality on those finds every pair; sizes and places in the order rule out most
-of the others, and what is left is compared whole. Nothing is estimated.
-
-The order is that of the hashes, with shingles that are found in many texts of
-a sample at its end, so that a common passage is no key. Which ones the sample
-finds changes the cost and never the result. Sets under one key are tied to the
-least of them first; only sets that are then still apart are paired off.
+similarity of SIMILARITY or more. Fingerprints of such pairs differ in up to a
+fifth of their bits, too many for any plan of probes whose cost does not grow
+with the square of the input. So the pairs that the SimHash operator finds
+within TAU bits are only the first candidates. The others are texts that share
+one of BANDS keys, each a hash of ROWS minima of the set under different
+orders: a pair of similarity 0.8 shares none with a probability of
+(1 - 0.8 ** ROWS) ** BANDS, below one in a million. Every candidate is compared
+on the whole sets, so no pair below SIMILARITY is linked.
+
+Texts of one set collapse first. Under one key all are compared with the one
+that shares most keys with others, as a rule the original that the others
+were made from. Only those that are then apart from it are compared with the
+rest of the key, so a large group of copies is not paired off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_stash, keyed_text, map_slices, stash
+from textloom.llm.common import drop_stash, map_slices, stash
 from textloom.llm.components import connected_components
-from textloom.llm.simhash import BLOCK_WORDS, SEED, _digest, _word_blocks, keep_first
+from textloom.llm.simhash import BLOCK_WORDS, SEED, _digest, _word_blocks, keep_first, near_pairs
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Minima of a key, keys of a set, and bits within which fingerprints are probed.
+ROWS, BANDS, TAU = 3, 20, 2
+#: Shingles whose orders are worked out at a time.
+BLOCK = 1 << 12
+#: Ids of sets or rows up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_LONGS = 1_000_000
 
-SHINGLE = 5
-#: One text in this many is sampled for common shingles; one in this many of its texts makes a shingle common.
-SAMPLE, COMMON_TEXTS = 16, 16
-#: Common shingles that are moved to the end of the order, the most common first.
-MOST_COMMON = 100_000
-#: Longs (shared shingles, ids of sets to compare) up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_LONGS = 4_000_000
+_rng = np.random.default_rng(20071107)  # any fixed seed: keys are comparable if it stays
+_ODD = (_rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,11 +62,23 @@ def set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed=SEED)).astype(np.int64)) if len(own) else 0
 
 
-def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of a set, in the order of all, of which each near copy has one among its own."""
-    n = len(own)
-    last = np.isin(own, common, assume_unique=True) if len(common) else np.zeros(n, bool)
-    return np.concatenate([own[~last], own[last]])[: n - (4 * n + 4) // 5 + 1] if n else own
+def set_fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long; the empty set: 0."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(own), BLOCK_WORDS):
+        ones += np.unpackbits(own[i : i + BLOCK_WORDS].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(">i8")[0])
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set as longs; the empty set has none."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    x, least = own.view(np.uint64), np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(x), BLOCK):
+        np.minimum(least, (_ODD[:, None] * x[None, i : i + BLOCK]).min(axis=1), out=least)
+    data = least.tobytes()
+    return np.array([xxhash.xxh64_intdigest(data[k * 8 * ROWS : (k + 1) * 8 * ROWS], seed=k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -69,70 +86,94 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of many distinct texts of a sample, at most MOST_COMMON; docs has text."""
+def mark(text: str) -> Column:
+    """A long by which equal texts are told."""
+    return F.xxhash64(F.col(text).cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t))], ["key"])
 
-    sampled = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
-    counted = sampled.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON_TEXTS)
-    return np.array(sorted(r.key for r in counted.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()), np.int64)
+def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, mark, sid, n, fp, bands): id, size, fingerprint and keys of each text's set of shingles. One pass, no shuffle."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), mark(text).alias("mark"), F.col(text).cast("string").alias("text"))
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+        columns = [pa.array([f(s) for s in sets], pa.int64()) for f in (set_id, len, set_fingerprint)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, _lists([band_keys(s) for s in sets])], ["doc_id", "mark", "sid", "n", "fp", "bands"])
+
+    return map_slices(keyed, run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, fp long, bands array<long>")
 
-def _only(rows: DataFrame, longs: DataFrame, name: str) -> DataFrame:
-    """The rows whose column name is in longs (written, distinct), left out before any exchange where longs can be broadcast."""
-    return rows.join(F.broadcast(longs) if longs.count() <= BROADCAST_LONGS else longs, name, "left_semi")
 
+def _sizes_fit(n: str, m: str) -> Column:
+    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
 
-def _possible(a: str, b: str) -> Column:
-    """Whether sets of the structs a and b (sid, n, at) can be near copies if the shingle at those places is the first that both have."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) * 9 >= (n + m) * 4)
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Written rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LONGS else rows
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets have a similarity of 0.8 or more, written; docs has text."""
-    pairs = stash(pairs.distinct(), "near-candidates")
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-wanted")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets have a similarity of SIMILARITY or more, written. Only texts of such sets are read again."""
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    if pairs.isEmpty():
+        return pairs
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = stash(nodes.join(sids, "sid", "left_semi").select("mark"), "near-wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), _lists(sets)], ["sid", "own"])
 
-    if wanted.isEmpty():
-        return pairs
-    sets = stash(_only(map_slices(docs.select("text"), run, "sid long, own array<long>"), wanted, "sid").dropDuplicates(["sid"]), "near-sets")
+    texts = docs.select(mark(text).alias("mark"), F.col(text).cast("string").alias("text")).join(_few(wanted), "mark", "left_semi").select("text")
+    sets = stash(map_slices(texts, run, "sid long, own array<long>").dropDuplicates(["sid"]), "near-sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
-    found = stash(both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "near-pairs")
-    drop_stash(sets)
-    drop_stash(pairs)
+    shared = F.size(F.array_intersect("x", "y"))
+    found = stash(both.filter(shared >= (F.size("x") + F.size("y") - shared) * SIMILARITY).select("a", "b"), "near-pairs")
+    for done in (pairs, wanted, sets):
+        drop_stash(done)
     return found
 
 
-def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any such pair reaches. nodes: sid, n, prefix, a set may have several rows."""
-    keys = nodes.select("sid", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = stash(keys.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("key"), "near-shared")
-    rows = stash(_only(keys, shared, "key").distinct().select("key", F.struct("sid", "n", "at").alias("own")), "near-keys")
-    low = rows.groupBy("key").agg(F.min("own").alias("low"))
-    stars = rows.join(low, "key").filter(F.col("own.sid") != F.col("low.sid")).filter(_possible("own", "low"))
-    links = _verified(stars.select(F.col("low.sid").alias("a"), F.col("own.sid").alias("b")), docs)
+def _close_fingerprints(nodes: DataFrame, tau: int) -> DataFrame:
+    """Pairs (a, b) of set ids: one for each two fingerprints within tau bits, and each set with the least of its fingerprint."""
+    least = nodes.groupBy("fp").agg(F.min("sid").alias("sid"))
+    close = near_pairs(least, tau)
+    two = close.join(least.select(F.col("fp").alias("a"), F.col("sid").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("sid").alias("y")), "b")
+    same = nodes.select("fp", F.col("sid").alias("b")).join(least.withColumnRenamed("sid", "a"), "fp").filter("a <> b")
+    return two.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select("a", "b"))
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any candidate pair reaches. nodes: sid, mark, n, fp, bands; one row a set."""
+    keys = nodes.filter("n > 0").select("sid", "n", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    rows = stash(keys.join(shared, "key"), "near-keys")
+    weight = rows.groupBy("sid").agg(F.sum("held").alias("weight"))
+    centre = rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("c")).select("key", F.col("c.sid").alias("centre"), F.col("c.n").alias("m"))
+    centre = stash(centre, "near-centres")
+    stars = rows.join(centre, "key").filter((F.col("sid") != F.col("centre")) & _sizes_fit("n", "m")).select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+    links = _verified(stars.unionByName(_close_fingerprints(nodes.filter("n > 0"), TAU)), nodes, docs, text)
     roots = connected_components(links, "a", "b")
-    rooted = rows.select("key", "own", F.col("own.sid").alias("node")).join(roots, "node", "left").select("key", "own", F.coalesce("root", "node").alias("root"))
-    rooted = stash(rooted, "near-rooted")
-    drop_stash(rows)
-    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    left = rooted.join(apart, "key", "left_semi")
-    one, two = left.select("key", F.col("own").alias("p"), F.col("root").alias("r")), left.select("key", F.col("own").alias("q"), F.col("root").alias("s"))
-    rest = one.join(two, "key").filter((F.col("p.sid") < F.col("q.sid")) & (F.col("r") != F.col("s"))).filter(_possible("p", "q"))
-    more = _verified(rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")), docs)
-    drop_stash(rooted)
+    rooted = rows.join(roots, rows.sid == roots.node, "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    heads = centre.join(roots, centre.centre == roots.node, "left").select("key", "centre", F.coalesce("root", "centre").alias("head"))
+    rooted = stash(rooted.join(heads, "key"), "near-rooted")
+    apart = rooted.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = rooted.filter("sid <> centre").join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m"))
+    more = _verified(rest.select("a", F.col("sid").alias("b")), nodes, docs, text)
+    for done in (rows, centre, rooted):
+        drop_stash(done)
     return links.unionByName(more)
 
 
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (doc_id, mark, sid, root), one per row of docs."""
+    rows = stash(sketched(docs, doc_id, text), "near-sketches")
+    nodes = stash(rows.groupBy("sid").agg(F.min("mark").alias("mark"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))), "near-nodes")
+    roots = connected_components(near_links(nodes, docs, text), "a", "b")
+    drop_stash(nodes)
+    return rows.join(roots, rows.sid == roots.node, "left").select("doc_id", "mark", "sid", F.coalesce("root", "sid").alias("root"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per input row.
 
@@ -142,27 +183,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     component; if all ids of one are null, so is component_id. Repeated rows
     give repeated rows; extra columns are left out; an empty table no rows.
     """
-    keyed = keyed_text(docs, doc_id, text)
-    common = common_shingles(keyed)
-    id_type = keyed.schema["doc_id"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        columns = [pa.array(list(map(set_id, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([prefix(s, common) for s in sets])]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sid", "n", "prefix"])
-
-    rows = stash(map_slices(keyed, run, f"doc_id {id_type}, sid long, n long, prefix array<long>"), "near-prefixes")
-    roots = connected_components(near_links(rows.select("sid", "n", "prefix"), keyed), "a", "b")
-    nodes = rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
-    rooted = nodes.join(roots, nodes.sid == roots.node, "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("sid", "component_id")
-    return rows.select("doc_id", "sid").join(named, "sid").select("doc_id", F.lower(F.lpad(F.hex("sid"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _classes(docs, doc_id, text)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("sid"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, of the least doc_id of each component of near copies; of repeated rows of that id one stays.
-
-    Where a component has null ids only, one row of each of its sets of shingles stays.
-    """
-    return keep_first(docs, near_copies(docs, doc_id, text), doc_id, text, lambda t: set_id(shingle_set(t)) & (1 << 64) - 1)
+    """The rows of docs, with their columns, that stay of near copies: see ``simhash.keep_first``."""
+    return keep_first(docs, _classes(docs, doc_id, text), doc_id, text)

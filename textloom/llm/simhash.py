@@ -14,7 +14,7 @@ All three levels are exact, so no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import extended, keyed_text, map_slices, stash
+from textloom.llm.common import drop_stash, map_slices, stash, unused
 from textloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -36,6 +36,8 @@ BLOCK_WORDS = 100_000
 BLOCK_BYTES = 4 << 20
 #: What a probe row and a verified candidate cost, in relation.
 PROBE_COST, PAIR_COST = 1.0, 0.25
+#: Rows (ids and marks) up to which those that go are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _digest = partial(xxhash.xxh64_digest, seed=SEED)
 
@@ -83,16 +85,16 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed long. One row per input row, repeats and null ids included."""
-    keyed = keyed_text(docs, doc_id, text)
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, mark, fp): fp is the fingerprint as a signed long, mark xxhash64 of the text. One row per input row, repeats, null ids and null texts included; an empty table gives no rows."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        fps = np.array([simhash(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "mark", "fp"])
 
-    return map_slices(keyed, run, f"doc_id {id_type}, fp long")
+    return map_slices(keyed, run, f"doc_id {id_type}, mark long, fp long")
 
 
 def _bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -258,7 +260,15 @@ def near_pairs(fps: DataFrame, tau: int = 2, hot: int = 256) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2, hot: int = 256) -> DataFrame:
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, tau: int, hot: int) -> DataFrame:
+    """Rows (doc_id, mark, fp, root), one per row of docs; mark is xxhash64 of the text, root names the component."""
+    fps = stash(fingerprints(docs, doc_id, text, shingle), "simhash")
+    nodes = stash(fps.select("fp").distinct(), "simhash-distinct")
+    roots = connected_components(near_pairs(nodes, tau, hot), "a", "b")
+    return fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "mark", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2, hot: int = 256, shingle: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per input row.
 
     component_id is the smallest doc_id whose fingerprint is reached over
@@ -267,7 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all ids of one are null, so is component_id. Repeated rows give repeated
     rows; extra columns are left out; an empty table gives no rows.
     """
-    fps = stash(fingerprints(docs, doc_id, text), "simhash")
+    fps = stash(fingerprints(docs, doc_id, text, shingle).drop("mark"), "simhash")
     nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = connected_components(near_pairs(nodes, tau, hot), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -276,31 +286,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2) -> DataFrame:
-    """The rows of docs, with their columns, of the least doc_id of each near-duplicate component; of repeated rows of that id one stays.
-
-    Where a component has null ids only, one row of each of its fingerprints stays.
-    """
-    return keep_first(docs, near_duplicates(docs, doc_id, text, tau), doc_id, text, simhash)
-
-
-def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, fingerprint: Callable[[str | None], int]) -> DataFrame:
-    """The rows of docs that first_of_each keeps of classes (doc_id, fingerprint, component_id); fingerprint is that of a text, unsigned."""
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("__fp")).withColumnRenamed("doc_id", "__id")
-    named = docs.filter(F.col(doc_id).isNotNull()).join(kept.filter("__id is not null").select("__id"), F.col(doc_id) == F.col("__id")).drop("__id").dropDuplicates([doc_id])
-    nameless = classes.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return named
-    marked = _with_fingerprint(docs.filter(F.col(doc_id).isNull()), text, fingerprint)
-    rest = marked.join(nameless.withColumnRenamed("fingerprint", "__fp"), "__fp").dropDuplicates(["__fp"]).select(*docs.columns)
-    return named.unionByName(rest)
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 2, hot: int = 256, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with their columns, that stay of near duplicates by fingerprints: see ``keep_first``."""
+    return keep_first(docs, _classes(docs, doc_id, text, shingle, tau, hot), doc_id, text)
 
 
-def _with_fingerprint(docs: DataFrame, text: str, fingerprint: Callable[[str | None], int]) -> DataFrame:
-    at = docs.columns.index(text)
+def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs, with all its columns, for each root of classes (doc_id, mark, root; a row for each row of docs).
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [f"{fingerprint(t):016x}" for t in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], [*batch.schema.names, "__fp"])
-
-    return map_slices(docs, run, extended(docs.schema, __fp="string"))
+    It is that of the least doc_id, null ids last; of unlike texts under that
+    id the one of the least mark; of repeated rows any one. An id that stands
+    in several classes stays once in each of which it is the least. Texts are
+    shuffled only where more than BROADCAST_ROWS rows go.
+    """
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    counted = stash(classes.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")), "classes")
+    first = counted.groupBy("root").agg(F.min(named).alias("f"))
+    told = counted.join(first, "root").select("doc_id", "mark", "copies", (named == F.col("f")).alias("stays"))
+    own, text_mark = (unused(name, docs.columns) for name in ("__id", "__mark"))
+    apart = stash(told.filter("copies > 1 or not stays").select(F.col("doc_id").alias(own), F.col("mark").alias(text_mark), "stays"), "taken-out")
+    drop_stash(counted)
+
+    def few(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    same = F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text).cast("string")) == F.col(text_mark))
+    kept = docs.join(few(apart.drop("stays")), same, "left_anti")
+    repeated = apart.filter("stays").select(own, text_mark)
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(few(repeated), same).dropDuplicates([own, text_mark]).drop(own, text_mark)
+    return kept.unionByName(again)
