@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies: five-word shingles of similarity 0.8 or more, found exactly."""
+    """The document of least id of each group of near copies: five-word shingles of similarity 0.8 or more, verified on whole sets."""
     return nearcopies.first_of_each(docs)
 
 
