@@ -1,7 +1,9 @@
-"""Max-plus segmentation against the library reading the same pieces by best path, and exact round trips."""
+"""Max-plus segmentation against the library, for merges and for the same pieces read by best path, and exact round trips."""
 
 import random
+from functools import reduce
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -38,8 +40,12 @@ SINGLE = {10, 15}  # trainer fields that are single floats
 TEXTS = ["", "Hello world", " two  blanks ", "línea\nnueva\n\n fin", "日本語のテキスト🙂🙂", "tab\there", "a" * 300, "x" * 50 + " " * 40, "Éçan ouèque!!! 123,456.78", "\n", " "]
 
 
+def unigram():
+    return S.Model(list(S._fields(open(PATH, "rb").read())))
+
+
 def test_best_path_is_the_librarys(library):
-    own = S.Model(PATH)
+    own = unigram()
     for t in TEXTS:
         ids, score = own.encode(t)
         theirs = library.encode(t)
@@ -57,16 +63,38 @@ def own_score(own, lib, k):
     return lib.get_score(k)
 
 
+def random_texts(seed, n, most):
+    rng = random.Random(seed)
+    for _ in range(n):
+        signs = rng.choice(["ab", "aeiou rst", "0123456789abcdef", "ACGT", "abcdefghijklmnopqrstuvwxyz ", "▁ a\n", "éü日本x🙂 ", "<s>/ab ", "  \tthe in", "łżźć ő", "\u0000\u200d\ufeff a"])
+        yield "".join(rng.choice(signs) for _ in range(rng.randint(1, most)))
+
+
+def test_merges_are_the_librarys():
+    own, theirs = S.read(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert isinstance(own, S.Merges)
+    texts = [t for (t,) in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    for t in [*TEXTS, *texts, *random_texts(5, 1500, 90)]:
+        ids, score = own.encode(t)
+        assert ids.tolist() == theirs.encode(t)
+        assert abs(score - sum(theirs.get_score(k) for k in ids.tolist())) < 1e-3 or any(map(theirs.is_byte, ids.tolist()))
+        assert own.decode(ids.tolist()) == t or "▁" in t
+
+
+@pytest.mark.parametrize("read", [unigram, lambda: S.read(PATH)])
 @pytest.mark.parametrize("size", [17, 40, 200])
-def test_chunks_give_the_whole(size):
-    own, rng = S.Model(PATH), random.Random(size)
-    for t in [" ".join(TEXTS), "".join(rng.choice("abcde étions▁\n 日x") for _ in range(900)), "q" * 700, "nowordbreakshere" * 40]:
+def test_chunks_give_the_whole(size, read):
+    own = read()
+    for t in [" ".join(TEXTS), "q" * 700, "nowordbreakshere" * 40, "hex0123" * 90, *random_texts(size, 12, 900)]:
         s = own.marked(t)
         parts = S.chunks(own, s, size)
-        assert "".join(x[:n] for x, n, _ in parts) == s
-        matrices = [own.transfer(x, n, into, k == len(parts) - 1) for k, (x, n, into) in enumerate(parts)]
-        at, total = S.boundary_states(matrices)
-        got = [i for (x, n, into), a, b in zip(parts, at, at[1:], strict=False) for i in own.trace(x, n, into, a, b)]
+        assert "".join(x[lead : lead + n] for x, lead, n, _ in parts) == s
+        matrices = [own.transfer(*x, k == len(parts) - 1) for k, x in enumerate(parts)]
+        total = reduce(S.product, matrices)[0][0]
+        outer = [reduce(S.product, matrices[i : i + 3]) for i in range(0, len(matrices), 3)]
+        above = S.boundary_states(outer)  # down a tree of two levels
+        at = [0] + [x for i, (a, b) in enumerate(zip(above, above[1:], strict=False)) for x in S.boundary_states(matrices[3 * i : 3 * i + 3], a, b)[1:]]
+        got = [i for k, (x, a, b) in enumerate(zip(parts, at, at[1:], strict=False)) for i in own.trace(*x, k == len(parts) - 1, a, b)]
         assert total == sum(own.segment(w)[1] for w in own.words(s)) and got == own.encode(t)[0].tolist()
 
 
@@ -78,11 +106,11 @@ def test_product_is_associative():
 
 def test_encode_and_decode(spark):
     giant = "größe und länge " * 60
-    rows = [(1, giant), (2, "short"), (None, None), (3, ""), (1, giant), (4, "wordwithoutend" * 50), (5, "has ▁ mark")]
+    rows = [(1, giant), (2, "short"), (None, None), (3, ""), (1, giant), (4, "wordwithoutend" * 500), (5, "has ▁ mark")]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, ids string")
     got = S.encode(df, PATH, giant=400, chunk=64)
     assert got.columns == ["doc_id", "ids", "n_tokens", "score", "round_trip"]
-    own = S.Model(PATH)
+    own = S.read(PATH)
     key = lambda r: str((r[0], list(r[1])))
     have = sorted(got.collect(), key=key)
     want = sorted(((a, own.encode(b or "")[0].tolist(), own.encode(b or "")[1]) for a, b in rows), key=key)
@@ -90,5 +118,5 @@ def test_encode_and_decode(spark):
         assert (h.doc_id, list(h.ids), h.n_tokens) == (w[0], w[1], len(w[1])) and abs(h.score - w[2]) < 1e-6
         assert h.round_trip == (h.doc_id != 5)
     texts = {r.doc_id: r.text for r in S.decode(got, PATH).collect()}
-    assert texts[1] == giant and texts[4] == "wordwithoutend" * 50 and texts[None] == ""
+    assert texts[1] == giant and texts[4] == "wordwithoutend" * 500 and texts[None] == ""
     assert S.encode(df.limit(0), PATH).count() == 0
