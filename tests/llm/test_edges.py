@@ -258,6 +258,24 @@ def test_packing(spark, docs):
     assert packing.pack_texts(docs.limit(0), BYTE_VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 11])
+def test_language_blocks_are_the_whole(monkeypatch, size):
+    cases = ["", "a", "one", "Ein Wort, zwei Wörter. 123 drei!", "x" * 50, "   ", "12 ab", "ab 12", "ΌΣΟΣ ΣΑΣ'Α", "İstanbul İ x", "日本 語a\nb", "a1b2c3 ", " lead"]
+    whole = [language.ngrams(t) for t in cases]
+    for t, (grams, counts) in zip(cases, whole, strict=True):
+        want = collections.Counter()
+        words = re.findall(r"[^\W\d_]+", t.replace("Σ", "σ").lower())
+        for w in words:
+            padded = f" {w} "
+            want.update(g for n in (1, 2, 3) for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) != " ")
+        got = {"".join(chr(g >> 21 * k & (1 << 21) - 1) for k in (2, 1, 0)).lstrip("\0"): n for g, n in zip(grams.tolist(), counts.tolist(), strict=True)}
+        assert got == want
+    monkeypatch.setattr(language, "BLOCK_CHARS", size)
+    for t, (grams, counts) in zip(cases, whole, strict=True):
+        again = language.ngrams(t)
+        assert again[0].tolist() == grams.tolist() and again[1].tolist() == counts.tolist()
+
+
 def least_cost(n, sizes, prices):
     """The least cost of any packing: each set of pieces in one bin, all ways to part them."""
     price = dict(zip(sizes, prices, strict=True))

@@ -41,18 +41,29 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text, each packed into one long (21 bits a character), and how often each occurs."""
-    parts = []
-    text = text or ""
+    """Distinct n-grams of a whole text, each packed into one long (21 bits a character), and how often each occurs.
+
+    The same whatever BLOCK_CHARS is: the last two signs of a block go before
+    the next, and a word over the border stays one word.
+    """
+    parts, text, before = [], text or "", ""
+    stream = np.empty(0, np.int64)  # the last two signs so far of all words, with a blank around each
     for i in range(0, len(text), BLOCK_CHARS):
-        words = _letters.findall(text[i : i + BLOCK_CHARS].lower())
+        block = text[i : i + BLOCK_CHARS].replace("Σ", "σ").lower()  # whose lower case alone depends on what follows
+        words = _letters.findall(block)
+        goes_on = bool(_letters.match(before[-1:]) and _letters.match(block))
+        before, last = block, i + BLOCK_CHARS >= len(text)
         if not words:
-            continue
-        c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            if last and len(stream):
+                words = [""]
+            else:
+                continue
+        new = np.frombuffer((("" if goes_on or not words[0] else " ") + " ".join(words) + " " * last).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        c = np.concatenate([stream, new])
         two = c[:-1] << 21 | c[1:]
         three = (two[:-1] << 21 | c[2:])[c[1:-1] != 32]
-        grams = np.concatenate([c[c != 32], two, three])
-        parts.append(np.unique(grams, return_counts=True))
+        parts.append(np.unique(np.concatenate([new[new != 32], two[max(0, len(stream) - 1) :], three]), return_counts=True))
+        stream = c[-2:]
     return _merge(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
