@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -213,6 +214,61 @@ def test_surrogates_keep_form():
     assert evens == set(range(0, 100, 2))
 
 
+def test_people_are_found_again():
+    k = privacy.Keyed(b"key")
+    text = "Contact John Smith or Mr Smith. Smith called; SMITH's dog. Mrs J. R. O'Brien-Lee, Herr Dr. Max Müller; Müller, O'Brien-Lee. The smith works."
+    new = privacy.replace(text, k, {})[0]
+    assert new.split("The ")[1] == "smith works." and not re.search("John|Smith|SMITH|O'Brien|Lee|Max|Müller", new)
+    words = re.findall(r"[^\W_]+(?:-\w+)?", new)
+    smith = words[2]
+    assert new.count(smith) == 3 and smith.upper() in words and new.count("Mrs J. R. ") == 1 and "'s dog" in new
+    brien = re.search(r"Mrs J\. R\. (\S+),", new)[1]
+    assert f", {brien}. The" in new
+    assert privacy.replace("Anna said hello. The Market is open.", k, {})[1] == 0  # no title in the text
+
+
+def test_phones_and_wrong_check_digits():
+    k = privacy.Keyed(b"key")
+    phones = ["415 555 2671", "(415) 555 2671", "1-800-555-1234", "01 23 45 67 89", "0171 2345678", "+33 6 12 34 56 78", "030/1234567", "415-555-2671"]
+    for p in phones:
+        t = f"ask {p}, please"
+        new, n = privacy.replace(t, k, {})
+        assert n == 1 and new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t), p
+    assert privacy.replace("Tel: 91 234 56 7", k, {})[1] == 1 and privacy.replace("01.02.2024 10:30, 1234 5678, 2020-01-02, 0.5", k, {})[1] == 0
+    one, two = (re.sub(r"\D", "", privacy.replace(x, k, {})[0]) for x in ("+33612345678", "+33 6 12 34 56 78"))
+    assert one == two and one.startswith("33")
+    wrong = privacy.replace("GB82 WEST 1234 5698 7654 33", k, {})[0]
+    assert wrong.startswith("GB") and wrong != "GB82 WEST 1234 5698 7654 33" and not privacy.iban_valid(wrong.replace(" ", ""))
+    card = privacy.replace("4111 1111 1111 1112", k, {})[0].replace(" ", "")
+    assert not privacy.luhn(card)
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "a1B2/" * 400_000, "a@" * 200_000, "password=" * 50_000, "x@" + "a1." * 200_000, "password=" + "a1b2" * 50_000, "token: sk-" + "A1z" * 50_000, "Mr A. " * 40_000])
+def test_long_unbroken_texts_take_time_in_proportion(text):
+    start = time.process_time()
+    privacy.replace(text, privacy.Keyed(b"key"), {})
+    assert time.process_time() - start < 20
+
+
+def test_replacement_is_one_to_one_and_nothing_stays(spark):
+    """Against the values that were put in: none is left, one value has one surrogate everywhere, two values have two."""
+    rng = np.random.default_rng(12)
+    values = {f"{a}{i}@mail{i % 7}.example.com" for a in "abc" for i in range(40)} | {f"+49 30 {n}" for n in rng.integers(10**6, 10**7, 60)} | {f"{a}.{b}.7.{c}" for a, b, c in rng.integers(1, 255, (60, 3))}
+    values = sorted(values)
+    rows = [(i, " and ".join(values[k] for k in rng.integers(0, len(values), 5)) + ".") for i in range(300)]
+    out = {r.doc_id: r.text for r in privacy.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    pairs = {(a, b) for i, t in rows for a, b in zip(t[:-1].split(" and "), out[i][:-1].split(" and "), strict=True)}
+    used = {a for a, _ in pairs}
+    assert len(pairs) == len(used) == len({b for _, b in pairs}) and not used & {b for _, b in pairs}
+
+
+def test_sealed_values():
+    k = privacy.Keyed(b"key")
+    for v in ("", "a", "John", "日本" * 50):
+        sealed = k.seal("given", v)
+        assert k.unseal(sealed) == v and sealed == k.seal("given", v) and sealed != k.seal("surname", v) and (not v or v.encode() not in sealed)
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_collisions_are_drawn_again(spark, monkeypatch, limit):
     """Among many surnames some collide at first; none does in the end."""
@@ -223,7 +279,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch, limit):
     first = collections.Counter(privacy.surrogate(keyed, "surname", f"latin|{n.lower()}") for n in names)
     assert len(first) < len(names)
     df = spark.createDataFrame([(i, f"Mr {n} and Mrs {n}") for i, n in enumerate(names)] + [(999, None)], "doc_id long, text string")
-    drawn = {r.canon: r.attempt for r in privacy.redrawn_values(df, keyed).collect()}
+    drawn = {keyed.unseal(bytes(r.sealed)): r.attempt for r in privacy.redrawn_values(df, keyed).collect()}
     assert len(drawn) >= len(names) - len(first)
     out = [r.text.split() for r in privacy.pseudonymise(df, b"key").collect() if r.text]
     assert len({t[1] for t in out}) == len(names) and all(t[1] == t[4] for t in out)

@@ -9,7 +9,15 @@ from syllables of their script, with an ending of their gender.
 
 A check over all distinct values then looks for surrogates that are equal, or
 that are themselves a value of the table; those values are drawn again until
-none is left. Only values drawn again need to be told to the workers.
+none is left. Only values drawn again need to be told to the workers. What is
+written or shuffled for this check is sealed with the key.
+
+Names are found after a title, with or without initials; further mentions of
+them in the same text, and a listed given name before one, are found as well.
+Numbers whose check digits are wrong get surrogates with wrong ones. Not found:
+names that no title ever comes before in their text, postal addresses, birth
+dates, and secrets of none of the formats below. Names in scripts other than
+Latin, Greek and Cyrillic get Latin surrogates.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import extended, slices, stash
+from textloom.llm.common import drop_stash, extended, slices, stash, unused
 
 #: Values drawn again that are sent to every worker; more are joined to the rows that hold them.
 BROADCAST_REDRAWN = 50_000
@@ -30,6 +38,10 @@ BROADCAST_REDRAWN = 50_000
 ROOMIER = 6
 MOST_ROUNDS = 40
 ROUNDS = 8
+#: Characters of a text that are permuted as one number; a longer one is permuted piece by piece.
+PIECE = 64
+#: Characters of a credential within which its first digit must stand.
+CREDENTIAL_REACH = 256
 
 #: Alphabets within which a character stays. Fixed values.
 ALPHABETS = {
@@ -66,29 +78,41 @@ GIVEN = {
 }
 _given = {n: g for g, ns in GIVEN.items() for n in ns}
 
+#: Country codes of two digits; 1 and 7 have one, all others three. Fixed values of the public numbering plan.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 _titles = "|".join(re.escape(t) for t in sorted(_gender, key=len, reverse=True))
-_name = r"[^\W\d_a-zà-öø-ÿα-ωа-яё][^\W\d_]+(?:-[^\W\d_]+)?"
+_name = r"[^\W\d_a-zà-öø-ÿα-ωа-яё](?:[^\W\d_]+|(?=[’'-]))(?:[’'-](?!s\b)[^\W\d_]+)*"
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: The patterns, in the order in which they claim a place.
+#: The patterns, in the order in which they claim a place. None starts within a run of letters and digits, and none looks back over one, so the time is in proportion to the text.
 PATTERN = re.compile(
-    "|".join(
+    r"(?<![^\W_])(?:"
+    + "|".join(
         (
-            r"(?P<credential>(?i:(?<![^\W_])(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>(?=[^\s\"']*\d)[^\s\"']{5,}\w))",
-            r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
+            rf"(?P<credential>(?i:(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>(?=[^\s\"']{{0,{CREDENTIAL_REACH}}}\d)[^\s\"']{{5,}}\w))",
+            r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]+)*\.[^\W\d_]{2,})",
             rf"(?P<ip>(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?![\w]|\.\d))",
-            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+            r"(?P<phone>(?<!\w)(?:"
+            r"(?<!\+)\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"  # with a country code
+            r"|(?<![.(+-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)"  # three, three and four digits
+            r"|(?<![.(+-])0\d(?P<gap>[ .-]?)\d{2}(?:(?P=gap)\d{2}){3}(?![\w-]|[ .]?\d)"  # five pairs from 0
+            r"|(?<![.(+-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w-]|[ .]?\d)"  # a dialling code from 0 and a number
+            r"))",
+            r"(?P<called>(?i:t[eé]l(?:[eé]phone|[eé]fono|efon)?|phone|fax|mobile|m[oó]vil|portable|handy)(?:\.?:?[ \t]+|:)(?P<national>\(?\d(?:[ ./-]?\d){1,4}\)?(?:[ ./-]{0,2}\d){4,11})(?![\w-]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
             r"(?P<aws>(?<!\w)A(?:KIA|SIA)[A-Z0-9]{16}(?!\w))",
-            r"(?P<token>(?<!\w)(?:ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9]{16,}(?!\w))",
+            r"(?P<token>(?<!\w)(?:ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9]{16,}+(?!\w))",
             r"(?P<number>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             r"(?P<secret>(?<!\w)[0-9a-fA-F]{32,128}(?!\w))",
-            rf"(?P<person>(?<!\w)(?P<title>{_titles})\.?[ \t]+(?P<names>{_name}(?:[ \t]+{_name}){{0,2}}))",
+            rf"(?P<person>(?<!\w)(?P<title>{_titles})\.?[ \t]+(?:(?:{_titles})\.?[ \t]+)*(?:[^\W\d_]\.[ \t]*){{0,3}}(?P<names>{_name}(?:[ \t]+(?:[^\W\d_]\.[ \t]+)?{_name}){{0,2}}))",
         )
     )
+    + ")"
 )
 #: No pattern matches a text without one of these.
-_trigger = re.compile(rf"@|\d\d|\d\.\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|A[KS]IA|ghp_|gho_|sk-|xox|(?i:password|passwd|passphrase|pwd|secret|token|key|auth)")
+_trigger = re.compile(rf"@|\d[^\w]{{0,2}}\d|(?<!\w)(?:{_titles})\.?[ \t]|[0-9a-fA-F]{{32}}|A[KS]IA|ghp_|gho_|sk-|xox|(?i:password|passwd|passphrase|pwd|secret|token|key|auth)")
+_mention = re.compile(rf"(?<![\w’'-]){_name}")
 
 
 _hex = re.compile(r"[0-9a-f]{8,}|[0-9A-F]{8,}")
@@ -127,8 +151,10 @@ class Keyed:
             if value < size and fits(value):
                 return value
 
-    def letters(self, text: str, tweak: str) -> str:
-        """A permutation of all lower-case texts of the same pattern; characters of no alphabet stay."""
+    def letters(self, text: str, tweak: str, fits: Callable[[str], bool] = lambda _: True) -> str:
+        """A permutation of all lower-case texts of the same pattern that fit; characters of no alphabet stay. Beyond PIECE characters, of each piece in its place."""
+        if len(text) > PIECE:
+            return "".join(self.letters(text[i : i + PIECE], f"{tweak}|{i}") for i in range(0, len(text), PIECE))
         classes = [_class_of.get(c) for c in text]
         value, size = 0, 1
         for c, name in zip(text, classes, strict=True):
@@ -137,16 +163,36 @@ class Keyed:
         if size == 1:
             return text
         pattern = "".join(f"<{name}>" if name else c for c, name in zip(text, classes, strict=True))
-        value, out = self.permute(value, size, f"{tweak}|{pattern}"), []
-        for c, name in zip(reversed(text), reversed(classes), strict=True):
-            if name:
-                value, k = divmod(value, len(ALPHABETS[name]))
-                c = ALPHABETS[name][k]
-            out.append(c)
-        return "".join(reversed(out))
+
+        def read(value: int) -> str:
+            out = []
+            for c, name in zip(reversed(text), reversed(classes), strict=True):
+                if name:
+                    value, k = divmod(value, len(ALPHABETS[name]))
+                    c = ALPHABETS[name][k]
+                out.append(c)
+            return "".join(reversed(out))
+
+        return read(self.permute(value, size, f"{tweak}|{pattern}", lambda v: fits(read(v))))
+
+    def seal(self, kind: str, value: str) -> bytes:
+        """A value in a form that shows nothing of it without the key; equal ones are equal."""
+        data = value.encode("utf-8", "surrogatepass")
+        mark = hashlib.blake2b(kind.encode() + b"\0" + data, key=self.key, digest_size=16).digest()
+        return mark + self._masked(mark, data)
+
+    def unseal(self, sealed: bytes) -> str:
+        """The value that was sealed."""
+        return self._masked(sealed[:16], sealed[16:]).decode("utf-8", "surrogatepass")
+
+    def _masked(self, mark: bytes, data: bytes) -> bytes:
+        mask = hashlib.shake_256(self.key + b"seal" + mark).digest(len(data))
+        return (int.from_bytes(data, "big") ^ int.from_bytes(mask, "big")).to_bytes(len(data), "big")
 
     def over(self, text: str, alphabet: str, tweak: str, fits: Callable[[str], bool] = lambda _: True) -> str:
-        """A permutation of the texts of this length over an alphabet that fit."""
+        """A permutation of the texts of this length over an alphabet that fit. Beyond PIECE characters, of each piece in its place."""
+        if len(text) > PIECE:
+            return "".join(self.over(text[i : i + PIECE], alphabet, f"{tweak}|{i}") for i in range(0, len(text), PIECE))
         base, n = len(alphabet), len(text)
 
         def read(value: int) -> str:
@@ -182,9 +228,10 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
 
     The canonical value is what two mentions of one thing share.
     """
-    out = []
+    out: list[tuple[int, int, str, str, str]] = []
     if not _trigger.search(text):
         return out
+    people: dict[str, tuple[str, str]] = {}  # a name in lower case: its kind and canonical value
     for m in PATTERN.finditer(text):
         kind, s = m.lastgroup, m.group()
         if kind == "credential":
@@ -192,16 +239,20 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
             canon, kind = (s.lower(), "secret") if _hex.fullmatch(s) else (s, "credential")
             out.append((m.start("value"), m.end("value"), kind, canon, s))
             continue
+        if kind == "called":
+            out.append((m.start("national"), m.end("national"), "phone", _phone(m["national"]), m["national"]))
+            continue
         if kind == "person":
-            names = [(n.start() + m.start("names"), n.group()) for n in re.finditer(r"\S+", m["names"])]
+            names = [(n.start() + m.start("names"), n.group()) for n in re.finditer(r"\S{2,}(?<!\.)", m["names"])]
             gender = _gender[m["title"]]
             for k, (at, name) in enumerate(names):
                 low = _lower(name)
                 if k == len(names) - 1:
-                    out.append((at, at + len(name), "surname", f"{script_of(name)}|{low}", name))
+                    own = "surname", f"{script_of(name)}|{low}"
                 else:
-                    own = gender if gender != "n" else _given.get(low, "n")
-                    out.append((at, at + len(name), "given", f"{own}|{script_of(name)}|{low}", name))
+                    own = "given", f"{gender if gender != 'n' else _given.get(low, 'n')}|{script_of(name)}|{low}"
+                people.setdefault(low, own)
+                out.append((at, at + len(name), *own, name))
             continue
         if kind == "email":
             canon = _lower(s)
@@ -211,7 +262,7 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
             canon = re.sub(r"\D", "", s)
         elif kind == "iban":
             canon = s.replace(" ", "")
-            if not iban_valid(canon):
+            if not iban_valid(canon) and sum(map(str.isdigit, canon[4:])) < 8:
                 continue
         elif kind == "ip":
             canon = ".".join(str(int(x)) for x in s.split("."))
@@ -220,7 +271,29 @@ def spans(text: str) -> list[tuple[int, int, str, str, str]]:
         else:
             canon = s
         out.append((m.start(), m.end(), kind, canon, s))
-    return out
+    return _with_mentions(text, out, people) if people else out
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str, str]], people: dict[str, tuple[str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """found and, between its spans, every further mention of the people's names, and of a listed given name right before one of them."""
+    more, k = [], 0
+    before: tuple[int, int, str] | None = None  # a listed given name that the next word may make a person's
+    for m in _mention.finditer(text):
+        start, end, name = m.start(), m.end(), m.group()
+        while k < len(found) and found[k][1] <= start:
+            k += 1
+        free = k == len(found) or found[k][0] >= end
+        low = _lower(name)
+        own = people.get(low)
+        if own and before and text[before[1] : start].isspace():
+            first = _lower(before[2])
+            more.append((before[0], before[1], "given", f"{_given[first]}|{script_of(first)}|{first}", before[2]))
+        before = None
+        if own and free:
+            more.append((start, end, *own, name))
+        elif free and low in _given:
+            before = (start, end, name)
+    return sorted(found + more) if more else found
 
 
 def _phone(surface: str) -> str:
@@ -228,8 +301,8 @@ def _phone(surface: str) -> str:
     digits = re.sub(r"\D", "", surface)
     if not surface.startswith("+"):
         return "|" + digits
-    known = digits[0] if digits[0] in "17" else re.match(r"\+(\d{1,3})", surface)[1]
-    return f"{known}|{digits[len(known):]}"
+    n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    return f"{digits[:n]}|{digits[n:]}"
 
 
 def surrogate(keyed: Keyed, kind: str, canon: str, attempt: int = 0) -> str:
@@ -262,6 +335,8 @@ def surrogate(keyed: Keyed, kind: str, canon: str, attempt: int = 0) -> str:
         value, usual = int.from_bytes(bytes(a), "big"), 0 < a[0] < 255
         new = keyed.permute(value, 1 << 32, f"{tweak}|{usual}", lambda v: (0 < v >> 24 < 255) == usual)
         return ".".join(map(str, new.to_bytes(4, "big")))
+    if kind == "iban" and not iban_valid(canon):
+        return canon[:2] + keyed.letters(canon[2:].lower(), f"{tweak}|{canon[:2]}|wrong", lambda x: not iban_valid(canon[:2] + x.upper())).upper()
     if kind == "iban":
         land, rest = canon[:2], canon[4:]
         shape = "".join("9" if c.isdigit() else "A" for c in rest)
@@ -273,7 +348,7 @@ def surrogate(keyed: Keyed, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "credential":
         case = "".join("u" if c.isupper() else "l" for c in canon)
         low = _lower(canon) + "0" * more
-        return _cased(keyed.letters(low, f"{tweak}|{case}"), canon + "0" * more)
+        return _cased(keyed.letters(low, f"{tweak}|{hashlib.sha256(case.encode()).hexdigest()}"), canon + "0" * more)
     if kind == "aws":
         return canon[:4] + keyed.over(canon[4:] + "0" * more, BASE36, tweak)
     head = re.match(r"(?:ghp_|gho_|sk-|xox[abp]-)", canon).group()
@@ -296,11 +371,12 @@ def written(kind: str, surface: str, new: str) -> str:
     return dressed + "".join(signs)
 
 
-def replace(text: str, keyed: Keyed, redrawn: dict[tuple[str, str], int]) -> tuple[str, int]:
-    """The text with a surrogate for every value, and how many there were."""
+def replace(text: str, keyed: Keyed, redrawn: dict[tuple[str, bytes], int]) -> tuple[str, int]:
+    """The text with a surrogate for every value, and how many there were. redrawn: (kind, sealed value) to attempt."""
     found, out, at = spans(text), [], 0
     for start, end, kind, canon, surface in found:
-        out += [text[at:start], written(kind, surface, surrogate(keyed, kind, canon, redrawn.get((kind, canon), 0)))]
+        attempt = redrawn.get((kind, keyed.seal(kind, canon)), 0) if redrawn else 0
+        out += [text[at:start], written(kind, surface, surrogate(keyed, kind, canon, attempt))]
         at = end
     return "".join([*out, text[at:]]) if found else text, len(found)
 
@@ -322,34 +398,54 @@ def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, start long, end long, kind string, canon string, surface string")
 
 
+def _values(docs: DataFrame, keyed: Keyed) -> DataFrame:
+    """Rows (mark, kind, sealed) of the values in docs (mark, text), each once for each piece of a batch and mark; nothing leaves a task in clear."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                found = {(i, kind, canon) for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) for _, _, kind, canon, _ in spans(t or "")}
+                rows = [(i, kind, keyed.seal(kind, canon)) for i, kind, canon in found]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.binary()), strict=True)], ["mark", "kind", "sealed"])
+
+    return docs.select("mark", F.col("text").cast("string").alias("text")).mapInArrow(run, "mark binary, kind string, sealed binary")
+
+
 def _drawn(values: DataFrame, keyed: Keyed) -> DataFrame:
-    """Rows (kind, canon, attempt) with the surrogate of each."""
+    """Rows (kind, sealed, attempt) with the sealed surrogate of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [surrogate(keyed, *x) for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
+            new = [keyed.seal(kind, surrogate(keyed, kind, keyed.unseal(sealed), attempt)) for kind, sealed, attempt in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.binary())], ["kind", "sealed", "attempt", "new"])
 
-    return values.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+    return values.select("kind", "sealed", "attempt").mapInArrow(run, "kind string, sealed binary, attempt int, new binary")
 
 
 def redrawn_values(docs: DataFrame, keyed: Keyed, text: str = "text") -> DataFrame:
-    """Rows (kind, canon, attempt), attempt > 0, of the values whose first surrogate is another's or is itself a value.
+    """Rows (kind, sealed, attempt), attempt > 0, of the values whose first surrogate is another's or is itself a value; written.
 
-    Of values with one surrogate the least keeps it. Each round joins the
-    distinct values to their surrogates; nothing comes to the driver but
-    whether any was drawn again.
+    Of values with one surrogate one keeps it. Each round joins the distinct
+    values to their surrogates; nothing comes to the driver but whether any
+    was drawn again. A RuntimeError after MOST_ROUNDS rounds: each makes a
+    full format roomier, so that is a fault of the formats, not of the data.
     """
-    values = entities(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text"))).select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
-    now = stash(_drawn(values, keyed), "surrogates")
+    found = _values(docs.select(F.lit(None).cast("binary").alias("mark"), F.col(text).alias("text")), keyed)
+    now = stash(_drawn(found.select("kind", "sealed").distinct().withColumn("attempt", F.lit(0)), keyed), "surrogates")
     for _ in range(MOST_ROUNDS):
-        shared = now.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("least")).filter("n > 1").select("kind", "new", "least")
-        taken = now.select("kind", F.col("canon").alias("new")).withColumn("taken", F.lit(True))
+        shared = now.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min("sealed").alias("least")).filter("n > 1").select("kind", "new", "least")
+        taken = now.select("kind", F.col("sealed").alias("new")).withColumn("taken", F.lit(True))
         marked = now.join(shared, ["kind", "new"], "left").join(taken, ["kind", "new"], "left")
-        again = stash(marked.filter((F.col("least").isNotNull() & (F.col("canon") != F.col("least"))) | F.col("taken")).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "drawn-again")
+        again = stash(marked.filter((F.col("least").isNotNull() & (F.col("sealed") != F.col("least"))) | F.col("taken")).select("kind", "sealed", (F.col("attempt") + 1).alias("attempt")), "drawn-again")
         if again.isEmpty():
-            return now.filter("attempt > 0").select("kind", "canon", "attempt")
-        now = stash(now.join(again, ["kind", "canon"], "left_anti").unionByName(_drawn(again, keyed)), "surrogates")
+            redrawn = stash(now.filter("attempt > 0").select("kind", "sealed", "attempt"), "redrawn")
+            drop_stash(now)
+            return redrawn
+        after = stash(now.join(again, ["kind", "sealed"], "left_anti").unionByName(_drawn(again, keyed)), "surrogates")
+        drop_stash(now)
+        drop_stash(again)
+        now = after
     raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} draws")
 
 
@@ -359,34 +455,38 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", count_out: str
     A null text stays null (0 values), an empty one empty. Repeated rows get
     the same text. Two passes over the texts and no shuffle of them, unless
     more than BROADCAST_REDRAWN values had to be drawn again. An empty table
-    gives no rows.
+    gives no rows. An error if surrogates cannot be told apart, see
+    ``redrawn_values``.
     """
     keyed = Keyed(key)
     redrawn = redrawn_values(docs, keyed, text)
     kept = docs.drop(count_out) if count_out else docs
-    told: dict[tuple[str, str], int] = {}
+    told: dict[tuple[str, bytes], int] = {}
     few = redrawn.count() <= BROADCAST_REDRAWN
+    columns = kept.columns
     if few:
-        told = {(r.kind, r.canon): r.attempt for r in redrawn.collect()}
+        told = {(r.kind, bytes(r.sealed)): r.attempt for r in redrawn.collect()}
+        drop_stash(redrawn)
     else:  # each row brings the draws of its own values, found by a digest of the text
-        mark = F.sha2(F.col(text), 256)
-        held = entities(docs.select(mark.alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "kind", "canon").distinct()
-        own = held.join(redrawn, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__draws"))
-        kept = kept.withColumn("__mark", mark).join(own.withColumnRenamed("doc_id", "__mark"), "__mark", "left").select(*kept.columns, "__draws")
-    at, draws_at = kept.columns.index(text), None if few else len(kept.columns) - 1
-    fields = kept.drop("__draws").schema
+        own_mark, draws = unused("__mark", columns), unused("__draws", columns)
+        mark = F.unhex(F.sha2(F.col(text).cast("string"), 256))
+        held = _values(docs.select(mark.alias("mark"), F.col(text).alias("text")), keyed).distinct()
+        own = held.join(redrawn, ["kind", "sealed"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "sealed", "attempt")).alias(draws))
+        kept = kept.withColumn(own_mark, mark).join(own.withColumnRenamed("mark", own_mark), own_mark, "left").select(*columns, draws)
+    at, draws_at = columns.index(text), None if few else len(columns)
+    fields = kept.select(*columns).schema
     result = extended(fields, **{count_out: "long"}) if count_out else fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 new, counts = [], []
-                draws = piece.column(draws_at).to_pylist() if draws_at is not None else [None] * piece.num_rows
-                for t, own in zip(piece.column(at).to_pylist(), draws, strict=True):
-                    t, n = (t, 0) if t is None else replace(t, keyed, told if own is None else {(d["kind"], d["canon"]): d["attempt"] for d in own})
+                brought = piece.column(draws_at).to_pylist() if draws_at is not None else [None] * piece.num_rows
+                for t, own in zip(piece.column(at).to_pylist(), brought, strict=True):
+                    t, n = (t, 0) if t is None else replace(t, keyed, told if own is None else {(d["kind"], d["sealed"]): d["attempt"] for d in own})
                     new.append(t)
                     counts.append(n)
-                columns = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(piece.columns) if k != draws_at]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(counts, pa.int64())] if count_out else []), result.names)
+                out = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(piece.columns) if k != draws_at]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(counts, pa.int64())] if count_out else []), result.names)
 
     return kept.mapInArrow(run, result)
