@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -381,14 +382,38 @@ def test_pack_optimises_over_sizes():
     assert size.tolist() == [1024] and opened.tolist() == [8192] and set(bins) == {0}
 
 
-def test_licenses(spark, docs):
+def test_licenses(spark, docs, monkeypatch):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT")
     loud = "Copyright (c) 2020 Jane Doe\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ,\n")
-    rows = [(1, loud), (2, mit + " more"), (3, None), (3, None), (None, "x\nReleased under the MIT Licence!\n(C) 1999 me"), (4, "")]
+    long = "All rights reserved by nobody, says the text\nwilful and wilfull"
+    rows = [(1, loud), (2, mit + " more"), (3, None), (3, None), (None, "x\nReleased under the MIT Licence!\n(C) 1999 me"), (4, ""), (5, "The MIT License (MIT)\n\nCopyright 1999 x\n" + mit), (6, "zz " * 5000 + "\n" + mit.replace("\n", " ") + "\nSPDX-License-Identifier: GPL-3.0-or-later"), (7, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", language.F.lit(1))
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
-    assert (got[1].license_id, got[2].license_id, got[None].license_id, got[None].notices, got[3].license_id) == ("MIT", None, None, "MIT", None)
+    assert (got[1].license_id, got[2].license_id, got[None].license_id, got[None].notices, got[3].license_id, got[5].license_id) == ("MIT", None, None, "MIT", None, "MIT")
+    assert got[6].notices == "GPL-3.0-or-later,MIT" and "reserved by nobody" in licenses.canonical(long) and licenses.canonical("wilful damage") == licenses.canonical("Willful damage")
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0 and licenses.scan(docs).count() == len(ROWS)
+    # a table of the caller's, looked up and, beyond the limit, joined; one digest of two licences and a null
+    own = [(licenses.digest("Released under the MIT License."), x) for x in ("Z", "A", None)] + [(licenses.digest(""), "E"), (None, "N")]
+    known = spark.createDataFrame(own, "digest string, license_id string")
+    for limit in (100, 0):
+        monkeypatch.setattr(licenses, "NOTICES_LIMIT", limit)
+        found = {(r.doc_id, r.license_id, r.notices) for r in licenses.scan(df, known).collect()}
+        assert (None, None, "A,E") in found and (4, "E", "E") in found and (3, "E", "E") in found and len(found) == 8 and licenses.scan(df, known).count() == len(rows)
+    # passing over lines changes nothing
+    names = licenses.known_digests()
+    for _, t in [*rows, *((0, f"{t}\n. {t}") for _, t in licenses.KNOWN)]:
+        lines = [x for x in (t or "").split("\n") if licenses.digest(x) in names]
+        assert all(map(licenses._may_be_known, lines))
+    assert len(set(names.values())) >= 30
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the texts are those of Debian's base-files")
+@pytest.mark.parametrize("name, licence", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3-only"), ("Artistic", "Artistic-1.0-Perl")])
+def test_published_licenses(name, licence):
+    with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+        text = f.read()
+    known = licenses.known_digests()
+    assert known[licenses.digest(text)] == known[licenses.digest(text.upper().replace("\n", "\r\n  "))] == licence
 
 
 def test_urls(spark):
