@@ -8,18 +8,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own on a local master; on any other an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
     return _own[app]
@@ -35,13 +40,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes the files behind a stashed table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what is stashed within, at its end, but for the tables that the caller puts in the list."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    before, keep = len(made), []
+    yield keep
+    names = {f.rsplit("/", 2)[1] for df in keep for f in df.inputFiles()}
+    for path in made[before:]:
+        if path.rsplit("/", 1)[1] not in names:
+            _delete(spark, path)
+    made[before:] = [p for p in made[before:] if p.rsplit("/", 1)[1] in names]
