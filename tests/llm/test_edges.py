@@ -447,3 +447,17 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(range(60))
+
+
+def test_run_leaves_no_text_as_it_was(spark, tmp_path, monkeypatch):
+    from textloom import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    rng = np.random.default_rng(3)
+    words = "market river window people station garden number story morning letter water paper".split()
+    rows = [(i, " ".join(rng.choice(words, 120)) + f" ask private{i}@mail.example.com.", "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 40
+    left = list((tmp_path / "shared/textloom").iterdir())
+    seen = [str(r.asDict()) for p in left for r in spark.read.parquet(f"file://{p}").collect()]
+    assert any("mail" not in x for x in seen) and not any(f"private{i}@" in x for i in range(40) for x in seen)
