@@ -10,10 +10,14 @@ orders: a pair of similarity 0.8 shares none with a probability of
 (1 - 0.8 ** ROWS) ** BANDS, below one in a million. Every candidate is compared
 on the whole sets, so no pair below SIMILARITY is linked.
 
-Texts of one set collapse first. Under one key all are compared with the one
-that shares most keys with others, as a rule the original that the others
-were made from. Only those that are then apart from it are compared with the
-rest of the key, so a large group of copies is not paired off.
+Texts of one set collapse first. Under one key all are compared with its
+centre, the set that shares most keys with others: as a rule the original that
+the others were made from. Sets that are then apart from it are not paired off
+with the rest of the key. In the order "what the centre lacks first, then the
+others, by hash", two sets of that similarity share one of their first n - o + 1
+shingles (n: the size of a set, o: the least that the two have in common). What
+a set has beyond the centre is seldom another's, so an equality join on those
+shingles leaves few pairs, and loses none.
 """
 
 from __future__ import annotations
@@ -103,20 +107,17 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return map_slices(keyed, run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, fp long, bands array<long>")
 
 
-def _sizes_fit(n: str, m: str) -> Column:
-    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
-
-
 def _few(rows: DataFrame) -> DataFrame:
     """Written rows, to be broadcast if they are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_LONGS else rows
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets have a similarity of SIMILARITY or more, written. Only texts of such sets are read again."""
-    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
-    if pairs.isEmpty():
-        return pairs
+def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """pairs (a, b, least) with: linked, whether the sets of a and b have a similarity of SIMILARITY or more; prefix, where least is not null: the first shingles of b in the order of centre a. Written.
+
+    least: the size of the smallest set that b has to find. Only texts of sets of the pairs are read again.
+    """
+    pairs = stash(pairs.distinct(), "near-candidates")
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = stash(nodes.join(sids, "sid", "left_semi").select("mark"), "near-wanted")
 
@@ -127,8 +128,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
     texts = docs.select(mark(text).alias("mark"), F.col(text).cast("string").alias("text")).join(_few(wanted), "mark", "left_semi").select("text")
     sets = stash(map_slices(texts, run, "sid long, own array<long>").dropDuplicates(["sid"]), "near-sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = stash(both.filter(shared >= (F.size("x") + F.size("y") - shared) * SIMILARITY).select("a", "b"), "near-pairs")
+    both = both.withColumns({"shared": F.array_intersect("y", "x"), "n": F.size("y")}).withColumn("common", F.size("shared"))
+    # common / (n + m - common) >= SIMILARITY, and the least that two sets of such a similarity and these sizes have in common
+    linked = F.col("common") >= (F.col("n") + F.size("x") - F.col("common")) * SIMILARITY
+    overlap = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY))) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    length = F.greatest(F.lit(1), F.least(F.col("n"), F.col("n") - overlap + 1)).cast("int")
+    prefix = F.when(F.col("least").isNotNull(), F.slice(F.concat(F.array_except("y", "x"), "shared"), F.lit(1), length))
+    found = stash(both.select("a", "b", linked.alias("linked"), prefix.alias("prefix")), "near-pairs")
     for done in (pairs, wanted, sets):
         drop_stash(done)
     return found
@@ -145,24 +151,33 @@ def _close_fingerprints(nodes: DataFrame, tau: int) -> DataFrame:
 
 def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any candidate pair reaches. nodes: sid, mark, n, fp, bands; one row a set."""
-    keys = nodes.filter("n > 0").select("sid", "n", F.explode("bands").alias("key"))
+    nodes = nodes.filter("n > 0")
+    keys = nodes.select("sid", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     rows = stash(keys.join(shared, "key"), "near-keys")
     weight = rows.groupBy("sid").agg(F.sum("held").alias("weight"))
-    centre = rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("c")).select("key", F.col("c.sid").alias("centre"), F.col("c.n").alias("m"))
-    centre = stash(centre, "near-centres")
-    stars = rows.join(centre, "key").filter((F.col("sid") != F.col("centre")) & _sizes_fit("n", "m")).select(F.col("centre").alias("a"), F.col("sid").alias("b"))
-    links = _verified(stars.unionByName(_close_fingerprints(nodes.filter("n > 0"), TAU)), nodes, docs, text)
-    roots = connected_components(links, "a", "b")
-    rooted = rows.join(roots, rows.sid == roots.node, "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    heads = centre.join(roots, centre.centre == roots.node, "left").select("key", "centre", F.coalesce("root", "centre").alias("head"))
-    rooted = stash(rooted.join(heads, "key"), "near-rooted")
-    apart = rooted.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = rooted.filter("sid <> centre").join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m"))
-    more = _verified(rest.select("a", F.col("sid").alias("b")), nodes, docs, text)
-    for done in (rows, centre, rooted):
+    centres = rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("c")).select("key", F.col("c.sid").alias("a"))
+    stars = stash(rows.join(centres, "key").select("a", F.col("sid").alias("b"), "n").distinct(), "near-stars")
+    least = stars.groupBy("a").agg(F.min("n").alias("least"))
+    close = _close_fingerprints(nodes, TAU).withColumn("least", F.lit(None).cast("long"))
+    found = _compared(stars.join(least, "a").select("a", "b", "least").unionByName(close), nodes, docs, text)
+    links = stash(found.filter("linked and a <> b").select("a", "b"), "near-links")
+    roots = stash(connected_components(links, "a", "b"), "near-roots")
+    # those apart from a centre, by the shingles that they share with others around it
+    around = found.filter("prefix is not null").select("a", F.col("b").alias("sid"), "prefix")
+    rooted = around.join(_named(roots, "sid", "root"), "sid", "left").join(_named(roots, "a", "head"), "a", "left")
+    marks = rooted.select("sid", (F.coalesce("root", "sid") != F.coalesce("head", "a")).alias("apart"), F.explode("prefix").alias("shingle"), "a").select("sid", "apart", F.xxhash64("a", "shingle").alias("key"))
+    marks = stash(marks, "near-marks")
+    met = marks.filter("apart").select("key", F.col("sid").alias("a")).join(marks.select("key", F.col("sid").alias("b")), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = met.join(_named(roots, "a", "x"), "a", "left").join(_named(roots, "b", "y"), "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    more = _compared(rest.select("a", "b", F.lit(None).cast("long").alias("least")), nodes, docs, text)
+    for done in (rows, stars, found, marks, roots):
         drop_stash(done)
-    return links.unionByName(more)
+    return links.unionByName(more.filter("linked").select("a", "b"))
+
+
+def _named(roots: DataFrame, node: str, root: str) -> DataFrame:
+    return roots.select(F.col("node").alias(node), F.col("root").alias(root))
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
