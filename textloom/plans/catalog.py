@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import evaluation, extraction, functions, metrics, retrieval, texts
+from textloom.plans import dossier, evaluation, extraction, functions, metrics, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions, evaluation, retrieval, texts, extraction, metrics]
+_modules = [functions, evaluation, retrieval, texts, extraction, metrics, dossier]
 
 
 def queries() -> dict[str, Query]:
