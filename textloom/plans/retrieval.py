@@ -98,7 +98,50 @@ def hybrid_search_rrf(s, d):
 def filtered_search(s, d):
     docs = table(s, d, "documents")
     allowed = docs.filter("lang = 'en'").select("doc_id")
-    return retrieval.restrict(retrieval.keyword_arm(docs, query_terms(s), 50), allowed, "doc_id").select("query", "doc_id", "rank")
+    return retrieval.keyword_arm(docs, query_terms(s), 50, allowed=allowed).select("query", "doc_id", "rank")
+
+
+def query_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The queries with terms and the vectors 20 and 40."""
+    e = table(s, d, "embeddings").filter("vec_id IN (20, 40)")
+    return query_terms(s).join(e.select(F.when(F.col("vec_id") == 20, "q1").otherwise("q2").alias("query"), "embedding"), "query")
+
+
+def _hybrid(s: SparkSession, d: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return retrieval.hybrid(table(s, d, "documents"), vectors, query_vectors(s, d), k, allowed=allowed).select("query", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+def hybrid_vector_search(s, d):
+    return _hybrid(s, d, 10)
+
+
+def hybrid_filtered_search(s, d):
+    return _hybrid(s, d, 20, table(s, d, "documents").filter("lang = 'de'").select("doc_id"))
+
+
+def hybrid_document_search(s, d):
+    return _hybrid(s, d, 10, table(s, d, "documents").filter("doc_id IN (3, 20, 41, 77, 110, 150)").select("doc_id"))
+
+
+def memory_hybrid_search(s, d):
+    texts = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    e = table(s, d, "embeddings")
+    vectors = texts.select("id", (F.col("id") % 499).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    live = memories(s, d).filter(memory.valid_at(F.lit(60)) & F.col("kind").isin("preference", "fact")).select("id")
+    return retrieval.hybrid(texts, vectors, query_vectors(s, d), 10, doc_id="id", allowed=live).select("query", "id", F.round("score", 9).alias("score"), "rank")
+
+
+def reranked_search(s, d):
+    pool = retrieval.keyword_arm(table(s, d, "documents"), query_terms(s), 40)
+    closeness = 1.0 / (1 + F.abs(F.length("text") - 900))
+    return retrieval.rerank(pool, table(s, d, "documents").select("doc_id", "text"), closeness, 5).select("query", "doc_id", "rank")
+
+
+def search_objects(s, d):
+    objects = table(s, d, "documents").select("doc_id", "source", "lang")
+    sources = ["src1", "src3", "src7"]
+    return retrieval.search_objects(table(s, d, "documents"), query_terms(s), objects, 8, sources).select("query", "doc_id", "source", "rank")
 
 
 def vector_top_k(s, d):
@@ -126,7 +169,7 @@ def memory_point_in_time(s, d):
 
 def memory_recall(s, d):
     ranked = memories(s, d).withColumn("score", (F.col("id") * 7919 % 1000) / 1000.0)
-    return memory.recall(ranked, ["preference", "fact"], "s1", F.lit(70), 40).select("id", "score")
+    return memory.recall(ranked, ["preference", "fact"], "s1", F.lit(30), 200).select("id", "score")
 
 
 def memory_invalidate(s, d):
@@ -230,24 +273,45 @@ def last_turns(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_scores, keyword_top_k, hybrid_search_rrf, filtered_search, vector_top_k, keyset_page, folder_subtree, memories_by_entity, memory_point_in_time, memory_recall, memory_invalidate, memory_upsert, memory_conflicts, memory_forget,
+    bm25_scores, keyword_top_k, hybrid_search_rrf, filtered_search, hybrid_vector_search, hybrid_filtered_search, hybrid_document_search, memory_hybrid_search, reranked_search, search_objects, vector_top_k, keyset_page, folder_subtree, memories_by_entity, memory_point_in_time, memory_recall, memory_invalidate, memory_upsert, memory_conflicts, memory_forget,
     token_references, party_dossier, obligations_owed, citation_chain, risk_findings, appeal_chain, latest_cells, cell_history, review_grid, conditional_cells, span_overlaps, span_contains, merged_spans, healed_spans, greedy_spans, bio_runs, last_turns,
 )}
 _kw = f"{BM25_SQL}, kw AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm)"
 _stem = f"st AS (SELECT query, doc_id, count(*) AS c FROM (SELECT doc_id, unnest(list_distinct(list_transform(t, lambda w: w[1:3]))) AS stem FROM t) JOIN (SELECT DISTINCT query, term[1:3] AS stem FROM q) USING (stem) GROUP BY ALL), tr AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY c DESC, doc_id)::INT AS rank FROM st)"
 _latest = f"{CELL_SQL}, l AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY row_id, col_id ORDER BY version DESC) = 1)"
+
+
+def _hybrid_sql(allowed: str, k: int, docs: str = "SELECT doc_id, text FROM documents", vectors: str = "SELECT vec_id AS doc_id, embedding FROM embeddings") -> str:
+    """Keyword and vector ranks of the allowed ids, fused."""
+    return f"""WITH {BM25_SQL.replace("FROM documents)", "FROM docs0)").replace(QUERY_SQL, f"docs0 AS ({docs}), {QUERY_SQL}")}, al(doc_id) AS ({allowed}),
+kw AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM al)), v AS ({vectors}),
+vs AS (SELECT CASE q.vec_id WHEN 20 THEN 'q1' ELSE 'q2' END AS query, v.doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS score FROM v, embeddings q WHERE q.vec_id IN (20, 40) AND v.doc_id IN (SELECT doc_id FROM al)),
+vk AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM vs),
+f AS (SELECT query, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM kw WHERE rank <= 50 UNION ALL SELECT * FROM vk WHERE rank <= 50) GROUP BY ALL)
+SELECT query, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY f.score DESC, doc_id) <= {k}"""
+
+
 _graph = "'o' || l_orderkey || '-' || l_linenumber"
 ORACLE = {
     "bm25_scores": f"WITH {BM25_SQL} SELECT query, doc_id, round(score, 6) AS score FROM bm",
     "keyword_top_k": f"WITH {_kw} SELECT * FROM kw WHERE rank <= 10",
     "hybrid_search_rrf": f"WITH {_kw}, {_stem}, f AS (SELECT query, doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM kw WHERE rank <= 50 UNION ALL SELECT * FROM tr WHERE rank <= 50) GROUP BY ALL) SELECT query, doc_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 10",
-    "filtered_search": f"WITH {_kw} SELECT kw.* FROM kw WHERE rank <= 50 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "filtered_search": f"WITH {BM25_SQL} SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY rank <= 50",
+    "hybrid_vector_search": _hybrid_sql("SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings", 10),
+    "hybrid_filtered_search": _hybrid_sql("SELECT doc_id FROM documents WHERE lang = 'de'", 20),
+    "hybrid_document_search": _hybrid_sql("SELECT unnest([3, 20, 41, 77, 110, 150])", 10),
+    "memory_hybrid_search": _hybrid_sql(
+        f"WITH {MEM_SQL} SELECT id FROM m0 WHERE valid_from <= 60 AND (valid_to IS NULL OR valid_to > 60) AND kind IN ('preference', 'fact')", 10,
+        "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations", "SELECT conv_id * 1000 + turn AS doc_id, embedding FROM conversations JOIN embeddings ON vec_id = (conv_id * 1000 + turn) % 499",
+    ).replace("SELECT query, doc_id, round", "SELECT query, doc_id AS id, round"),
+    "reranked_search": f"WITH {_kw} SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE / (1 + abs(length(text) - 900)) DESC, doc_id)::INT AS rank FROM kw JOIN documents USING (doc_id) WHERE kw.rank <= 40 QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE / (1 + abs(length(text) - 900)) DESC, doc_id) <= 5",
+    "search_objects": f"WITH {BM25_SQL} SELECT query, doc_id, source, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm JOIN documents USING (doc_id) WHERE source IN ('src1', 'src3', 'src7') QUALIFY rank <= 8",
     "vector_top_k": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, round(score, 5) AS score FROM p QUALIFY rank <= 5",
     "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 0) ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "folder_subtree": "WITH p AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '/')) AS p FROM pages) SELECT page_id FROM p WHERE p = '/m.free-bets.example.com' OR starts_with(p, '/m.free-bets.example.com/') OR p = '/blog.ththan.example.net/en' OR starts_with(p, '/blog.ththan.example.net/en/')",
     "memories_by_entity": f"WITH {MEM_SQL} SELECT id, kind FROM m0 WHERE list_has_any(refs, ['the', 'de', 'and']) AND valid_from <= 60 AND (valid_to IS NULL OR valid_to > 60) ORDER BY id LIMIT 100",
     "memory_point_in_time": f"WITH {MEM_SQL} SELECT id, valid_from FROM m0 WHERE valid_from <= 50 AND (valid_to IS NULL OR valid_to > 50) AND (session IS NULL OR session = 's3')",
-    "memory_recall": f"WITH {MEM_SQL}, p AS (SELECT *, (id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM m0 ORDER BY score DESC, id LIMIT 80) SELECT id, score FROM p WHERE kind IN ('preference', 'fact') AND (session IS NULL OR session = 's1') AND valid_from <= 70 AND (valid_to IS NULL OR valid_to > 70) ORDER BY score DESC, id LIMIT 40",
+    "memory_recall": f"WITH {MEM_SQL}, p AS (SELECT *, (id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM m0 ORDER BY score DESC, id LIMIT 400) SELECT id, score FROM p WHERE kind IN ('preference', 'fact') AND (session IS NULL OR session = 's1') AND valid_from <= 30 AND (valid_to IS NULL OR valid_to > 30) ORDER BY score DESC, id LIMIT 200",
     "memory_invalidate": f"WITH {MEM_SQL} SELECT id, coalesce(CASE WHEN id % 7 = 0 AND valid_to IS NULL THEN 99 ELSE valid_to END, -1)::BIGINT AS valid_to FROM m0",
     "memory_upsert": f"WITH {MEM_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE kind END AS kind FROM m0",
     "memory_conflicts": f"WITH {MEM_SQL}, m AS (SELECT m0.*, e.embedding::DOUBLE[] AS v FROM m0 JOIN embeddings e ON vec_id = id % 10 WHERE kind IN ('preference', 'reference')) SELECT a.id, b.id AS prior, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM m a JOIN m b ON a.kind = b.kind AND b.created_at < a.created_at AND b.valid_to IS NULL AND list_has_any(a.refs, b.refs) WHERE list_cosine_similarity(a.v, b.v) >= 0.5",
