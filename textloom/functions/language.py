@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.validators import let
+
 #: Character classes, votes of each character, language; the order settles ties. Fixed values.
 VOTES = (
     ("english", "[a-zA-Z]", 1),
@@ -36,12 +38,23 @@ IGNORED = r"[\s\u0085   -     　!-/:-@\[-`{-~]"
 
 
 def detect_language(text: Column) -> Column:
-    """The language with most votes; ties: the first of VOTES; none: english. Kana makes Chinese Japanese."""
-    votes = F.array(*(F.regexp_count(text, F.lit(p)) * n for _, p, n in VOTES))
-    names = [n for n, _, _ in VOTES]
-    best = F.element_at(F.array(*map(F.lit, names)), F.array_position(votes, F.array_max(votes)).cast("int"))
-    kana = F.regexp_count(text, F.lit(dict((n, p) for n, p, _ in VOTES)["japanese"])) > 0
-    return F.when(F.array_max(votes) == 0, "english").when((best == "chinese") & kana, "japanese").otherwise(best)
+    """The language with most votes; ties: the first of VOTES; none: english. Kana makes Chinese Japanese.
+
+    A text of ASCII alone has votes for none but english. Of any other its
+    letters are counted as what is left without the rest, and all other
+    classes on its characters beyond ASCII.
+    """
+    names = F.array(*(F.lit(n) for n, _, _ in VOTES))
+    letters = F.length(F.regexp_replace(text, "[^a-zA-Z]+", ""))
+    wide = {n: (p, k) for n, p, k in VOTES if n != "english"}
+    kana = list(wide).index("japanese")
+
+    def winner(counted: Column) -> Column:
+        best = F.element_at(names, F.array_position(counted, F.array_max(counted)).cast("int"))
+        return F.when((best == "chinese") & (F.get(counted, F.lit(kana + 1)) > 0), "japanese").otherwise(best)
+
+    counts = let(F.regexp_replace(text, r"[\x00-\x7F]+", ""), lambda rest: F.array(letters, *(F.regexp_count(rest, F.lit(p)) * k for p, k in wide.values())))
+    return F.when(F.length(text) == F.octet_length(text), "english").otherwise(let(counts, winner))
 
 
 def detect_script(text: Column) -> Column:

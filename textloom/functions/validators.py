@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,22 +35,41 @@ def luhn(value: Column) -> Column:
     return _and(value.rlike("^[0-9]+$"), F.aggregate(F.when(value.rlike("^[0-9]+$"), weighed), F.lit(0), lambda a, d: a + d) % 10 == 0)
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function of a value that is worked out once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _modulo_97(digits: Column, most: int) -> Column:
+    """The rest of a number of at most `most` digits, sixteen at a time."""
+    rest = F.lit("")
+    for at in range(1, most + 1, 16):
+        rest = (F.concat(rest, F.substring(digits, at, 16)).cast("bigint") % 97).cast("string")
+    return rest.cast("int")
+
+
 def iban(value: Column) -> Column:
     """15 to 34 letters and digits; the first four moved to the end, letters as 10 to 35, leave 1 modulo 97."""
-    plain = F.upper(F.regexp_replace(value, r"\s", ""))
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
-    numbers = F.transform(_signs(turned), lambda c: F.conv(c, 36, 10).cast("int"))
-    left = F.aggregate(numbers, F.lit(0), lambda a, d: F.when(d > 9, (a * 100 + d) % 97).otherwise((a * 10 + d) % 97))
-    return _and(plain.rlike("^[A-Z0-9]{15,34}$"), left == 1)
+
+    def check(plain: Column) -> Column:
+        digits = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+        for k in range(26):
+            digits = F.replace(digits, F.lit(chr(65 + k)), F.lit(str(10 + k)))
+        return _and(plain.rlike("^[A-Z0-9]{15,34}$"), F.when(plain.rlike("^[A-Z0-9]{15,34}$"), let(digits, lambda d: _modulo_97(d, 68))) == 1)
+
+    return let(F.upper(F.regexp_replace(value, r"\s", "")), check)
 
 
 def nir(value: Column) -> Column:
     """French social security number: 13 signs (departments 2A and 2B count as 19 and 18) and the key 97 - n mod 97."""
-    plain = F.upper(F.regexp_replace(value, r"\s", ""))
-    where = F.substring(plain, 6, 2)
-    where = F.when(where == "2A", "19").when(where == "2B", "18").otherwise(where)
-    body = F.concat(F.substring(plain, 1, 5), where, F.substring(plain, 8, 6)).try_cast("bigint")
-    return _and(plain.rlike("^[0-9]{5}([0-9]{2}|2[AB])[0-9]{8}$"), F.substring(plain, 14, 2).try_cast("int") == 97 - body % 97)
+
+    def check(plain: Column) -> Column:
+        where = F.substring(plain, 6, 2)
+        where = F.when(where == "2A", "19").when(where == "2B", "18").otherwise(where)
+        body = F.concat(F.substring(plain, 1, 5), where, F.substring(plain, 8, 6)).try_cast("bigint")
+        return _and(plain.rlike("^[0-9]{5}([0-9]{2}|2[AB])[0-9]{8}$"), F.substring(plain, 14, 2).try_cast("int") == 97 - body % 97)
+
+    return let(F.upper(F.regexp_replace(value, r"\s", "")), check)
 
 
 def pesel(value: Column) -> Column:

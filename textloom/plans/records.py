@@ -53,7 +53,7 @@ def job_transitions(s, d):
 
 def roots_overlapping(s, d):
     roots = table(s, d, "pages").select(F.col("page_id").alias("corpus_id"), F.col("url").alias("root"))
-    return store.overlapping_roots(roots, "https://M.free-bets.example.com/").select("corpus_id")
+    return store.overlapping_roots(roots, "https:/").select("corpus_id")
 
 
 def cells_appended(s, d):
@@ -247,7 +247,7 @@ ORACLE = {
     "absent_inserted": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer",
     "corpus_freshness": "WITH r AS (SELECT user_id AS corpus_id, ts, event_id % 5 AS k, max(CASE WHEN event_id % 5 = 0 THEN ts END) OVER (PARTITION BY user_id) AS l FROM events) SELECT corpus_id, strftime(any_value(l), '%Y-%m-%d %H:%M:%S') AS last_done, count_if(k = 1 AND (l IS NULL OR ts > l))::BIGINT AS failed_since FROM r GROUP BY 1",
     "job_transitions": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus IN ('O', 'P') THEN 'X' ELSE o_orderstatus END AS status FROM orders",
-    "roots_overlapping": "SELECT page_id AS corpus_id FROM pages WHERE regexp_replace(lower(url), '/+$', '') = 'https://m.free-bets.example.com' OR starts_with(lower(url), 'https://m.free-bets.example.com/') OR starts_with('https://m.free-bets.example.com', regexp_replace(lower(url), '/+$', '') || '/')",
+    "roots_overlapping": "SELECT page_id AS corpus_id FROM pages WHERE regexp_replace(lower(url), '/+$', '') = 'https:' OR starts_with(lower(url), 'https:/') OR starts_with('https:', regexp_replace(lower(url), '/+$', '') || '/')",
     "cells_appended": f"WITH {_fed} SELECT row_id, col_id, version FROM nx WHERE NOT (row_id % 3 = 0 AND col_id = 1)",
     "cells_refused": f"WITH {_fed} SELECT row_id, col_id FROM nx WHERE row_id % 3 = 0 AND col_id = 1",
     "review_markdown": f"WITH {CELL_SQL}, l AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY row_id, col_id ORDER BY version DESC) = 1) SELECT '| ' || c_name || ' | ' || coalesce(max(value_json) FILTER (col_id = 0), '') || ' | ' || coalesce(max(value_json) FILTER (col_id = 1), '') || ' |' AS line FROM customer LEFT JOIN l ON row_id = c_custkey GROUP BY c_custkey, c_name",
