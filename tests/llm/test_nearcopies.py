@@ -87,6 +87,18 @@ def test_keys_and_fingerprint_of_a_set(monkeypatch):
     assert len(N.band_keys(own[:0])) == 0 and N.set_fingerprint(own[:0]) == 0
 
 
+def test_sketches_tell_the_similarity(monkeypatch):
+    a = N.shingle_set(" ".join(f"w{i}" for i in range(900)))
+    for share in (0.5, 0.8, 0.95):
+        k = int(round(len(a) * (1 - share) / (1 + share)))  # gone from a and as many new: a similarity of share
+        b = np.sort(np.concatenate([a[k:], N.shingle_set(" ".join(f"v{i}" for i in range(k + 4)))]))
+        differ = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in N.sketch(a) ^ N.sketch(b))
+        assert abs(1 - 2 * differ / N.SKETCH - share) < 0.08
+    whole = N.sketch(a).tolist()
+    monkeypatch.setattr(N, "BLOCK", 7)
+    assert N.sketch(a).tolist() == whole and 125 < N.MOST_DIFFERENT < 135
+
+
 def test_stage_drops_edited_copy(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in rng.integers(0, 500, 200)]

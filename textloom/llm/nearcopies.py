@@ -10,14 +10,13 @@ orders: a pair of similarity 0.8 shares none with a probability of
 (1 - 0.8 ** ROWS) ** BANDS, below one in a million. Every candidate is compared
 on the whole sets, so no pair below SIMILARITY is linked.
 
-Texts of one set collapse first. Under one key all are compared with its
-centre, the set that shares most keys with others: as a rule the original that
-the others were made from. Sets that are then apart from it are not paired off
-with the rest of the key. In the order "what the centre lacks first, then the
-others, by hash", two sets of that similarity share one of their first n - o + 1
-shingles (n: the size of a set, o: the least that the two have in common). What
-a set has beyond the centre is seldom another's, so an equality join on those
-shingles leaves few pairs, and loses none.
+Texts of one set collapse first. Each set under a shared key is compared with
+one centre, of those of its keys the one that shares most keys with others: as
+a rule the original that the others were made from. What is then apart from
+the centre of a key is held against the rest of the key, inside the join, by a
+sketch of SKETCH one-bit minima; a pair goes on only if its sketches differ in
+few enough bits for the similarity sought, so a large group of copies is not
+paired off.
 """
 
 from __future__ import annotations
@@ -36,13 +35,19 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Minima of a key, keys of a set, and bits within which fingerprints are probed.
 ROWS, BANDS, TAU = 3, 20, 2
 #: Shingles whose orders are worked out at a time.
-BLOCK = 1 << 12
+BLOCK = 1 << 9
+#: Bits of a sketch, and those in which the sketches of a pair that goes on differ at most: the mean at SIMILARITY, and three deviations.
+SKETCH = 1024
+MOST_DIFFERENT = int(SKETCH * (1 - SIMILARITY) / 2 + 3 * (SKETCH * (1 - SIMILARITY) / 2 * (1 + SIMILARITY) / 2) ** 0.5)
 #: Ids of sets or rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_LONGS = 1_000_000
 
 _rng = np.random.default_rng(20071107)  # any fixed seed: keys are comparable if it stays
 _ODD = (_rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
+_ODD32 = (_rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+WORDS = [f"w{k}" for k in range(SKETCH // 64)]
+
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The hashes of a whole text's distinct shingles, ascending; null or no word: none; fewer words than a shingle: one of them all."""
@@ -85,6 +90,14 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(data[k * 8 * ROWS : (k + 1) * 8 * ROWS], seed=k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """One bit of the least shingle of a set under each of SKETCH orders, as longs; two sketches differ in (1 - similarity) / 2 of their bits on average."""
+    x, least = (own.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), BLOCK):
+        np.minimum(least, (_ODD32[:, None] * x[None, i : i + BLOCK]).min(axis=1), out=least)
+    return np.packbits((least >> np.uint32(3)).astype(np.uint8) & np.uint8(1)).view(">i8").astype(np.int64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
@@ -112,31 +125,45 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_LONGS else rows
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """pairs (a, b, least) with: linked, whether the sets of a and b have a similarity of SIMILARITY or more; prefix, where least is not null: the first shingles of b in the order of centre a. Written.
+def _sizes_fit(n: str, m: str) -> Column:
+    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
 
-    least: the size of the smallest set that b has to find. Only texts of sets of the pairs are read again.
-    """
-    pairs = stash(pairs.distinct(), "near-candidates")
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = stash(nodes.join(sids, "sid", "left_semi").select("mark"), "near-wanted")
+
+def _sketches_fit(a: str, b: str) -> Column:
+    """Whether sketches, named with a prefix each, differ in at most MOST_DIFFERENT bits."""
+    different = F.bit_count(F.col(a + WORDS[0]).bitwiseXOR(F.col(b + WORDS[0])))
+    for w in WORDS[1:]:
+        different = different + F.bit_count(F.col(a + w).bitwiseXOR(F.col(b + w)))
+    return different <= MOST_DIFFERENT
+
+
+def _prefixed(sketches: DataFrame, sid: str, prefix: str) -> DataFrame:
+    return sketches.select(F.col("sid").alias(sid), *(F.col(w).alias(prefix + w) for w in WORDS))
+
+
+def _sets(nodes: DataFrame, sids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows (sid, own, w0, w1, …): the sets and sketches of some ids, written. Only texts of such sets are read again."""
+    wanted = stash(nodes.join(sids.distinct(), "sid", "left_semi").select("mark"), "near-wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), _lists(sets)], ["sid", "own"])
+        words = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(WORDS)).T
+        return pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), _lists(sets), *map(pa.array, words)], ["sid", "own", *WORDS])
 
     texts = docs.select(mark(text).alias("mark"), F.col(text).cast("string").alias("text")).join(_few(wanted), "mark", "left_semi").select("text")
-    sets = stash(map_slices(texts, run, "sid long, own array<long>").dropDuplicates(["sid"]), "near-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
-    both = both.withColumns({"shared": F.array_intersect("y", "x"), "n": F.size("y")}).withColumn("common", F.size("shared"))
-    # common / (n + m - common) >= SIMILARITY, and the least that two sets of such a similarity and these sizes have in common
-    linked = F.col("common") >= (F.col("n") + F.size("x") - F.col("common")) * SIMILARITY
-    overlap = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY))) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
-    length = F.greatest(F.lit(1), F.least(F.col("n"), F.col("n") - overlap + 1)).cast("int")
-    prefix = F.when(F.col("least").isNotNull(), F.slice(F.concat(F.array_except("y", "x"), "shared"), F.lit(1), length))
-    found = stash(both.select("a", "b", linked.alias("linked"), prefix.alias("prefix")), "near-pairs")
-    for done in (pairs, wanted, sets):
-        drop_stash(done)
+    sets = stash(map_slices(texts, run, f"sid long, own array<long>, {', '.join(f'{w} long' for w in WORDS)}"), "near-sets")
+    drop_stash(wanted)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have a similarity of SIMILARITY or more, written. sets: sid, own; an id's rows are all alike."""
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    own = lambda sid, name: sets.join(_few(stash(pairs.select(F.col(sid).alias("sid")).distinct(), "near-wanted")), "sid", "left_semi").dropDuplicates(["sid"]).select(F.col("sid").alias(sid), F.col("own").alias(name))
+    both = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = stash(both.filter(common >= (F.size("x") + F.size("y") - common) * SIMILARITY).select("a", "b"), "near-pairs")
+    drop_stash(pairs)
     return found
 
 
@@ -150,30 +177,30 @@ def _close_fingerprints(nodes: DataFrame, tau: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any candidate pair reaches. nodes: sid, mark, n, fp, bands; one row a set."""
+    """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any pair of candidates reaches. nodes: sid, mark, n, fp, bands; one row a set."""
     nodes = nodes.filter("n > 0")
     keys = nodes.select("sid", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     rows = stash(keys.join(shared, "key"), "near-keys")
     weight = rows.groupBy("sid").agg(F.sum("held").alias("weight"))
-    centres = rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("c")).select("key", F.col("c.sid").alias("a"))
-    stars = stash(rows.join(centres, "key").select("a", F.col("sid").alias("b"), "n").distinct(), "near-stars")
-    least = stars.groupBy("a").agg(F.min("n").alias("least"))
-    close = _close_fingerprints(nodes, TAU).withColumn("least", F.lit(None).cast("long"))
-    found = _compared(stars.join(least, "a").select("a", "b", "least").unionByName(close), nodes, docs, text)
-    links = stash(found.filter("linked and a <> b").select("a", "b"), "near-links")
+    centres = stash(rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("c")), "near-centres")
+    stars = rows.join(centres, "key").groupBy("sid").agg(F.max("c").alias("c")).select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).filter("a <> b")
+    pairs = stash(stars.unionByName(_close_fingerprints(nodes, TAU)), "near-stars")
+    sets = _sets(nodes, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(rows.select("sid")), docs, text)
+    sketches = sets.select("sid", *WORDS).dropDuplicates(["sid"])
+    alike = pairs.join(_prefixed(sketches, "a", "a"), "a").join(_prefixed(sketches, "b", "b"), "b").filter(_sketches_fit("a", "b")).select("a", "b")
+    links = _verified(alike, sets)
     roots = stash(connected_components(links, "a", "b"), "near-roots")
-    # those apart from a centre, by the shingles that they share with others around it
-    around = found.filter("prefix is not null").select("a", F.col("b").alias("sid"), "prefix")
-    rooted = around.join(_named(roots, "sid", "root"), "sid", "left").join(_named(roots, "a", "head"), "a", "left")
-    marks = rooted.select("sid", (F.coalesce("root", "sid") != F.coalesce("head", "a")).alias("apart"), F.explode("prefix").alias("shingle"), "a").select("sid", "apart", F.xxhash64("a", "shingle").alias("key"))
-    marks = stash(marks, "near-marks")
-    met = marks.filter("apart").select("key", F.col("sid").alias("a")).join(marks.select("key", F.col("sid").alias("b")), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = met.join(_named(roots, "a", "x"), "a", "left").join(_named(roots, "b", "y"), "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
-    more = _compared(rest.select("a", "b", F.lit(None).cast("long").alias("least")), nodes, docs, text)
-    for done in (rows, stars, found, marks, roots):
+    # what is apart from the centre of a key, against the others under the key
+    named = rows.join(_named(roots, "sid", "root"), "sid", "left").join(_prefixed(sketches, "sid", ""), "sid").withColumn("root", F.coalesce("root", "sid"))
+    heads = centres.select("key", F.col("c.sid").alias("centre")).join(_named(roots, "centre", "head"), "centre", "left").select("key", F.coalesce("head", "centre").alias("head"))
+    named = stash(named.join(heads, "key"), "near-rooted")
+    apart = named.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(w).alias("a" + w) for w in WORDS))
+    rest = named.join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "a")).select("a", F.col("sid").alias("b"))
+    more = _verified(rest, sets)
+    for done in (rows, centres, pairs, sets, named, roots):
         drop_stash(done)
-    return links.unionByName(more.filter("linked").select("a", "b"))
+    return links.unionByName(more)
 
 
 def _named(roots: DataFrame, node: str, root: str) -> DataFrame:
