@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,20 +101,24 @@ def graph_csv(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 def audit_chain(events: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """events of each UTC day in order with prev_hash and this_hash = sha256(prev_hash and the row's JSON); a day begins with 64 zeros.
 
-    A chain is sequential by nature: one task walks one day, row by row.
+    A chain is sequential by nature: one task walks a day, batch by batch, and
+    keeps nothing of it but the last hash.
     """
     import hashlib
 
     rows = events.withColumn("day", F.to_date(ts)).withColumn("json", F.to_json(F.struct(*sorted(events.columns))))
     schema = T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("this_hash", T.StringType())])
 
-    def walk(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values([ts, tie], kind="stable")
-        before, out = "0" * 64, []
-        for j in day["json"]:
-            now = hashlib.sha256((before + j).encode()).hexdigest()
-            out.append((before, now))
-            before = now
-        return day.assign(prev_hash=[a for a, _ in out], this_hash=[b for _, b in out])
-
-    return rows.groupBy("day").applyInPandas(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        today, before = object(), ""
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for day, j in zip(batch.column("day").to_pylist(), batch.column("json").to_pylist(), strict=True):
+                if day != today:
+                    today, before = day, "0" * 64
+                out[0].append(before)
+                before = hashlib.sha256((before + j).encode()).hexdigest()
+                out[1].append(before)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], schema.names)
+
+    return rows.repartition("day").sortWithinPartitions("day", ts, tie).mapInArrow(walk, schema)

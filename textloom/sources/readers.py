@@ -101,6 +101,35 @@ def json_ld(spark: SparkSession, path: str, node: str = "`@id` string, `@type` s
     return spark.read.schema(f"`@graph` array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in node.split(','))}>>").json(path, multiLine=True).select(F.explode("@graph").alias("x")).select("x.*")
 
 
+def litbank_coref(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (source, mention, start_sentence, start, end_sentence, end, text, type, chain): MENTION lines with the chain of their COREF line; a mention without one is a chain of its own."""
+    parts = _lines(spark, path).select("source", F.split("line", "\t").alias("p"))
+    field = lambda k: F.try_element_at("p", F.lit(k + 1))
+    number = lambda k: field(k).try_cast("int")
+    said = parts.filter(field(0) == "MENTION").select("source", field(1).alias("mention"), number(2).alias("start_sentence"), number(3).alias("start"), number(4).alias("end_sentence"), (number(5) + 1).alias("end"), field(6).alias("text"), field(7).alias("type"))
+    chains = parts.filter(field(0) == "COREF").select("source", field(1).alias("mention"), field(2).alias("chain"))
+    return said.join(chains, ["source", "mention"], "left").withColumn("chain", F.coalesce("chain", "mention"))
+
+
+def ecb_plus(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (source, mention, kind, tokens, text, chain) of the markables of each document: the ids and words of their tokens, and the note, else id, of the relation over documents that they are a source of."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+    every = lambda pattern, group=0: F.regexp_extract_all("value", F.lit(pattern), F.lit(group))
+    attribute = lambda c, name: F.nullif(F.regexp_extract(c, rf'\b{name}="([^"]*)"', 1), F.lit(""))
+    words = whole.select("source", F.explode(every(r"<token [^>]*>[^<]*</token>")).alias("x")).select("source", attribute("x", "t_id").cast("int").alias("t"), F.regexp_extract("x", ">([^<]*)<", 1).alias("word"))
+    marked = whole.select("source", F.explode(every(r"(?s)<([A-Z_]+) [^>]*\bm_id=\"[^\"]*\"[^>/]*>(?:\s*<token_anchor [^>]*/>)+\s*</\1>")).alias("x")).select("source", attribute("x", "m_id").alias("mention"), F.regexp_extract("x", "^<([A-Z_]+)", 1).alias("kind"), F.regexp_extract_all("x", F.lit(r'token_anchor t_id="(\d+)"'), F.lit(1)).cast("array<int>").alias("tokens"))
+    related = whole.select("source", F.explode(every(r"(?s)<CROSS_DOC_COREF [^>]*>.*?</CROSS_DOC_COREF>")).alias("x")).select("source", F.coalesce(attribute("x", "note"), attribute("x", "r_id")).alias("chain"), F.explode(F.regexp_extract_all("x", F.lit(r'<source m_id="([^"]*)"'), F.lit(1))).alias("mention"))
+    texts = marked.select("source", "mention", F.explode("tokens").alias("t")).join(words, ["source", "t"]).groupBy("source", "mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "word"))), lambda x: x.word), " ").alias("text"))
+    return marked.join(texts, ["source", "mention"], "left").join(related, ["source", "mention"], "left")
+
+
+def maven_arguments(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (id, k, type, role, content, entity_id): each argument of the k-th event of a document."""
+    schema = "id string, events array<struct<type:string,argument:map<string,array<struct<content:string,entity_id:string>>>>>"
+    events = json_lines(spark, path, schema, explode="events").select("id", "k", "type", F.explode("argument").alias("role", "said"))
+    return events.select("id", "k", "type", "role", F.inline("said"))
+
+
 def discover(spark: SparkSession, folder: str, max_files: int, max_bytes: int) -> DataFrame:
     """(path, size, mtime, ext, sha256) of the supported files under a folder, by path: at most max_files; one that does not fit the bytes left is passed over, later ones may.
 
@@ -160,6 +189,9 @@ READERS: dict[str, Callable[..., DataFrame]] = {
     "dbpedia14": partial(json_lines, schema="title string, content string, label int"),
     "yahoo_answers": partial(json_lines, schema="question_title string, question_content string, best_answer string, topic int"),
     "tweettopic": partial(json_lines, schema="text string, label int, label_name string"),
+    "litbank_coref": litbank_coref,
+    "ecb_plus": ecb_plus,
+    "maven_arg": maven_arguments,
     "brat": brat,
     "n_triples": n_triples,
     "json_ld": json_ld,
