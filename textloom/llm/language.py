@@ -188,6 +188,8 @@ def recognised(docs: DataFrame, least_score: float = 0.05, doc_id: str = "doc_id
     lengths are classed by octaves of the n-grams compared. Too few documents
     of a length: the floor of the language, then that of all; too few at all:
     least_score alone. The texts are written once, scored, to the shared folder.
+    Null, empty and letterless texts go; a null id or lang is judged by its text
+    like any other; of repeated rows all stay or all go; an empty table gives no rows.
     """
     scored = stash(predict(docs, learn(docs, doc_id, text, lang), text, "__lang", "__score", "__size"), "scored")
     length = F.when(F.col("__size") >= PROFILE, F.lit(99)).otherwise(F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1)).cast("double"))).cast("int"))

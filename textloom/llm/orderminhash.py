@@ -110,7 +110,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_chars, fingerprint), one per input row; null texts count as empty. One pass, no shuffle."""
+    """Rows (doc_id, n_chars, fingerprint), one per input row, repeats and null ids included; null texts count as empty, extra columns are left out, an empty table gives no rows. One pass, no shuffle."""
     keyed = keyed_text(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,6 +262,10 @@ def judge(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text
 
 
 def keep_good(docs: DataFrame, model: str, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The rows of docs, with their columns, that ``judge`` keeps. The texts are written once, measured, to the shared folder."""
+    """The rows of docs, with their columns, that ``judge`` keeps. The texts are written once, measured, to the shared folder.
+
+    Null and empty texts go; a null id makes no difference, a null lang means the
+    script's bands; of repeated rows all stay or all go; an empty table gives no rows.
+    """
     measured = stash(measure(docs, model, text, lang, "__q_"), "quality")
     return _verdict(measured, "__q_").filter("__kept").select(*docs.columns)
