@@ -53,7 +53,7 @@ def compound_filter(s, d):
 
 def untracked_signals(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("signal_id"))
-    return signals.untracked(c, table(s, d, "orders").select(F.col("o_custkey").alias("signal_id")))
+    return signals.untracked(c, table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("signal_id")))
 
 
 def track_statistics(s, d):
@@ -84,7 +84,21 @@ def _sum(value, weights):
     return " + ".join(f"substr({value}, {k}, 1)::INT * {w}" for k, w in enumerate(weights, 1))
 
 
+
+def _html_sql(html: str) -> str:
+    """extract.html_text step by step; a script and a style element are two patterns here."""
+    out = html
+    for pattern, new in ((r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), (r"(?i)</(?:p|div|li|h[1-6]|tr|article|section|nav)>|<br\s*/?>", "\n"), (r"<[^>]*>", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{a}', '{b}')"
+    for pattern, new in ((r"[ \t]+", " "), (r" ?\n[ \n]*", "\n"), (r"^\n|\n$", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"trim({out}, ' ')"
+
+
 ORACLE = {
+    "page_text": f"WITH t AS (SELECT page_id, {_html_sql('html')} AS t FROM pages) SELECT page_id, length(t)::INT AS n, contains(t, '<') AS tagged FROM t",
     "lexicon_entities": "WITH w AS (SELECT item_id AS doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark), r AS (SELECT doc_id, i::INT - 1 AS position, n::INT AS words, array_to_string(w[i:i + n - 1], ' ') AS surface FROM w, range(1, 3) t(n), range(1, 2000) p(i) WHERE i + n - 1 <= len(w)) SELECT *, CASE lower(regexp_replace(surface, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) WHEN 'of the' THEN 'A' ELSE 'B' END AS type FROM r WHERE lower(regexp_replace(surface, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) IN ('of the', 'der', 'la')",
     "special_categories": "SELECT doc_id, (" + " + ".join(f"regexp_matches(lower(text), '\\b({'|'.join(w)})\\b')::BIGINT" for w, _ in extract.SPECIAL.values()) + ") AS n FROM documents",
     "national_ids": f"{_nat} SELECT o_orderkey, (((10 - ({_sum('p', [1, 3, 7, 9, 1, 3, 7, 9, 1, 3])}) % 10) % 10 = substr(p, 11, 1)::INT OR 97 - substr(p, 1, 9)::BIGINT % 97 = substr(p, 10, 2)::INT OR 97 - (2000000000 + substr(p, 1, 9)::BIGINT) % 97 = substr(p, 10, 2)::INT)::BIGINT + (({_sum('b', [9, 8, 7, 6, 5, 4, 3, 2, -1])}) % 11 = 0)::BIGINT) AS n FROM k",
@@ -92,7 +106,7 @@ ORACLE = {
     "url_rules": "SELECT page_id AS doc_id, 'cheap' AS rule, 'high' AS severity FROM pages WHERE regexp_matches(url, '(?i)cheap') UNION ALL SELECT page_id, 'bets', 'medium' FROM pages WHERE regexp_matches(url, '(?i)bets') UNION ALL SELECT page_id, 'query', 'low' FROM pages WHERE contains(url, '?') AND NOT contains(url, 'utm_source')",
     "clause_audit": "WITH c AS (SELECT doc_id, (CASE lang WHEN 'en' THEN contains(lower(text), 'the')::INT + contains(lower(text), 'thon')::INT ELSE contains(lower(text), 'elle')::INT + contains(lower(text), 'xyz')::INT END)::BIGINT AS present FROM documents WHERE lang IN ('en', 'fr')) SELECT doc_id, present, 2::BIGINT AS required, CASE present WHEN 2 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'missing' END AS status FROM c",
     "compound_filter": "SELECT c_custkey AS signal_id FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(c_name), 'customer#') AND c_acctbal / 10000 >= 0.2 AND c_nationkey >= 3 AND c_nationkey + 2 <= 20",
-    "untracked_signals": "SELECT c_custkey AS signal_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "untracked_signals": "SELECT c_custkey AS signal_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "track_statistics": "SELECT o_custkey AS track_id, count(*) AS length, count(DISTINCT o_orderpriority) AS variants, max(o_orderkey) - min(o_orderkey) AS spread, min(o_orderkey) AS first, max(o_orderkey) + 1 AS last, 0.5::DOUBLE AS least, 0.5::DOUBLE AS greatest, 0.5::DOUBLE AS mean FROM orders GROUP BY 1",
     "table_merge": "WITH b AS (SELECT DISTINCT o_orderkey + 3 AS o_orderkey, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0) SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b) UNION ALL SELECT * FROM b",
     "retry_state": "SELECT c_custkey AS doc_id, 'pending' AS status, CASE WHEN c_custkey % 6 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN c_custkey % 3 = 0 THEN 'late' ELSE '' END AS last_error FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",

@@ -256,7 +256,7 @@ def healed_spans(s, d):
 
 
 def greedy_spans(s, d):
-    kept = line_spans(s, d).groupBy("k").agg(spans.greedy_nonoverlap(F.collect_list(F.struct("start", "end", "id"))).alias("x"))
+    kept = line_spans(s, d).groupBy("k").agg(spans.greedy_nonoverlap(F.collect_list(F.struct("start", "end"))).alias("x"))
     return kept.select("k", F.inline("x"))
 
 
@@ -331,5 +331,8 @@ ORACLE = {
     "merged_spans": f"WITH {SPAN_SQL}, n AS (SELECT *, coalesce(s >= max(e) OVER (PARTITION BY k ORDER BY s, e DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS f FROM sp), g AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY s, e DESC, label ROWS UNBOUNDED PRECEDING) AS g FROM n) SELECT k, min(s) AS start, max(e) AS \"end\", arg_min(label, (s, -e, label)) AS label FROM g GROUP BY k, g",
     "healed_spans": f"WITH {SPAN_SQL}, n AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY k, label ORDER BY s, e) > 2, true)::INT AS f FROM sp), g AS (SELECT *, sum(f) OVER (PARTITION BY k, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM n) SELECT k, label, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY k, label, g",
     "bio_runs": f"WITH {LINES_SQL}, t AS (SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y') AS token, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS l, l_quantity > 25 AS b FROM li), p AS (SELECT *, lag(l) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM t), g AS (SELECT *, sum((l IS NOT NULL AND (b OR p IS NULL OR p <> l))::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM p) SELECT l_orderkey, min(l_linenumber) AS start, max(l_linenumber) + 1 AS \"end\", any_value(l) AS label, string_agg(token, ' ' ORDER BY l_linenumber) AS text FROM g WHERE l IS NOT NULL GROUP BY l_orderkey, g",
+    "greedy_spans": f"""WITH RECURSIVE {SPAN_SQL}, o AS (SELECT k, id, s, e, row_number() OVER (PARTITION BY k ORDER BY s, e DESC, id) AS r FROM sp),
+w AS (SELECT k, 0::BIGINT AS r, -1::BIGINT AS s, -1::BIGINT AS e, -1 AS id, -1::BIGINT AS last FROM (SELECT DISTINCT k FROM sp) UNION ALL SELECT w.k, o.r, o.s, o.e, CASE WHEN o.s >= w.last THEN o.id ELSE -1 END, CASE WHEN o.s >= w.last THEN o.e ELSE w.last END FROM w JOIN o ON o.k = w.k AND o.r = w.r + 1)
+SELECT k, s AS start, e AS "end" FROM w WHERE id >= 0""",
     "last_turns": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
 }
