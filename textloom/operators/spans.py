@@ -109,6 +109,43 @@ def match_gold(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return gold.select(key, "start", "end", "label").groupBy(key).cogroup(predicted.select(key, "start", "end", "label").groupBy(key)).applyInPandas(one, schema)
 
 
+def error_analysis(gold: DataFrame, predicted: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """Rows (key, category, gold_label, label): each distinct gold span, in order, with the best prediction left whose overlap over joint length is more than `least`.
+
+    Best: equal ends, then an equal label, then the overlap. correct; type
+    (ends only); boundary (label only); partial (neither); false_negative: no
+    prediction; false_positive: a prediction that no gold span took. Pairs
+    come from an interval join; only those of a key meet in one task.
+    """
+    cols = ["start", "end", "label"]
+    own = lambda df, prefix: df.select(key, *(F.col(c).alias(prefix + c) for c in cols)).distinct()
+    g, p = own(gold, "g_"), own(predicted, "p_")
+    shared = F.least("end", "end_r") - F.greatest("start", "start_r")
+    iou = shared / ((F.col("end") - F.col("start")) + (F.col("end_r") - F.col("start_r")) - shared)
+    met = overlap_join(gold.select(key, *cols).distinct(), predicted.select(key, *cols).distinct(), [key]).withColumn("__iou", iou).filter(F.col("__iou") > least)
+    pairs = met.select(key, *(F.col(c).alias("g_" + c) for c in cols), *(F.col(c + "_r").alias("p_" + c) for c in cols), "__iou")
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        exact = (rows["g_start"] == rows["p_start"]) & (rows["g_end"] == rows["p_end"])
+        ranked = rows.assign(__x=~exact, __t=rows["g_label"] != rows["p_label"], __o=-rows["__iou"]).sort_values(["g_start", "g_end", "g_label", "__x", "__t", "__o", "p_start", "p_end", "p_label"], kind="stable")
+        taken, used, keep = set(), set(), []
+        for i, *x in ranked[["g_start", "g_end", "g_label", "p_start", "p_end", "p_label"]].itertuples(name=None):
+            one, two = tuple(x[:3]), tuple(x[3:])
+            if one not in taken and two not in used:
+                taken.add(one)
+                used.add(two)
+                keep.append(i)
+        return rows.loc[keep]
+
+    matched = pairs.groupBy(key).applyInPandas(greedy, pairs.schema)
+    same, kind = (F.col("g_start") == F.col("p_start")) & (F.col("g_end") == F.col("p_end")), F.col("g_label") == F.col("p_label")
+    category = F.when(same & kind, "correct").when(same, "type").when(kind, "boundary").otherwise("partial")
+    none = F.lit(None).cast("string")
+    lost = g.join(matched.select(key, "g_start", "g_end", "g_label"), [key, "g_start", "g_end", "g_label"], "left_anti").select(key, F.lit("false_negative").alias("category"), F.col("g_label").alias("gold_label"), none.alias("label"))
+    more = p.join(matched.select(key, "p_start", "p_end", "p_label"), [key, "p_start", "p_end", "p_label"], "left_anti").select(key, F.lit("false_positive").alias("category"), none.alias("gold_label"), F.col("p_label").alias("label"))
+    return matched.select(key, category.alias("category"), F.col("g_label").alias("gold_label"), F.col("p_label").alias("label")).unionByName(lost).unionByName(more)
+
+
 def match_scores(matches: DataFrame) -> DataFrame:
     """Precision, recall and F1, exact with label and by overlap, of rows from ``match_gold``."""
     exact, some = F.count_if(F.col("class") == "exact"), F.count_if(F.col("class").isin("exact", "exact_boundary", "partial", "overlap"))

@@ -156,6 +156,14 @@ def span_gold_pairs(s, d):
     return spans.overlap_join(a, b, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def span_errors(s, d):
+    li, at = lines(s, d), F.col("l_linenumber") * 10
+    gold = li.filter("l_partkey % 6 > 0").select("l_orderkey", at.alias("start"), (at + 6).alias("end"), F.col("l_returnflag").alias("label"))
+    shift = F.col("l_partkey") % 4
+    pred = li.filter("l_partkey % 7 > 0").select("l_orderkey", (at + shift).cast("int").alias("start"), (at + shift + 6).cast("int").alias("end"), F.when(F.col("l_quantity") > 20, F.col("l_returnflag")).otherwise("N").alias("label"))
+    return spans.error_analysis(gold, pred, "l_orderkey").groupBy("category", "gold_label", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _vault(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     return c.select(F.concat(F.lit("T_"), "c_custkey").alias("token"), F.element_at(F.array(*map(F.lit, ("person", "email", "iban"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("category"), F.col("c_name").alias("original"))
@@ -230,7 +238,7 @@ def schema_bumped(s, d):
 
 QUERIES = {f.__name__: f for f in (
     folder_deleted, folder_delete_counts, keys_deleted, scope_forgotten, absent_inserted, corpus_freshness, job_transitions, roots_overlapping, cells_appended, cells_refused, review_markdown, citations_verified, entities_validated, labels_mapped, references_dangling, relations_nearby,
-    ranked_retrieval_scores, memory_graph_recall, memory_deleted, entity_chains, cross_document_b_cubed, graph_csv_nodes, graph_csv_edges, jsonl_export, span_gold_pairs, subject_found, subject_exported, vault_categories, personal_entities, folders_indexed, chunks_counted,
+    ranked_retrieval_scores, memory_graph_recall, memory_deleted, entity_chains, cross_document_b_cubed, graph_csv_nodes, graph_csv_edges, jsonl_export, span_gold_pairs, span_errors, subject_found, subject_exported, vault_categories, personal_entities, folders_indexed, chunks_counted,
     objects_committed, parts_committed, revisions_ready, risks_merged, column_added, schema_bumped,
 )}
 
@@ -275,6 +283,9 @@ SELECT * FROM (SELECT 'PARTY_TO' AS ":TYPE", count(*) AS n, count(DISTINCT o_cus
 UNION ALL SELECT 'BOUND_BY', count(*), count(DISTINCT o_custkey) FROM bd UNION ALL SELECT 'MENTIONS', count(*), count(DISTINCT c) FROM mn UNION ALL SELECT 'REFERENCES', count(*), count(DISTINCT l_orderkey) FROM (SELECT DISTINCT l_orderkey, l_partkey % 500 FROM li))""",
     "jsonl_export": "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation",
     "span_gold_pairs": f"WITH {LINES_SQL}, a AS (SELECT l_orderkey, l_linenumber AS s, l_linenumber + 1 AS e FROM li WHERE l_partkey % 3 > 0), b AS (SELECT l_orderkey AS k, l_linenumber AS s, l_linenumber + l_partkey % 2 + 1 AS e FROM li WHERE l_partkey % 4 > 0) SELECT l_orderkey, count(*) AS pairs FROM a JOIN b ON l_orderkey = k AND a.s < b.e AND a.e > b.s GROUP BY 1",
+    "span_errors": f"""WITH {LINES_SQL}, x AS (SELECT l_partkey % 6 > 0 AS g, l_partkey % 7 > 0 AS p, l_partkey % 4 AS k, l_returnflag AS a, CASE WHEN l_quantity > 20 THEN l_returnflag ELSE 'N' END AS b FROM li), m AS (SELECT *, g AND p AND k < 2 AS met FROM x),
+r AS (SELECT CASE WHEN k = 0 AND a = b THEN 'correct' WHEN k = 0 THEN 'type' WHEN a = b THEN 'boundary' ELSE 'partial' END AS category, a AS gold_label, b AS label FROM m WHERE met UNION ALL SELECT 'false_negative', a, NULL FROM m WHERE g AND NOT met UNION ALL SELECT 'false_positive', NULL, b FROM m WHERE p AND NOT met)
+SELECT category, gold_label, label, count(*) AS n FROM r GROUP BY ALL""",
     "subject_found": f"WITH {_vault_sql} SELECT * FROM v WHERE contains(lower(original), 'customer#00000001')",
     "subject_exported": f"""WITH {_vault_sql} SELECT '{{"category":"' || category || '","original":"' || original || '","token":"' || token || '"}}' AS line FROM v WHERE contains(lower(original), 'customer#00000000')""",
     "vault_categories": f"WITH {_vault_sql} SELECT category, count(*) AS entries FROM v GROUP BY 1",
