@@ -15,8 +15,8 @@ one centre, of those of its keys the one that shares most keys with others: as
 a rule the original that the others were made from. What is then apart from
 the centre of a key is held against the rest of the key, inside the join, by a
 sketch of SKETCH one-bit minima; a pair goes on only if its sketches differ in
-few enough bits for the similarity sought, so a large group of copies is not
-paired off.
+few enough bits for the similarity sought, and only under the first key that it
+shares, so a large group of copies is not paired off.
 """
 
 from __future__ import annotations
@@ -137,6 +137,14 @@ def _sketches_fit(a: str, b: str) -> Column:
     return different <= MOST_DIFFERENT
 
 
+def _first_shared(at: str, bands: str, others: str) -> Column:
+    """Whether none of the keys before place `at` is common to two lists of keys."""
+    out = F.lit(True)
+    for j in range(BANDS - 1):
+        out = out & ((F.col(at) <= j) | (F.get(F.col(bands), F.lit(j)) != F.get(F.col(others), F.lit(j))))
+    return out
+
+
 def _prefixed(sketches: DataFrame, sid: str, prefix: str) -> DataFrame:
     return sketches.select(F.col("sid").alias(sid), *(F.col(w).alias(prefix + w) for w in WORDS))
 
@@ -179,7 +187,7 @@ def _close_fingerprints(nodes: DataFrame, tau: int) -> DataFrame:
 def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Pairs (a, b) of set ids that are near copies, enough of them to reach all that any pair of candidates reaches. nodes: sid, mark, n, fp, bands; one row a set."""
     nodes = nodes.filter("n > 0")
-    keys = nodes.select("sid", "n", F.explode("bands").alias("key"))
+    keys = nodes.select("sid", "n", F.posexplode("bands").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     rows = stash(keys.join(shared, "key"), "near-keys")
     weight = rows.groupBy("sid").agg(F.sum("held").alias("weight"))
@@ -192,11 +200,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     links = _verified(alike, sets)
     roots = stash(connected_components(links, "a", "b"), "near-roots")
     # what is apart from the centre of a key, against the others under the key
-    named = rows.join(_named(roots, "sid", "root"), "sid", "left").join(_prefixed(sketches, "sid", ""), "sid").withColumn("root", F.coalesce("root", "sid"))
+    named = rows.join(_named(roots, "sid", "root"), "sid", "left").join(_prefixed(sketches, "sid", "").join(nodes.select("sid", "bands"), "sid"), "sid").withColumn("root", F.coalesce("root", "sid"))
     heads = centres.select("key", F.col("c.sid").alias("centre")).join(_named(roots, "centre", "head"), "centre", "left").select("key", F.coalesce("head", "centre").alias("head"))
     named = stash(named.join(heads, "key"), "near-rooted")
-    apart = named.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(w).alias("a" + w) for w in WORDS))
-    rest = named.join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "a")).select("a", F.col("sid").alias("b"))
+    apart = named.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("bands").alias("others"), *(F.col(w).alias("a" + w) for w in WORDS))
+    rest = named.join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "a") & _first_shared("at", "bands", "others")).select("a", F.col("sid").alias("b"))
     more = _verified(rest, sets)
     for done in (rows, centres, pairs, sets, named, roots):
         drop_stash(done)
