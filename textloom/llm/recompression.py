@@ -8,9 +8,10 @@ and equal passages have equal symbols inside, whatever stands around them. With
 each symbol goes its context, the words that fixed it: a symbol whose context
 lies in a window is the same wherever the window's words stand.
 
-A window's anchor is the first symbol of the highest level whose context it
-contains; equal windows have equal anchors. So a passage repeats only where a
-high symbol is shared, and only those places go further:
+A window's anchor is a symbol of the highest level whose context it contains,
+the one of least name; equal windows have equal anchors. So a passage repeats
+only where a high symbol with its context is shared, and only those places go
+further:
 
 * consecutive windows with one anchor make a block. Blocks of equal words are
   one class, and all of a class but those of its least document are repeats;
@@ -24,12 +25,14 @@ joined back to its rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import drop_stash, stash
@@ -41,10 +44,11 @@ PIECE = 1 << 16
 #: Bytes of a word beyond which its digest is not a polynomial.
 LONG_WORD = 256
 #: Bytes of texts that are laid out together: arrays of this size stay in a core's cache.
-TOGETHER = 1 << 20
-#: Characters that stand between words.
-SPACES = r"[\x20\x09-\x0D]+"
+TOGETHER = 1 << 18
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _FAR = np.int32(1 << 29)
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -90,7 +94,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """The words of a column of normal texts (single spaces between words, none at the ends), laid out one after another with an empty place after each text.
+    """The words of a column of texts, laid out one after another with an empty place after each text.
 
     offset: place of each text's first word, and one beyond the last; count:
     words of each text; lanes: for every place the digest of its word, never 0,
@@ -99,21 +103,18 @@ class Words:
 
     def __init__(self, texts: pa.Array, lanes: int = 1):
         ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
-        full = np.flatnonzero(ends[1:] > ends[:-1])
-        gaps = np.flatnonzero(data == 32)
-        mark = np.zeros(len(data) + 1, bool)
-        mark[gaps + 1] = True
-        mark[ends[full]] = True
-        first = np.flatnonzero(mark)
-        mark[:] = False
-        mark[gaps] = True
-        mark[ends[full + 1]] = True
-        last = np.flatnonzero(mark)
+        space, edge = _SPACE[data], np.zeros(len(data) + 1, bool)
+        edge[ends] = True
+        before, after = edge[:-1].copy(), edge[1:].copy()
+        before[1:] |= space[:-1]
+        after[:-1] |= space[1:]
+        first, last = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
         owner = np.searchsorted(ends, first, side="right") - 1
         self.count = np.bincount(owner, minlength=len(texts))
         self.offset = np.concatenate([[0], np.cumsum(self.count + 1)])
+        self._bytes = data, space, ends, last[:-1][owner[1:] == owner[:-1]]
         place = np.arange(len(first)) + owner
         long = np.flatnonzero(last - first > LONG_WORD)
         self.lanes = []
@@ -126,6 +127,15 @@ class Words:
             lane[place] = own
             self.lanes.append(lane)
 
+    def sha256(self) -> list[str]:
+        """For each text the digest of its words with one space between them."""
+        data, space, ends, inner = self._bytes
+        keep = ~space
+        keep[inner] = True
+        cuts = np.concatenate([[0], np.cumsum(keep)])[ends]
+        written = memoryview(np.where(space, np.uint8(32), data)[keep].tobytes())
+        return [hashlib.sha256(written[i:j]).hexdigest() for i, j in zip(cuts[:-1], cuts[1:])]
+
 
 def _run_step(word: np.ndarray, name: np.ndarray, s: np.ndarray, e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """Names maximal runs of a symbol. That a run ends is seen by the next word, unless that equals the word at the run's other end; then by the next symbol."""
@@ -204,13 +214,22 @@ def anchors(word: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tup
         for level, (own, lo, hi) in reversed(list(enumerate(levels(piece, rounds)))):
             fits = np.flatnonzero(hi - lo <= window)
             if len(fits):
-                before = np.cumsum(np.bincount(lo[fits] + 1, minlength=len(piece) + 1))
-                j = before[at[rest]]  # symbols whose context starts before the window; the next is the first that may lie in it
-                inside = np.append(hi[fits], _FAR)[j] <= at[rest] + window
-                got = rest[inside]
-                name[got] = own[fits[j[inside]]]
-                mark[got] = level * len(piece) + fits[j[inside]]
-                rest = rest[~inside]
+                own = own[fits] ^ _digests(piece, lo[fits], hi[fits], _WORDS[0])
+                begun = np.cumsum(np.bincount(lo[fits] + 1, minlength=len(piece) + 1))[at[rest]]  # symbols whose context starts before the window
+                ended = np.cumsum(np.bincount(hi[fits], minlength=len(piece) + 1))[at[rest] + window]  # whose context ends in it or before
+                got = np.flatnonzero(ended > begun)
+                best, begun, ended = begun[got], begun[got], ended[got]
+                more = np.arange(len(got))
+                while True:
+                    begun[more] += 1
+                    more = more[begun[more] < ended[more]]
+                    if not len(more):
+                        break
+                    less = more[own[begun[more]] < own[best[more]]]
+                    best[less] = begun[less]
+                name[rest[got]] = own[best]
+                mark[rest[got]] = level * len(piece) + fits[best]
+                rest = np.delete(rest, got)
             if not len(rest):
                 break
         head = np.empty(len(at), bool)
@@ -224,16 +243,6 @@ def anchors(word: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     return np.concatenate(starts), np.concatenate(names), np.concatenate(heads)
 
 
-def normal(text: str = "text") -> Column:
-    """The words of a text with one space between them; null gives an empty text."""
-    return F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES, " "))
-
-
-def _number(words: str) -> Column:
-    """Words of a normal text."""
-    return F.when(F.col(words) == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(F.col(words), F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 def _lists(values: np.ndarray, at: np.ndarray, offset: np.ndarray) -> pa.Array:
     """Values, by place, as one list for each text."""
     cuts = np.searchsorted(at, offset).astype(np.int32)
@@ -241,25 +250,25 @@ def _lists(values: np.ndarray, at: np.ndarray, offset: np.ndarray) -> pa.Array:
 
 
 def _named(window: int):
-    """Arrow batches (doc_id, digest, n_words, words) to (doc_id, digest, n_words, names): the anchors of each text, one for each block."""
+    """Arrow batches (doc_id, mark, text) to (doc_id, mark, digest, n_words, names): the anchors of each text, one for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _slices(batch):
-                words = Words(piece.column(3))
+                words = Words(piece.column(2))
                 at, name, head = anchors(words.lanes[0], window)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], _lists(name[head].view(np.int64), at[head], words.offset)], ["doc_id", "digest", "n_words", "names"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(words.sha256(), pa.string()), pa.array(words.count), _lists(name[head].view(np.int64), at[head], words.offset)], ["doc_id", "mark", "digest", "n_words", "names"])
 
     return run
 
 
 def _blocks(window: int):
-    """Arrow batches (unit, first, digest, words, names) to a row for each block whose anchor is in names: (name, a, b, first, unit, start, stop), words from start to before stop."""
+    """Arrow batches (unit, first, digest, text, names) to a row for each block whose anchor is in names: (name, a, b, first, unit, start, stop), words from start to before stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _slices(batch):
-                words = Words(piece.column("words"), 2)
+                words = Words(piece.column("text"), 2)
                 at, name, head = anchors(words.lanes[0], window)
                 begin = np.flatnonzero(head)
                 owner = np.searchsorted(words.offset, at[begin], side="right") - 1
@@ -282,12 +291,12 @@ def _blocks(window: int):
 
 
 def _windows(window: int):
-    """Arrow batches (first, unit, words, parts) to a row for each window in the parts of a text: (a, b, first, unit, start)."""
+    """Arrow batches (first, unit, text, parts) to a row for each window in the parts of a text: (a, b, first, unit, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _slices(batch):
-                words = Words(piece.column("words"), 2)
+                words = Words(piece.column("text"), 2)
                 parts = piece.column("parts")
                 sizes = np.diff(parts.offsets.to_numpy())
                 flat = parts.flatten()
@@ -306,12 +315,12 @@ def _windows(window: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (digest, words, parts) to (digest, spans, kept): parts joined where they touch, and the words outside them."""
+    """Arrow batches (digest, text, parts) to (digest, spans, kept): parts joined where they touch, and the words outside them."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     for batch in batches:
         digests, spans, kept = [], [], []
         for digest, text, parts in zip(*(batch.column(k) for k in range(3))):
-            words = text.as_py().split(" ")
+            words = WORD.findall(text.as_py())
             depth = np.zeros(len(words) + 1, np.int64)
             np.add.at(depth, parts.values.field("start").to_numpy(), 1)
             np.add.at(depth, parts.values.field("stop").to_numpy(), -1)
@@ -340,19 +349,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     texts go through the exchange once, with one row for each text that shares
     an anchor; the rest moves digests and numbers.
     """
-    ids = F.col(doc_id).cast("long")
-    whole = docs.select(ids.alias("doc_id"), normal(text).alias("words"))
-    keyed = whole.select("doc_id", F.sha2("words", 256).alias("digest"), _number("words").alias("n_words"), "words")
-    parsed = stash(keyed.mapInArrow(_named(window), "doc_id long, digest string, n_words long, names array<long>"), "anchors")
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    keyed = whole.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    parsed = stash(keyed.mapInArrow(_named(window), "doc_id long, mark long, digest string, n_words long, names array<long>"), "anchors")
     able = parsed.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    units = stash(able.groupBy("digest").agg(F.min("doc_id").alias("first"), F.any_value("names").alias("names")).withColumn("unit", F.monotonically_increasing_id()), "units")
+    units = able.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("own"), F.any_value(F.array_distinct("names")).alias("names"))
+    units = stash(units.select("digest", F.col("own.doc_id").alias("first"), "own.mark", "names", F.monotonically_increasing_id().alias("unit")), "units")
 
-    named = units.select("unit", "first", F.explode(F.array_distinct("names")).alias("name"))
+    named = units.select("unit", "first", F.explode("names").alias("name"))
     shared = named.groupBy("name").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("name")
     live = named.join(shared, "name").groupBy("unit").agg(F.collect_list("name").alias("names"))
-    wanted = units.select("unit", "digest", "first").join(live, "unit").select("unit", "digest", F.col("first").alias("doc_id"), "names")
-    texts = keyed.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).select("doc_id", "digest", "words")
-    texts = stash(texts.join(wanted, ["doc_id", "digest"]).select("unit", F.col("doc_id").alias("first"), "digest", "words", "names"), "shared")
+    wanted = units.select("unit", "digest", F.col("first").alias("doc_id"), "mark").join(live, "unit")
+    texts = stash(keyed.join(wanted, ["doc_id", "mark"]).select("unit", F.col("doc_id").alias("first"), "digest", "text", "names"), "shared")
 
     blocks = stash(texts.mapInArrow(_blocks(window), "name long, a long, b long, first long, unit long, start int, stop int"), "blocks")
     classes = stash(blocks.groupBy("name", "a", "b").agg(F.min("first").alias("low")), "classes")
@@ -360,12 +368,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     same = marked.filter("later").select("unit", "start", "stop")
     several = classes.groupBy("name").agg(F.min("low").alias("low"), F.max("low").alias("high")).filter("low < high").select("name")
     open_parts = marked.filter("not later").join(several, "name").groupBy("unit").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
-    single = stash(texts.select("first", "unit", "words").join(open_parts, "unit").select("first", "unit", "words", "parts").mapInArrow(_windows(window), "a long, b long, first long, unit long, start int"), "windows")
+    single = stash(texts.select("first", "unit", "text").join(open_parts, "unit").select("first", "unit", "text", "parts").mapInArrow(_windows(window), "a long, b long, first long, unit long, start int"), "windows")
     least = single.groupBy("a", "b").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("a", "b", "low")
     alike = single.join(least, ["a", "b"]).filter("first > low").select("unit", "start", (F.col("start") + window).alias("stop"))
 
     gone = same.unionByName(alike).groupBy("unit").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
-    cut = stash(texts.select("unit", "digest", "words").join(gone, "unit").select("digest", "words", "parts").mapInArrow(_cut, "digest string, spans array<struct<start:int,length:int>>, kept string"), "cut")
+    cut = stash(texts.select("unit", "digest", "text").join(gone, "unit").select("digest", "text", "parts").mapInArrow(_cut, "digest string, spans array<struct<start:int,length:int>>, kept string"), "cut")
     for made in (texts, blocks, classes, marked, single):
         drop_stash(made)
     firsts = units.select("digest", "first").join(cut.dropDuplicates(["digest"]), "digest", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, licenses, orderminhash, packing, privacy, quality, recompression, sentencepiece, simhash, tokens, urls
+from textloom.llm import language, licenses, merkle, orderminhash, packing, periods, privacy, quality, recompression, sentencepiece, simhash, tokens, urls
 from textloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,15 +57,23 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_out="n_replaced")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def op13_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.removed(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_order_minhash, op4_url_filter, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_license_scan, op10_pii_surrogates, op13_recompression_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_order_minhash, op4_url_filter, op5_simhash_near_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_license_scan, op10_pii_surrogates, op11_periodic_runs, op12_merkle_manifest, op13_recompression_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle(), "op13_recompression_dedup": recompression.oracle()}
+    return {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle(), "op11_periodic_runs": periods.oracle(), "op12_merkle_manifest": merkle.oracle(), "op13_recompression_dedup": recompression.oracle()}
