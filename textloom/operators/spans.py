@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import islands
+
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Two half-open intervals share a place."""
@@ -56,57 +58,13 @@ def greedy_nonoverlap(spans: Column) -> Column:
 
 
 def dedup_overlapping(spans: DataFrame, keys: list[str], strategy: str) -> DataFrame:
-    """One of four ways to part overlapping spans (start, end, label, confidence) of each key: first, confidence, longer_same_type, shortest."""
-    schema = spans.schema
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        size = rows["end"] - rows["start"]
-        order = {"first": ["start", "_c"], "confidence": ["_c", "start"], "longer_same_type": ["_l", "start"], "shortest": ["_s", "start"]}[strategy]
-        ranked = rows.assign(_c=-rows["confidence"], _l=-size, _s=size).sort_values([*order, "end", "label"], kind="stable")
-        kept: list[tuple] = []
-        for i, s, e, label in zip(ranked.index, ranked["start"], ranked["end"], ranked["label"], strict=True):
-            if not any(s < e2 and e > s2 and (strategy != "longer_same_type" or label == l2) for _, s2, e2, l2 in kept):
-                kept.append((i, s, e, label))
-        return rows.loc[[k[0] for k in kept]].sort_values(["start", "end"], kind="stable")
-
-    return spans.groupBy(*keys).applyInPandas(one, schema)
+    """One of four ways to part overlapping spans (start, end, label, confidence) of each key: first, confidence, longer_same_type (spans of other labels do not count), shortest. Ties: by start, the surer, end, label."""
+    size, sure = F.col("end") - F.col("start"), -F.col("confidence")
+    order = {"first": [F.col("start"), sure], "confidence": [sure, F.col("start")], "longer_same_type": [-size, F.col("start")], "shortest": [size, F.col("start")]}[strategy]
+    return islands.choose(spans, keys, [*order, F.col("end"), F.col("label")], "label" if strategy == "longer_same_type" else None)
 
 
-def match_gold(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """Each gold span with at most one prediction, in gold order: exact and same label, exact, overlapping and same label, overlapping; the first of the best.
-
-    Columns (key, gold_start, gold_end, gold_label, start, end, label, class);
-    class none: no prediction left that overlaps; predictions that match
-    nothing have a null gold and class spurious.
-    """
-    names = ["gold_start", "gold_end", "gold_label", "start", "end", "label", "class"]
-
-    def one(k: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        preds = list(p.sort_values(["start", "end"], kind="stable")[["start", "end", "label"]].itertuples(index=False, name=None))
-        used, rows = set(), []
-        for s, e, label in g.sort_values(["start", "end"], kind="stable")[["start", "end", "label"]].itertuples(index=False, name=None):
-            best = None
-            for i, (a, b, other) in enumerate(preds):
-                if i in used or not (a < e and b > s):
-                    continue
-                rank = (0 if (a, b) == (s, e) else 2) + (label != other)
-                if best is None or rank < best[0]:
-                    best = (rank, i)
-            if best is None:
-                rows.append((s, e, label, None, None, None, "none"))
-            else:
-                used.add(best[1])
-                rows.append((s, e, label, *preds[best[1]], ("exact", "exact_boundary", "partial", "overlap")[best[0]]))
-        rows += [(None, None, None, *x, "spurious") for i, x in enumerate(preds) if i not in used]
-        out = pd.DataFrame(rows, columns=names)
-        for c in ("gold_start", "gold_end", "start", "end"):
-            out[c] = out[c].astype("Int64")
-        out.insert(0, key, k[0])
-        return out
-
-    kind = gold.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, gold_start long, gold_end long, gold_label string, start long, end long, label string, class string"
-    return gold.select(key, "start", "end", "label").groupBy(key).cogroup(predicted.select(key, "start", "end", "label").groupBy(key)).applyInPandas(one, schema)
+match_gold = islands.match
 
 
 def error_analysis(gold: DataFrame, predicted: DataFrame, key: str, least: float = 0.5) -> DataFrame:

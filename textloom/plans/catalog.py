@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import dossier, evaluation, extraction, functions, metrics, records, reports, retrieval, texts
+from textloom.plans import dossier, evaluation, extraction, functions, metrics, records, reports, resolution, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_modules = [functions, evaluation, retrieval, texts, extraction, metrics, dossier, reports, records]
+_modules = [functions, evaluation, retrieval, texts, extraction, metrics, dossier, reports, records, resolution]
 
 
 def queries() -> dict[str, Query]:
