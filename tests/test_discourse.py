@@ -75,3 +75,29 @@ def test_signals_and_store(spark):
     assert rows(store.overlapping_roots(roots, "/x"), "corpus_id") == [("a",)] and rows(store.overlapping_roots(roots, "/x/y/w/"), "corpus_id") == [("a",)]
     jobs = spark.createDataFrame([(1, "queued"), (2, "done")], "job_id int, status string")
     assert rows(store.transition(jobs, "running", {"queued": {"running"}}, jobs), "job_id", "status") == [(1, "running"), (2, "done")]
+
+
+def test_resolve_takes_nulls_blanks_ties_and_long_documents(spark):
+    schema = "doc_id int, idx int, text string, type string"
+    data = [(1, 0, None, "PER"), (1, 1, "  ", "PER"), (1, 2, "Ann Lee", "PER"), (1, 2, "ANN LEE", None), (1, 3, "she", None), (None, 4, "Lee", "PER"), (None, 5, "ann lee", "PER"), (1, 6, "IBM", "ORG"), (1, 7, "International Business Machines", "ORG"), (1, 8, "it", "ORG"), (1, 9, "Business Machines", "ORG")]
+    got = {(r.doc_id, r.idx, r.chain) for r in discourse.resolve(spark.createDataFrame(data, schema)).collect()}
+    assert got == {(1, 0, 0), (1, 1, 1), (1, 2, 3), (1, 2, 2), (1, 3, 3), (None, 4, 0), (None, 5, 0), (1, 6, 5), (1, 7, 5), (1, 8, 5), (1, 9, 5)}
+    many = [(1, i, f"Name{i % 40} Surname{i % 20}", "PER") for i in range(4000)]
+    assert {r.chain for r in discourse.resolve(spark.createDataFrame(many, schema)).collect()} == set(range(20))
+    assert discourse.resolve(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_event_clusters_take_nulls(spark):
+    data = [(1, 0, None, "A", None), (1, 1, None, "A", ["x"]), (1, 2, "Hit", None, ["x"]), (1, 3, "hit", None, None), (None, 4, "hit", "A", ["x", None])]
+    got = {(r.doc_id, r.idx): r.cluster for r in discourse.event_clusters(spark.createDataFrame(data, "doc_id int, idx int, trigger string, type string, args array<string>")).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 2, (None, 4): 4}
+
+
+def test_the_worst_risk_and_the_first_head(spark):
+    from textloom.operators import reports, subjects
+
+    rule = spark.createDataFrame([(1, "a", "low")], "doc_id int, category string, severity string")
+    model = spark.createDataFrame([(1, "b", "medium"), (1, "b", "critical"), (1, "b", "odd"), (1, "a", "high"), (2, "c", None)], "doc_id int, category string, severity string")
+    assert {tuple(r) for r in subjects.merge_risks(rule, model).collect()} == {(1, "a", "low", "rule"), (1, "b", "critical", "model"), (2, "c", None, "model")}
+    m = [("gold", 1, 0, 0, 5, 4, 5), ("gold", 1, 1, 3, 5, 4, 5), ("pred", 1, 7, 0, 5, 4, 5), ("gold", 1, 0, 8, 9, 8, 9), ("pred", 1, 7, 8, 9, 8, 9)]
+    assert reports.b_cubed_heads(spark.createDataFrame(m, "side string, doc_id int, chain_id int, start int, end int, head_start int, head_end int")).first().f1 == 1

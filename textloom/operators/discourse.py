@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.strings import PRONOUNS
+from textloom.operators.resolve import components
+from textloom.storage import stash
 
 #: Cue words of quantified mentions, and of approximate ones. Fixed values.
 QUANTIFIERS = {"universal": ("all", "every", "each"), "negative": ("no", "none"), "existential": ("some", "several", "a few", "many"), "bare_plural": ("most",)}
@@ -50,69 +52,73 @@ def coherence(transitions: DataFrame, doc: str) -> DataFrame:
     return transitions.filter("transition is not null").groupBy(doc).agg(*(F.count_if(F.col("transition") == t).alias(t) for t in ("continue", "retain", "smooth_shift", "rough_shift")))
 
 
-def _acronym(long: str) -> str:
-    return "".join(w[0] for w in long.split() if w[:1].isupper())
+def _acronym(text: Column) -> Column:
+    """First letters of the words that begin with a capital."""
+    capital = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w.rlike(r"^\p{Lu}"))
+    return F.array_join(F.transform(capital, lambda w: F.substring(w, 1, 1)), "")
 
 
 def resolve(mentions: DataFrame, doc: str = "doc_id", lookback: int = 10) -> DataFrame:
-    """(doc, idx, chain) by ordered sieves over the mentions (doc, idx, text, type) of a document, earlier ones first: equal text, acronym, last word, part of the other; then pronouns to the nearest fitting chain within lookback mentions. A mention that joins none begins a chain."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable")
-        text, kind = rows["text"].tolist(), rows["type"].tolist()
-        low = [t.lower() for t in text]
-        chain: list[int | None] = [None] * len(text)
-        names = [i for i, t in enumerate(low) if t not in PRONOUNS]
-        sieves = (
-            lambda i, j: low[i] == low[j],
-            lambda i, j: text[i] == _acronym(text[j]) or text[j] == _acronym(text[i]),
-            lambda i, j: kind[i] == "PER" and low[i].split()[-1] == low[j].split()[-1],
-            lambda i, j: f" {low[i]} " in f" {low[j]} " or f" {low[j]} " in f" {low[i]} ",
-        )
-        root = list(range(len(text)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for fits in sieves:
-            for a, i in enumerate(names):
-                for j in names[:a]:
-                    if kind[i] == kind[j] and find(i) != find(j) and text[i] and text[j] and fits(i, j):
-                        root[max(find(i), find(j))] = min(find(i), find(j))
-        for i in range(len(text)):
-            if i not in names:
-                want = PRONOUN_TYPES.get(low[i])
-                near = [j for j in range(max(0, i - lookback), i) if j in names and want in ("ANY", kind[j])]
-                if near:
-                    root[i] = find(near[-1])
-            chain[i] = find(i)
-        return pd.DataFrame({doc: [key[0]] * len(text), "idx": rows["idx"].tolist(), "chain": chain})
-
-    kind = mentions.schema[doc].dataType.simpleString()
-    return mentions.select(doc, F.col("idx").cast("long").alias("idx"), "text", "type").groupBy(doc).applyInPandas(one, f"{doc} {kind}, idx long, chain long")
+    """(doc, idx, chain) of the mentions (doc, idx, text, type) of documents; chain is the place, from 0, of the chain's first mention in order of idx.
+
+    Mentions of one document and type that are no pronouns are one chain if
+    connected by equal text (case apart), one being the other's acronym, for PER
+    an equal last word, or one's words standing in a row in the other's. A pronoun
+    joins the chain of the nearest such mention of a fitting type among the
+    lookback mentions before it, else it begins one. Null and blank texts, and
+    pronouns that fit none, are chains of their own; a null type is a type, and a
+    null doc a document. Ties in idx go by text, then type. All relations are
+    joins on equal keys, each tied to its least place, so no document is paired
+    off; a mention of n words has n (n + 1) / 2 rows of words in a row.
+    """
+    order = Window.partitionBy("d").orderBy("idx", "text", "type")
+    low, key = F.lower("text"), ["d", "type"]
+    rows = stash(mentions.select(F.struct(F.col(doc).alias("doc")).alias("d"), F.col("idx").cast("long").alias("idx"), "text", F.coalesce(F.col("type"), F.lit("")).alias("type")).withColumn("pos", (F.row_number().over(order) - 1).cast("long")), "mentions")
+    name = F.coalesce((F.trim("text") != "") & ~low.isin(*PRONOUNS), F.lit(False))
+    forms = stash(rows.filter(name).groupBy(*key, "text").agg(F.min("pos").alias("pos")).withColumn("low", low), "forms")
+
+    def tied(by: DataFrame) -> DataFrame:
+        """Places of equal key (by: d, type, w, pos) with the least of them."""
+        least = by.groupBy(*key, "w").agg(F.min("pos").alias("a"))
+        return by.join(least, [*key, "w"]).filter("a <> pos").select("d", "a", F.col("pos").alias("b"))
+
+    last = forms.filter("type = 'PER'").select(*key, F.element_at(F.split(F.trim("low"), r"\s+"), -1).alias("w"), "pos")
+    short = forms.select(*key, F.col("text").alias("w"), F.col("pos").alias("a"))
+    long = forms.select(*key, _acronym(F.col("text")).alias("w"), F.col("pos").alias("b"))
+    words = F.split("low", " ")
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    parts = forms.select(*key, F.explode(F.array_distinct(starts)).alias("w"), F.col("pos").alias("b"))
+    whole = forms.groupBy(*key, F.col("low").alias("w")).agg(F.min("pos").alias("a"))
+    links = tied(forms.select(*key, F.col("low").alias("w"), "pos")).unionByName(tied(last)).unionByName(short.join(long, [*key, "w"]).select("d", "a", "b")).unionByName(whole.join(parts, [*key, "w"]).filter("a <> b").select("d", "a", "b"))
+    found = components(links.select(F.struct("d", F.col("a").alias("pos")).alias("a"), F.struct("d", F.col("b").alias("pos")).alias("b")))
+    of_form = forms.join(found.select("node.d", "node.pos", F.col("cluster.pos").alias("root")), ["d", "pos"], "left").select(*key, "text", F.coalesce("root", "pos").alias("root"))
+    named = rows.join(of_form, [*key, "text"], "left")
+    near = Window.partitionBy("d").orderBy("pos").rowsBetween(-lookback, -1)
+    latest = {t: F.last(F.when(F.col("root").isNotNull() & (F.lit(t == "ANY") | (F.col("type") == t)), F.col("root")), True).over(near) for t in set(PRONOUN_TYPES.values())}
+    wanted = F.coalesce(*(F.when(low.isin([w for w, k in PRONOUN_TYPES.items() if k == t]), latest[t]) for t in sorted(latest)))
+    chained = named.withColumn("chain", F.coalesce("root", wanted, "pos"))
+    return chained.select(F.col("d.doc").alias(doc), "idx", "chain")
 
 
 def event_clusters(events: DataFrame, doc: str = "doc_id", least: float = 0.3) -> DataFrame:
-    """(doc, idx, cluster): each free event (doc, idx, trigger, type, args) seeds a cluster and takes the later free ones of its type with an equal trigger or enough shared arguments with the seed; not transitive."""
+    """(doc, idx, cluster): each free event (doc, idx, trigger, type, args) seeds a cluster and takes the later free ones of its type with an equal trigger or enough shared arguments with the seed; not transitive. Null triggers equal none, null arguments are none, a null type is a type. Seeds are tried in order, so a document's events are one task's, by type."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx", kind="stable")
         got: dict[int, int] = {}
-        items = list(zip(rows["idx"], rows["trigger"].str.lower(), rows["type"], [set(a) for a in rows["args"]], strict=True))
-        for k, (i, trigger, kind, args) in enumerate(items):
-            if i in got:
+        items = [(i, t.lower() if isinstance(t, str) else None, set() if a is None else set(a)) for i, t, a in zip(rows["idx"], rows["trigger"], rows["args"], strict=True)]
+        for k, (i, trigger, args) in enumerate(items):
+            if k in got:
                 continue
-            got[i] = i
-            for j, other, kind2, args2 in items[k + 1 :]:
+            got[k] = i
+            for j, (_, other, args2) in enumerate(items[k + 1 :], k + 1):
                 union = args | args2
-                if j not in got and kind == kind2 and (trigger == other or (union and len(args & args2) / len(union) >= least)):
+                if j not in got and ((trigger is not None and trigger == other) or (union and len(args & args2) / len(union) >= least)):
                     got[j] = i
-        return pd.DataFrame({doc: [key[0]] * len(got), "idx": list(got), "cluster": list(got.values())})
+        return pd.DataFrame({doc: [key[0]] * len(items), "idx": rows["idx"].tolist(), "cluster": [got[k] for k in range(len(items))]})
 
     kind = events.schema[doc].dataType.simpleString()
-    return events.select(doc, F.col("idx").cast("long").alias("idx"), "trigger", "type", "args").groupBy(doc).applyInPandas(one, f"{doc} {kind}, idx long, cluster long")
+    return events.select(doc, F.col("idx").cast("long").alias("idx"), "trigger", "type", "args").groupBy(doc, "type").applyInPandas(one, f"{doc} {kind}, idx long, cluster long")
 
 
 def tag_counts(tokens: DataFrame, doc: str, position: str, token: str, tag: str) -> tuple[DataFrame, DataFrame]:

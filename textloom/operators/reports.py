@@ -14,8 +14,9 @@ LONG_CHAIN = 10
 
 
 def b_cubed_heads(mentions: DataFrame) -> DataFrame:
-    """B-cubed with mentions told by their heads (head_start, head_end); of those of one side with one head the first counts."""
-    return coref.b_cubed(mentions.drop("start", "end").withColumnsRenamed({"head_start": "start", "head_end": "end"}).dropDuplicates(["side", *coref.KEYS]))
+    """B-cubed with mentions told by their heads (head_start, head_end); of those of one side with one head the first by place counts, of equal places the one of least chain."""
+    first = mentions.groupBy("side", "doc_id", "head_start", "head_end").agg(F.min(F.struct("start", "end", "chain_id")).alias("x"))
+    return coref.b_cubed(first.select("side", "doc_id", F.col("head_start").alias("start"), F.col("head_end").alias("end"), "x.chain_id"))
 
 
 def chain_strata(mentions: DataFrame) -> DataFrame:

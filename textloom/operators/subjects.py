@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Categories that count as personal whatever found them. Fixed values.
 CORE_CATEGORIES = ("person", "email", "phone", "iban", "nir", "address")
 
+#: Severities of a risk, the worst first. Fixed values.
+SEVERITIES = ("critical", "high", "medium", "low")
+
 
 def find_subject(vault: DataFrame, reference: str) -> DataFrame:
     """Vault entries (token, category, original) whose original holds the reference, case and outer blanks apart; an empty reference finds none."""
@@ -55,8 +58,11 @@ def revision_ready(objects: DataFrame, indexed: DataFrame, version: str) -> Data
 
 
 def merge_risks(by_rule: DataFrame, by_model: DataFrame) -> DataFrame:
-    """Risks (doc_id, category, severity) of rules, and those of a model in categories that no rule found in the document; source tells which."""
-    extra = by_model.dropDuplicates(["doc_id", "category"]).join(by_rule.select("doc_id", "category").distinct(), ["doc_id", "category"], "left_anti")
+    """Risks (doc_id, category, severity) of rules, and those of a model in categories that no rule found in the document; source tells which. Of a model's risks of one category the most severe counts (critical, high, medium, low, then others), then the least of its other columns."""
+    rest = [c for c in by_model.columns if c not in ("doc_id", "category")]
+    level = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.lower("severity")), F.lit(0))
+    worst = by_model.groupBy("doc_id", "category").agg(F.min(F.struct(F.when(level > 0, level).otherwise(len(SEVERITIES) + 1).alias("__l"), *rest)).alias("__x"))
+    extra = worst.select(*(F.col(c) if c not in rest else F.col(f"__x.{c}").alias(c) for c in by_model.columns)).join(by_rule.select("doc_id", "category").distinct(), ["doc_id", "category"], "left_anti")
     return by_rule.withColumn("source", F.lit("rule")).unionByName(extra.withColumn("source", F.lit("model")))
 
 
