@@ -57,6 +57,33 @@ def test_all_near_copies_and_no_others(spark):
     assert N.near_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, lengthened", [(2, 4), (3, 4)])
+def test_crowded_keys_lose_no_near_copy(spark, monkeypatch, hot, lengthened):
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "LENGTHENED", lengthened)
+    rng = np.random.default_rng(11)
+    texts = edited(rng)
+    passage = " ".join(f"p{k}" for k in range(40))
+    for i in range(60):  # a passage that all share, and pairs of near copies among them
+        own = [f"o{i}x{k}" for k in range(12)]
+        texts.append(" ".join(own) + " " + passage)
+        if i % 6 == 0:
+            texts.append(" ".join([*own[:-1], "end"]) + " " + passage)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_copies(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_a_common_passage_is_not_paired_off(spark, monkeypatch):
+    compared = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, sets: (compared.append(pairs.count()), verified(pairs, sets))[1])
+    passage = " ".join(f"p{k}" for k in range(14))
+    texts = [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(1500)]
+    assert N.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).select("component_id").distinct().count() == 1500
+    assert sum(compared) < 1500 * 20
+
+
 def test_copies_of_one_original_that_are_not_copies_of_each_other(spark):
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
