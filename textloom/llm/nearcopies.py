@@ -16,9 +16,9 @@ a rule the original that the others were made from. What is then apart from
 the centre of a key is held against the rest of the key, inside the join, by a
 sketch of SKETCH one-bit minima; a pair goes on only if its sketches differ in
 few enough bits for the similarity sought, and only under the first key that it
-shares. A key of more than HOT sets is not paired off: a passage that many texts
-share gives them keys in common but no likeness. Such sets meet again only on
-shingles that are rare among them.
+shares. A key with more than HOT sets apart is not paired off: a passage that many
+texts share gives them keys in common but no likeness. Such sets meet again only
+on shingles that are rare among them.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ BLOCK = 1 << 9
 #: Bits of a sketch, and those in which the sketches of a pair that goes on differ at most: the mean at SIMILARITY, and three deviations.
 SKETCH = 1024
 MOST_DIFFERENT = int(SKETCH * (1 - SIMILARITY) / 2 + 3 * (SKETCH * (1 - SIMILARITY) / 2 * (1 + SIMILARITY) / 2) ** 0.5)
-#: Sets under one key that are compared with one another; a key of more is told apart by rare shingles, and these are lengthened to so many.
-HOT, LENGTHENED = 16, 4
+#: Sets of a key that are apart from its centre and are held against all others of the key; where more are, rare shingles tell the sets apart.
+HOT = 16
 #: Ids of sets or rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_LONGS = 1_000_000
 
@@ -207,59 +207,45 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     heads = centres.select("key", F.col("c.sid").alias("centre")).join(_named(roots, "centre", "head"), "centre", "left").select("key", F.coalesce("head", "centre").alias("head"))
     named = rows.join(_named(roots, "sid", "root"), "sid", "left").join(heads, "key").withColumn("root", F.coalesce("root", "sid"))
     named = stash(named, "near-rooted")
-    parted = stash(named.filter("root <> head").select("key").distinct(), "near-parted")
-    open_keys = named.join(parted, "key", "left_semi")
-    few = open_keys.filter(F.col("held") <= HOT).join(nodes.select("sid", "bands"), "sid").join(_prefixed(sketches, "sid", ""), "sid")
+    # few apart: each meets the rest of the key. Many: what the key stands for is common to unlike texts, and rare shingles tell them apart
+    parted = stash(named.groupBy("key").agg(F.count_if(F.col("root") != F.col("head")).alias("apart")).filter("apart > 0"), "near-parted")
+    open_keys = named.join(parted, "key")
+    few = open_keys.filter(F.col("apart") <= HOT).join(nodes.select("sid", "bands"), "sid").join(_prefixed(sketches, "sid", ""), "sid")
     few = stash(few, "near-few")
     apart = few.filter("root <> head").select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("bands").alias("others"), *(F.col(w).alias("a" + w) for w in WORDS))
     rest = few.join(apart, "key").filter((F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "a") & _first_shared("at", "bands", "others")).select("a", F.col("sid").alias("b"))
-    crowded = open_keys.filter(F.col("held") > HOT).select("sid", "n", "root").distinct()
+    crowded = open_keys.filter(F.col("apart") > HOT).select("sid", "n", "root").distinct()
     more = _verified(rest.unionByName(_by_rare_shingles(crowded, sets, sketches)), sets)
     for done in (rows, centres, pairs, sets, named, parted, few, roots):
         drop_stash(done)
     return links.unionByName(more)
 
 
-def _crossing(keyed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of sets (key, sid, n, root) under one key that are of different components, and whose sizes and sketches fit; a pair once for each key."""
-    full = keyed.select("key", "sid", "n", "root").join(_prefixed(sketches, "sid", ""), "sid")
-    other = full.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(w).alias("b" + w) for w in WORDS))
-    return full.join(other, "key").filter((F.col("sid") < F.col("b")) & (F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "b")).select(F.col("sid").alias("a"), "b")
-
-
 def _by_rare_shingles(crowded: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that may be near copies, of those under crowded keys (sid, n, root), by what is rare in them.
+    """Pairs (a, b), a < b, of sets of different components (sid, n, root) whose sizes and sketches fit, found by what is rare among these sets; written.
 
     A set's shingles are put in order, those of fewest of these sets first. Two
-    sets of the similarity sought have most of their shingles in common, so for
-    each number j the first j that they share stand among the first n - need + j
-    of either. Keys are such shingles, at first single ones: what stands in many
-    texts comes last and is no key. A key of more than HOT sets, and of several
-    components, goes on with one shingle more, up to LENGTHENED of them.
+    sets of the similarity sought share one of their first n - need + 1, need
+    being what a set has in common with any that is alike. So what stands in many
+    texts comes last and is no key. Of a key's sets only those of different
+    components meet, and only under the first key that they share.
     """
     whole = stash(sets.select("sid", "own").dropDuplicates(["sid"]).join(crowded, "sid"), "near-crowded")
     single = whole.select("sid", F.explode("own").alias("shingle"))
     common = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     ordered = single.join(common, "shingle").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("shared"))
-    spare = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)) - (F.col("n") - F.size("shared"))  # places of shared shingles in the first n - need
-    lists = whole.select("sid", "n", "root").join(ordered, "sid").withColumn("spare", spare.cast("int")).filter("spare >= 0")
-    drop = [whole]
-    keys = stash(lists.select("sid", "n", "root", "shared", "spare", F.explode(F.sequence(F.lit(0), F.least("spare", F.size("shared") - 1))).alias("at")).select("sid", "n", "root", "shared", "spare", F.get("shared", F.col("at")).alias("key"), (F.col("at") + 1).alias("next")), "near-rare")
-    found = None
-    for taken in range(1, LENGTHENED + 1):
-        drop.append(keys)
-        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "held")
-        mixed = stash(keys.join(counts, "key"), "near-mixed")
-        drop.append(mixed)
-        last = taken == LENGTHENED
-        new = stash(_crossing(mixed if last else mixed.filter(F.col("held") <= HOT), sketches).distinct(), "near-crossing")
-        found = new if found is None else found.unionByName(new)
-        longer = mixed.filter((F.col("held") > HOT) & (F.col("next") < F.size("shared")))
-        if last or longer.isEmpty():
-            break
-        longer = longer.withColumn("at", F.explode(F.sequence("next", F.least(F.col("spare") + taken, F.size("shared") - 1))))
-        keys = stash(longer.select("sid", "n", "root", "shared", "spare", F.xxhash64("key", F.get("shared", F.col("at"))).alias("key"), (F.col("at") + 1).alias("next")), "near-rare")
-    for done in drop:
+    # of the first n - need + 1 shingles those that other sets have; what no other has comes before them
+    room = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("shared"))
+    lists = whole.select("sid", "n", "root").join(ordered, "sid").withColumn("room", room.cast("int")).filter("room > 0")
+    lists = stash(lists.select("sid", "n", "root", F.slice("shared", F.lit(1), F.col("room")).alias("prefix")), "near-prefixes")
+    keys = lists.select("sid", "root", F.posexplode("prefix").alias("at", "key"))
+    mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rows = stash(keys.join(mixed, "key").select("key", "at", "sid").join(lists, "sid").join(_prefixed(sketches, "sid", ""), "sid"), "near-rare")
+    other = rows.select("key", F.col("at").alias("bt"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("prefix").alias("others"), *(F.col(w).alias("b" + w) for w in WORDS))
+    before = F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("at")), F.slice("others", F.lit(1), F.col("bt")))
+    met = (F.col("sid") < F.col("b")) & (F.col("root") != F.col("other")) & _sizes_fit("n", "m") & _sketches_fit("", "b") & ~before
+    found = stash(rows.join(other, "key").filter(met).select(F.col("sid").alias("a"), "b"), "near-crossing")
+    for done in (whole, lists, rows):
         drop_stash(done)
     return found
 
