@@ -218,6 +218,21 @@ def test_readers(spark, tmp_path):
         (folder / name).write_text("x" * size)
     found = readers.discover(spark, str(folder), 10, 20)
     assert [r.path.rsplit("/", 1)[-1] for r in found.orderBy("path").collect()] == ["a.txt", "c.md"]
+    assert tuple(readers.count_candidates(spark, str(folder)).first()) == (3, 60)
+    assert tuple(readers.count_candidates(spark, str(tmp_path), str(folder)).first())[0] == len([f for f in tmp_path.iterdir() if f.suffix in (".json", ".txt", ".xml", ".csv", ".tsv")])
+
+
+@pytest.mark.parametrize("max_files, max_bytes", [(100, 10**6), (7, 10**6), (100, 300), (9, 40), (0, 50), (5, 0)])
+def test_budget_of_a_listing(spark, max_files, max_bytes):
+    rng = random.Random(max_bytes + max_files)
+    listed = [(f"d{rng.randrange(9)}/f{i}", rng.choice([0, 3, 20, 90])) for i in range(60)]
+    left, want = max_bytes, []
+    for path, size in sorted(listed):
+        if len(want) < max_files and size <= left:
+            want.append(path)
+            left -= size
+    got = readers.within_budget(spark.createDataFrame(listed, "path string, size long"), max_files, max_bytes, range_rows=8)
+    assert sorted(r.path for r in got.collect()) == want
 
 
 def test_exports(spark):

@@ -337,3 +337,19 @@ def test_a_poisoned_row_costs_itself(spark, tmp_path):
     runs = [f.name.split("-")[0] for f in seen.iterdir()]
     assert sorted(runs) == ["None", "a", "bad", "bad", "new"]
     assert states(fanout.ingest(more, work, path, "2"))[2] == ("failed", None, 1)  # a new version does all anew
+
+
+def test_names_by_shape(spark):
+    from textloom.operators import recognise
+
+    texts = {
+        1: "The Acme Group hired Dr. Jane Roe in (Paris) yesterday. She met NATO staff in Berlin, then Bank of England people.",
+        2: None, 3: "", 4: "lower case only", 5: "CEO Tim Cook\nand Global Widget Ltd. said Q3 2024 was good. He left", 6: "(Élodie Martin) PDF", 7: "saw New York and IBM Research",
+    }
+    out = recognise.names(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), {"known_loc": ["paris"], "acronym": ["pdf"]}).collect()
+    assert all(texts[r.doc_id][r.start : r.end].split() == r.text.split() for r in out)
+    got = {(r.doc_id, r.text): (r.label, r.reason) for r in out}
+    assert got == {
+        (1, "Acme Group"): ("ORG", "org_suffix"), (1, "Dr. Jane Roe"): ("PER", "title_and_name"), (1, "Paris"): ("LOC", "known_loc"), (1, "NATO"): ("ORG", "acronym"), (1, "Berlin"): ("LOC", "after_place_word"), (1, "Bank of England"): ("ORG", "of_in_second"),
+        (5, "Tim Cook"): ("PER", "two_words"), (5, "Global Widget Ltd"): ("ORG", "org_suffix"), (6, "Élodie Martin"): ("PER", "two_words"), (7, "New York"): ("LOC", "place_of_two"), (7, "IBM Research"): ("ORG", "acronym_in_run"),
+    } | {k: v for k, v in got.items() if k == (1, "She")}

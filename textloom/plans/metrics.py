@@ -84,7 +84,18 @@ QUERIES = {f.__name__: f for f in (
     extraction_quality, length_bias, word_count_bias, group_gap, annotator_agreement, relation_scores, bridging_scores, compare_entities, window_fragmentation, learning_curve, robustness, singleton_reasons, tag_transitions, rule_coreference,
 )}
 _rel_sql = f"{LINES_SQL}, g AS (SELECT l_orderkey AS d, l_partkey % 3 AS h, l_partkey % 5 AS t, lower(l_returnflag) AS r FROM li WHERE l_linestatus = 'F'), p AS (SELECT l_orderkey AS d, l_partkey % 3 AS h, l_partkey % 5 AS t, lower(l_returnflag) AS r FROM li WHERE l_quantity > 15)"
+_PRONOUN_SQL = ", ".join(f"'{w}'" for w in discourse.PRONOUNS)
 ORACLE = {
+    "rule_coreference": f"""WITH RECURSIVE t AS (SELECT conv_id AS d, turn, list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Z]')) AS ws FROM conversations),
+m AS (SELECT d, turn * 1000 + k - 1 AS idx, regexp_replace(word, '[^\\p{{L}}]', '', 'g') AS text FROM (SELECT d, turn, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM t)),
+p AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY idx, text) - 1 AS pos, lower(text) AS low, text <> '' AND lower(text) NOT IN ({_PRONOUN_SQL}) AS named FROM m),
+f AS (SELECT d, text, any_value(low) AS low, min(pos) AS pos FROM p WHERE named GROUP BY d, text),
+e AS (SELECT a.d, a.pos AS a, b.pos AS b FROM f a JOIN f b ON a.d = b.d AND a.pos <> b.pos AND (a.low = b.low OR a.text = b.text[1] OR b.text = a.text[1])),
+r(d, pos, root) AS (SELECT d, pos, pos FROM f UNION SELECT e.d, e.a, r.root FROM r JOIN e ON e.d = r.d AND e.b = r.pos WHERE r.root < e.a),
+c AS (SELECT d, pos, min(root) AS root FROM r GROUP BY d, pos),
+n AS (SELECT p.*, c.root FROM p LEFT JOIN f ON p.named AND f.d = p.d AND f.text = p.text LEFT JOIN c ON c.d = f.d AND c.pos = f.pos),
+l AS (SELECT *, last_value(root IGNORE NULLS) OVER (PARTITION BY d ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS near FROM n)
+SELECT d AS doc_id, idx, coalesce(root, CASE WHEN low IN ({", ".join(f"'{w}'" for w, k in discourse.PRONOUN_TYPES.items() if k != "ORG")}) THEN near END, pos) AS chain FROM l""",
     "tag_transitions": f"WITH {LINES_SQL}, p AS (SELECT l_returnflag AS tag, coalesce(lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 'START') AS prev FROM li) SELECT prev, tag, count(*) AS n FROM p GROUP BY ALL",
     "extraction_quality": "WITH c AS (SELECT count(*) AS n, count_if(p_size < 5) AS z FROM part GROUP BY p_type, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))) SELECT sum(n)::BIGINT AS total, sum(n - 1)::BIGINT AS duplicates, sum(z)::BIGINT AS noisy, round(sum(n - 1) / sum(n), 6) AS duplicate_rate, round(sum(z) / sum(n), 6) AS noise_rate FROM c",
     "length_bias": "SELECT CASE WHEN length(text) <= 5 THEN 'very_short' WHEN length(text) <= 15 THEN 'short' WHEN length(text) <= 30 THEN 'medium' WHEN length(text) <= 50 THEN 'long' ELSE 'very_long' END AS bucket, count(*) AS n, round(avg((role = 'user')::INT), 6) AS rate FROM conversations GROUP BY 1",

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import diversity, fanout, index, islands, matching, messages, resolve, rewriting, spans
+from textloom.operators import diversity, fanout, index, islands, matching, messages, pii, recognise, resolve, rewriting, spans
 from textloom.plans.retrieval import BM25_SQL, SPAN_SQL, line_spans
 from textloom.plans.tables import table
 from textloom.storage import fresh_path
@@ -104,6 +104,54 @@ FROM run r LEFT JOIN pe ON pe.k = r.k AND pe.y.n = r.best.n WHERE r.n > 0
 UNION ALL
 SELECT k, NULL, NULL, NULL, y.s, y.e, y.label, 'spurious' FROM pe WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.k = pe.k AND r.best.n = pe.y.n)"""
 
+# -- names by their shape
+
+
+def recognised_names(s, d):
+    return recognise.names(table(s, d, "documents"), {"acronym": ["pdf"]}).select("doc_id", "start", "end", "text", "label", "confidence", "reason")
+
+
+def _in(kind: str, what: str) -> str:
+    return f"({what}) IN ({', '.join(repr(w) for w in recognise.WORDS[kind])})"
+
+
+_BARE = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+_LETTERS = r"regexp_replace({}, '[^\p{{L}}]', '', 'g')"
+
+
+def _shouted(w: str) -> str:
+    return f"(length({_LETTERS.format(w)}) >= 2 AND upper({_LETTERS.format(w)}) = {_LETTERS.format(w)})"
+
+
+_NAMES_SQL = rf"""WITH t AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\x0B\f\r]') AS ws FROM documents)),
+u AS (SELECT *, (sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 - length(word))::INT AS start FROM t),
+v AS (SELECT *, {_BARE.format("word")} AS plain, lower({_BARE.format("word")}) AS low, regexp_matches(word, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AS cap FROM u WHERE word <> ''),
+w AS (SELECT *, lead(low) OVER o AS next_low, lead(cap) OVER o AS next_cap, lag(word) OVER o AS before, lag(start) OVER o AS before_start, lag(word, 2) OVER o AS before2 FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT *, regexp_matches(word, '[)\]}}.!?]$') AND NOT coalesce({_in("suffix", "next_low")}, false) AS ends FROM w),
+y AS (SELECT *, (cap AND NOT {_in("trade", "low")}) OR (lower(word) IN ('of', 'the') AND coalesce(next_cap, false) AND NOT ends) AS inside FROM x),
+z AS (SELECT *, NOT inside OR NOT coalesce(lag(inside) OVER o, false) OR coalesce(lag(ends) OVER o, false) AS fresh FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM z),
+f AS (SELECT *, min(CASE WHEN cap AND NOT {_in("opener", "low")} THEN pos END) OVER (PARTITION BY doc_id, run) AS first FROM r WHERE inside),
+g AS (SELECT doc_id, run, list({{'start': start, 'word': word, 'plain': plain, 'low': low, 'before': before, 'bs': before_start, 'before2': before2}} ORDER BY pos) AS w FROM f WHERE pos >= first GROUP BY doc_id, run),
+h AS (SELECT *, coalesce({_in("title", "lower(regexp_replace(w[1].before, '[.]+$', ''))")}, false) AS titled, array_to_string(list_transform(w, lambda q: q.low), ' ') AS joined, array_to_string(list_transform(w, lambda q: q.word), ' ') AS said FROM g),
+i AS (SELECT *, CASE WHEN titled THEN w[1].bs ELSE w[1].start + length(regexp_extract(w[1].word, '^[^\p{{L}}\p{{N}}]+')) END AS start, w[-1].start + length(w[-1].word) - CASE WHEN titled THEN 0 ELSE length(regexp_extract(w[-1].word, '[^\p{{L}}\p{{N}}]+$')) END AS "end",
+  len(w) + titled::INT AS n, w[1].low AS one, CASE WHEN titled THEN w[1].low ELSE w[2].low END AS two, CASE WHEN titled THEN w[1].before2 ELSE w[1].before END AS prior FROM h),
+j AS (SELECT *, CASE WHEN regexp_matches(joined, '^q[1-4]( (fy.*|[0-9]+|h1|h2))*$') AND NOT titled THEN 'quarter' WHEN n = 1 AND {_in("title", "one")} THEN 'title_alone' WHEN {_in("suffix", "w[-1].low")} THEN 'org_suffix' WHEN titled THEN 'title_and_name'
+  WHEN n >= 2 AND len(list_filter(w, lambda q: {_shouted("q.plain")} AND NOT {_in("trade", "q.low")} AND q.low <> 'pdf')) > 0 THEN 'acronym_in_run' WHEN coalesce({_in("before_place", "lower(prior)")}, false) THEN 'after_place_word'
+  WHEN n = 2 AND {_in("place_word", "one")} THEN 'place_of_two' WHEN n = 2 THEN 'two_words' WHEN n > 2 AND two = 'of' THEN 'of_in_second' WHEN n > 2 THEN 'long_run' WHEN length(one) = 1 THEN 'letter'
+  WHEN {_shouted("w[1].plain")} AND one = 'pdf' THEN 'known_acronym' WHEN {_shouted("w[1].plain")} THEN 'acronym' WHEN prior IS NULL OR regexp_matches(prior, '[.!?]$') THEN 'opens_sentence' ELSE 'capital' END AS reason FROM i),
+ru(reason, label, weight) AS (VALUES {', '.join(f"('{a}', {f"'{b}'" if b else 'NULL'}, {c}::DOUBLE)" for a, b, c in recognise.RULES)})
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", CASE WHEN titled THEN w[1].before || ' ' || said ELSE {_BARE.format("said")} END AS text, label, weight AS confidence, reason FROM j JOIN ru USING (reason) WHERE weight >= {recognise.LEAST}"""
+
+
+def stacked_recognition(s, d):
+    """Patterns first, names by shape after them, laid over each other."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", F.explode(pii.scan(F.col("text"))).alias("x")).select("doc_id", "x.start", "x.end", F.col("x.type").alias("label"), F.lit(0.95).alias("confidence"), F.lit(0).alias("layer"))
+    shaped = recognise.names(docs).select("doc_id", "start", "end", "label", "confidence", F.lit(1).alias("layer"))
+    return islands.stack(found.unionByName(shaped), ["doc_id"], "priority")
+
+
 # -- entities of several documents
 
 
@@ -303,9 +351,10 @@ def fanout_outcomes(s, d):
 
 
 _stacks = [_stacked(x) for x in islands.STRATEGIES]
-QUERIES = {f.__name__: f for f in (*_stacks, deduped_spans, gold_matches, part_entities, rewritten_for_retrieval, entity_memory, fragment_score, box_overlaps, box_score, indexed_search, messages_restored, diverse_rows, fanout_outcomes)}
+QUERIES = {f.__name__: f for f in (*_stacks, deduped_spans, gold_matches, part_entities, rewritten_for_retrieval, entity_memory, fragment_score, box_overlaps, box_score, indexed_search, messages_restored, diverse_rows, fanout_outcomes, recognised_names, stacked_recognition)}
 ORACLE = {f"stacked_{x}": _stack_sql(x) for x in islands.STRATEGIES} | {
     "deduped_spans": _dedup_sql(),
+    "recognised_names": _NAMES_SQL,
     "gold_matches": _MATCH_SQL,
     "part_entities": _ENTITIES_SQL,
     "rewritten_for_retrieval": _REWRITE_SQL,

@@ -147,7 +147,7 @@ def search_objects(s, d):
 def vector_top_k(s, d):
     e = table(s, d, "embeddings")
     top = retrieval.cosine_top_k(e, e.filter("vec_id % 20 = 0"), 5)
-    return top.select("query", "rank", F.round("score", 5).alias("score"))
+    return top.select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 def keyset_page(s, d):
@@ -306,7 +306,7 @@ ORACLE = {
     ).replace("SELECT query, doc_id, round", "SELECT query, doc_id AS id, round"),
     "reranked_search": f"WITH {_kw} SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE / (1 + abs(length(text) - 900)) DESC, doc_id)::INT AS rank FROM kw JOIN documents USING (doc_id) WHERE kw.rank <= 40 QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE / (1 + abs(length(text) - 900)) DESC, doc_id) <= 5",
     "search_objects": f"WITH {BM25_SQL} SELECT query, doc_id, source, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm JOIN documents USING (doc_id) WHERE source IN ('src1', 'src3', 'src7') QUALIFY rank <= 8",
-    "vector_top_k": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, round(score, 5) AS score FROM p QUALIFY rank <= 5",
+    "vector_top_k": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, round(score, 5) AS score FROM p QUALIFY rank <= 5",
     "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 0) ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "folder_subtree": "WITH p AS (SELECT page_id, lower(regexp_replace(url, '^https?://', '/')) AS p FROM pages) SELECT page_id FROM p WHERE p = '/m.free-bets.example.com' OR starts_with(p, '/m.free-bets.example.com/') OR p = '/blog.ththan.example.net/en' OR starts_with(p, '/blog.ththan.example.net/en/')",
     "memories_by_entity": f"WITH {MEM_SQL} SELECT id, kind FROM m0 WHERE list_has_any(refs, ['the', 'de', 'and']) AND valid_from <= 60 AND (valid_to IS NULL OR valid_to > 60) ORDER BY id LIMIT 100",

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -13,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.storage import stash
+
+#: Files of a listing that are one range.
+RANGE_ROWS = 100_000
 #: Extensions that ingestion takes. Fixed values.
 EXTENSIONS = "txt md markdown rst pdf docx doc odt rtf html htm csv tsv xlsx xls pptx eml msg json xml".split()
 #: Folders and files made by the tools themselves. Fixed values.
@@ -130,30 +135,73 @@ def maven_arguments(spark: SparkSession, path: str) -> DataFrame:
     return events.select("id", "k", "type", "role", F.inline("said"))
 
 
-def discover(spark: SparkSession, folder: str, max_files: int, max_bytes: int) -> DataFrame:
-    """(path, size, mtime, ext, sha256) of the supported files under a folder, by path: at most max_files; one that does not fit the bytes left is passed over, later ones may.
-
-    The listing (path and size) is folded in one task: it has one row a file
-    and no contents; digests are taken of the chosen files only.
-    """
+def candidates(spark: SparkSession, folder: str, without: str | None = None) -> DataFrame:
+    """(path, size, mtime, ext) of the supported files under a folder, those under the folder `without` left out. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), ext.alias("ext")).filter(F.col("ext").isin(EXTENSIONS))
-    relative = F.regexp_replace("path", F.lit("^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit(""))
+    relative = F.regexp_replace("path", F.lit("^.*?" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/"), F.lit(""))
     listed = listed.filter(~relative.rlike(SKIPPED))
+    if without is None:
+        return listed
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    top = re.sub("^[a-z0-9]+:/*", "/", without).rstrip("/") + "/"
+    return listed.filter(~plain.startswith(top))
+
+
+def count_candidates(spark: SparkSession, folder: str, without: str | None = None) -> DataFrame:
+    """One row (files, bytes) of the supported files under a folder."""
+    return candidates(spark, folder, without).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def _folded(left: int, room: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Files gone through in order: at most room of them, each that fits what is left."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        left, keep = max_bytes, []
+        keep, rest = [], left
         for i, size in rows.sort_values("path")["size"].items():
-            if len(keep) >= max_files:
+            if len(keep) >= room:
                 break
-            if size <= left:
+            if size <= rest:
                 keep.append(i)
-                left -= size
-        return rows.loc[keep, ["path", "size", "mtime", "ext"]]
+                rest -= size
+        return rows.loc[keep]
 
-    chosen = listed.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "path string, size long, mtime timestamp, ext string")
-    return chosen.join(files.select("path", F.sha2(F.col("content"), 256).alias("sha256")), "path")
+    return fold
+
+
+def within_budget(listed: DataFrame, max_files: int, max_bytes: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows of listed (path, size, …) that are kept in order of path: at most max_files; one that does not fit the bytes left is passed over, later ones may.
+
+    The listing is dealt by ranges of paths. A range that fits whole, or of which
+    nothing fits, is settled by its sums alone; only a range in which the budget
+    bites is gone through file by file, in a task of its own.
+    """
+    ranges = max(1, -(-listed.count() // range_rows))
+    dealt = stash(listed.repartitionByRange(ranges, "path").withColumn("__part", F.spark_partition_id()), "listing")
+    sums = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("size").alias("least")).orderBy("__part").collect()
+    left, room, whole, parts = max_bytes, max_files, [], []
+    for r in sums:
+        if room <= 0:
+            break
+        if r.bytes <= left and r.n <= room:
+            whole.append(r["__part"])
+            left, room = left - r.bytes, room - r.n
+        elif r.least <= left:
+            part = stash(dealt.filter(F.col("__part") == r["__part"]).groupBy("__part").applyInPandas(_folded(left, room), dealt.schema), "listing")
+            used = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+            left, room = left - used[1], room - used[0]
+            parts.append(part)
+    kept = dealt.filter(F.col("__part").isin(whole))
+    for part in parts:
+        kept = kept.unionByName(part)
+    return kept.drop("__part")
+
+
+def discover(spark: SparkSession, folder: str, max_files: int, max_bytes: int) -> DataFrame:
+    """(path, size, mtime, ext, sha256) of the supported files under a folder that ``within_budget`` keeps; digests are taken of their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return within_budget(candidates(spark, folder), max_files, max_bytes).join(files.select("path", F.sha2(F.col("content"), 256).alias("sha256")), "path")
 
 
 #: Readers by the name of a corpus format.
