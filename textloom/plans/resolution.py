@@ -84,10 +84,11 @@ def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def gold_matches(s, d):
     gold, predicted = _sides(s, d)
-    return islands.match(gold, predicted, "k")
+    return islands.match(gold, predicted, "k").fillna(-1, ["gold_start", "gold_end", "start", "end"])
 
 
-_MATCH_SQL = f"""WITH RECURSIVE {SPAN_SQL}, u AS (SELECT DISTINCT k, id, s, e, label FROM sp),
+_MATCH_SQL = f"""SELECT k, gold_label, label, class, coalesce(gold_start, -1) AS gold_start, coalesce(gold_end, -1) AS gold_end, coalesce(start, -1) AS start, coalesce("end", -1) AS "end" FROM (
+WITH RECURSIVE {SPAN_SQL}, u AS (SELECT DISTINCT k, id, s, e, label FROM sp),
 g AS (SELECT k, s, e, label, row_number() OVER (PARTITION BY k ORDER BY s, e, label) AS n FROM u WHERE id % 2 = 1),
 p AS (SELECT k, list({{'n': n, 's': s, 'e': e, 'label': label}} ORDER BY n) AS ps FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e, label) AS n FROM u WHERE id % 2 = 0) GROUP BY k),
 run(k, n, used, gs, ge, gl, best) AS (
@@ -102,7 +103,7 @@ SELECT r.k, r.gs AS gold_start, r.ge AS gold_end, r.gl AS gold_label, pe.y.s AS
   CASE r.best.rank WHEN 0 THEN 'exact' WHEN 1 THEN 'exact_boundary' WHEN 2 THEN 'partial' WHEN 3 THEN 'overlap' ELSE 'none' END AS class
 FROM run r LEFT JOIN pe ON pe.k = r.k AND pe.y.n = r.best.n WHERE r.n > 0
 UNION ALL
-SELECT k, NULL, NULL, NULL, y.s, y.e, y.label, 'spurious' FROM pe WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.k = pe.k AND r.best.n = pe.y.n)"""
+SELECT k, NULL, NULL, NULL, y.s, y.e, y.label, 'spurious' FROM pe WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.k = pe.k AND r.best.n = pe.y.n))"""
 
 # -- names by their shape
 
