@@ -49,14 +49,18 @@ def recall(ranked: DataFrame, kinds: list[str] | None, session: str | None, t: C
 def conflicts(memories: DataFrame, least: float = CONFLICT_COSINE) -> DataFrame:
     """Pairs (id, prior): same kind of those that can be in conflict, prior open and older, a shared entity, cosine of at least `least`.
 
-    Candidates meet on (kind, entity) and a pair counts under its least shared entity.
+    Memories of a kind and entity with equal embeddings are one where cosines are worked out, and only those
+    whose embeddings are alike meet; a pair counts under its least shared entity. What is joined grows with the
+    pairs that are returned (each of the entities that they share), not with all that share an entity.
     """
-    own = memories.filter(F.col("kind").isin(*CONFLICT_KINDS))
-    e = own.select("id", "kind", "created_at", "valid_to", "embedding", "entity_refs", F.explode(F.array_distinct("entity_refs")).alias("e"))
-    prior = e.filter("valid_to is null").select("kind", "e", F.col("id").alias("prior"), F.col("created_at").alias("__at"), F.col("embedding").alias("__v"), F.col("entity_refs").alias("__refs"))
-    first = F.array_min(F.array_intersect("entity_refs", "__refs"))
-    met = e.join(prior, ["kind", "e"]).filter((F.col("__at") < F.col("created_at")) & (F.col("e") == first))
-    return met.withColumn("cosine", vectors.cosine(F.col("embedding"), F.col("__v"))).filter(F.col("cosine") >= least).select("id", "prior", "cosine")
+    own = memories.filter(F.col("kind").isin(*CONFLICT_KINDS) & F.col("embedding").isNotNull())
+    e = own.select("id", "kind", "created_at", F.col("valid_to").isNull().alias("open"), "entity_refs", "embedding", F.unhex(F.sha2(F.to_json("embedding"), 256)).alias("v"), F.explode(F.array_distinct("entity_refs")).alias("e"))
+    held = e.groupBy("kind", "e", "v").agg(F.max("open").alias("open"), F.first("embedding").alias("embedding"))
+    other = held.filter("open").select("kind", "e", F.col("v").alias("__v"), F.col("embedding").alias("__embedding"))
+    alike = held.join(other, ["kind", "e"]).select("kind", "e", "v", "__v", vectors.cosine(F.col("embedding"), F.col("__embedding")).alias("cosine")).filter(F.col("cosine") >= least)
+    prior = e.filter("open").select("kind", "e", F.col("v").alias("__v"), F.col("id").alias("prior"), F.col("created_at").alias("__at"), F.col("entity_refs").alias("__refs"))
+    met = e.drop("open", "embedding").join(alike, ["kind", "e", "v"]).join(prior, ["kind", "e", "__v"]).filter(F.col("__at") < F.col("created_at"))
+    return met.filter(F.col("e") == F.array_min(F.array_intersect("entity_refs", "__refs"))).select("id", "prior", "cosine")
 
 
 def forget(memories: DataFrame, tokens: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
