@@ -1,12 +1,13 @@
 """Steps that must grow no faster than their input or their result, and rows that differed from SQL on larger tables."""
 
 import io
+import random
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import memory
+from textloom.operators import coref, memory, pairing
 
 
 def plan(df) -> str:
@@ -31,3 +32,41 @@ def test_conflicts_of_missing_and_uneven_embeddings(spark):
     rows = [(1, "preference", 1, None, ["x", None], [1.0, 0.0]), (2, "preference", 2, None, ["x"], [2.0, 0.0]), (3, "preference", 3, None, ["x"], None), (4, "preference", 4, None, ["x"], [1.0, 0.0, 0.0]), (5, "reference", 5, None, ["x"], [1.0, 0.0]), (6, "preference", 6, 9, ["x"], [1.0, 0.0]), (7, "preference", 7, None, None, [1.0, 0.0]), (8, "fact", 8, None, ["x"], [1.0, 0.0])]
     m = spark.createDataFrame(rows, "id long, kind string, created_at long, valid_to long, entity_refs array<string>, embedding array<float>")
     assert sorted((x.id, x.prior) for x in memory.conflicts(m).collect()) == [(2, 1), (6, 1), (6, 2)]
+
+
+def greedy(rows):
+    """Pairs (key, left, right, score), best first within a key, each of whose sides is free."""
+    taken, used, out = set(), set(), []
+    for k, a, b, s in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if (k, a) not in taken and (k, b) not in used:
+            taken.add((k, a))
+            used.add((k, b))
+            out.append((k, a, b))
+    return sorted(out, key=str)
+
+
+def test_one_to_one_over_batches(spark):
+    r = random.Random(5)
+    rows = [(k, r.randrange(9), r.randrange(9), r.randrange(4)) for k in (*range(40), None) for _ in range(30)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, s int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = pairing.one_to_one(df, "k", [F.desc("s"), F.col("a"), F.col("b")], ["a"], ["b"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((x.k, x.a, x.b) for x in got), key=str) == greedy(rows)
+
+
+def test_ceaf_starts_nothing_for_each_document(spark):
+    rows = [(side, d, (m * (3 if side == "gold" else 2) + d) % 4, m, m + 1) for side in ("gold", "pred") for d in range(200) for m in range(6)]
+    got = coref.ceaf(spark.createDataFrame(rows, "side string, doc_id int, chain_id int, start int, end int"))
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    total = 0.0
+    for d in range(200):
+        chains = {s: {} for s in ("gold", "pred")}
+        for side, own, c, m, _ in rows:
+            if own == d:
+                chains[side].setdefault(c, set()).add(m)
+        score = {(g, p): 2 * len(x & y) / (len(x) + len(y)) for g, x in chains["gold"].items() for p, y in chains["pred"].items() if x & y}
+        total += sum(score[g, p] for _, g, p in greedy([(0, g, p, s) for (g, p), s in score.items()]))
+    assert got.first().precision == pytest.approx(total / len({(d, c) for s, d, c, *_ in rows if s == "pred"}))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.pairing import one_to_one
+
 KEYS = ["doc_id", "start", "end"]
 
 
@@ -65,21 +66,13 @@ def cross_document_b_cubed(mentions: DataFrame) -> DataFrame:
 
 
 def ceaf(mentions: DataFrame, phi: int = 4) -> DataFrame:
-    """Greedy one-to-one alignment of chains in each document: phi 3 counts shared mentions, phi 4 twice them over both sizes."""
+    """Greedy one-to-one alignment of chains in each document: phi 3 counts shared mentions, phi 4 twice them over both sizes. Pairs of chains are sorted by document and score and taken in that order."""
     size = lambda s: mentions.filter(F.col("side") == s).groupBy("doc_id", F.col("chain_id").alias(s)).agg(F.count(F.lit(1)).alias(f"{s}_n"))
     pairs = _cells(mentions).join(size("gold"), ["doc_id", "gold"]).join(size("pred"), ["doc_id", "pred"])
     score = F.col("n").cast("double") if phi == 3 else 2 * F.col("n") / (F.col("gold_n") + F.col("pred_n"))
 
-    def align(rows: pd.DataFrame) -> pd.DataFrame:
-        used_g, used_p, total = set(), set(), 0.0
-        for g, p, s in rows.sort_values(["s", "gold", "pred"], ascending=[False, True, True])[["gold", "pred", "s"]].itertuples(index=False, name=None):
-            if g not in used_g and p not in used_p:
-                used_g.add(g)
-                used_p.add(p)
-                total += s
-        return pd.DataFrame({"total": [total]})
-
-    best = pairs.select("doc_id", "gold", "pred", score.alias("s")).groupBy("doc_id").applyInPandas(align, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("t"))
+    scored = pairs.select("doc_id", "gold", "pred", score.alias("s"))
+    best = one_to_one(scored, "doc_id", [F.desc("s"), F.col("gold"), F.col("pred")], ["gold"], ["pred"]).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("t"))
     weight = F.count(F.lit(1)) if phi == 3 else F.countDistinct("doc_id", "chain_id")
     norm = mentions.groupBy("side").agg(weight.alias("w")).agg(F.max(F.when(F.col("side") == "gold", F.col("w"))).alias("g"), F.max(F.when(F.col("side") == "pred", F.col("w"))).alias("p"))
     return best.join(norm).select(*_prf(_share(F.col("t"), F.col("p")), _share(F.col("t"), F.col("g"))))
