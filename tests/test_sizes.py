@@ -70,3 +70,11 @@ def test_ceaf_starts_nothing_for_each_document(spark):
         score = {(g, p): 2 * len(x & y) / (len(x) + len(y)) for g, x in chains["gold"].items() for p, y in chains["pred"].items() if x & y}
         total += sum(score[g, p] for _, g, p in greedy([(0, g, p, s) for (g, p), s in score.items()]))
     assert got.first().precision == pytest.approx(total / len({(d, c) for s, d, c, *_ in rows if s == "pred"}))
+
+
+def test_conll_is_the_mean_of_its_three(spark):
+    rows = [(side, d, (m + d * (side == "gold")) % 3, m, m + 1) for side in ("gold", "pred") for d in range(30) for m in range(5)]
+    df = spark.createDataFrame(rows, "side string, doc_id int, chain_id int, start int, end int")
+    got = coref.conll(df)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    assert got.first().f1 == pytest.approx(sum(f(df).first().f1 for f in (coref.muc, coref.b_cubed, coref.ceaf)) / 3)
