@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import coref, memory, pairing
+from textloom.operators import coref, memory, pairing, spans
 
 
 def plan(df) -> str:
@@ -78,3 +78,24 @@ def test_conll_is_the_mean_of_its_three(spark):
     got = coref.conll(df)
     assert "FlatMapGroupsInPandas" not in plan(got)
     assert got.first().f1 == pytest.approx(sum(f(df).first().f1 for f in (coref.muc, coref.b_cubed, coref.ceaf)) / 3)
+
+
+def test_error_analysis_as_a_loop_would(spark):
+    r = random.Random(9)
+    rows = [(side, k, s := r.randrange(30), s + r.randrange(1, 9), r.choice("ab")) for side in "gp" for k in range(25) for _ in range(12)]
+    df = spark.createDataFrame(rows, "side string, k int, start int, end int, label string")
+    got = spans.error_analysis(df.filter("side = 'g'").drop("side"), df.filter("side = 'p'").drop("side"), "k", 0.3)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    want = []
+    for k in range(25):
+        gold, left = (sorted({x[2:] for x in rows if x[:2] == (side, k)}) for side in "gp")
+        for g in gold:
+            iou = lambda p: (min(g[1], p[1]) - max(g[0], p[0])) / (max(g[1], p[1]) - min(g[0], p[0]))  # noqa: B023, E731
+            met = sorted((p for p in left if iou(p) > 0.3), key=lambda p: (p[:2] != g[:2], p[2] != g[2], -iou(p), p))
+            if met:
+                left.remove(met[0])
+                want.append((k, {(True, True): "correct", (True, False): "type", (False, True): "boundary"}.get((met[0][:2] == g[:2], met[0][2] == g[2]), "partial"), g[2], met[0][2]))
+            else:
+                want.append((k, "false_negative", g[2], None))
+        want += [(k, "false_positive", None, p[2]) for p in left]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

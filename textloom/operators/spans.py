@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import islands
+from textloom.operators.pairing import one_to_one
 
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -73,7 +73,8 @@ def error_analysis(gold: DataFrame, predicted: DataFrame, key: str, least: float
     Best: equal ends, then an equal label, then the overlap. correct; type
     (ends only); boundary (label only); partial (neither); false_negative: no
     prediction; false_positive: a prediction that no gold span took. Pairs
-    come from an interval join; only those of a key meet in one task.
+    come from an interval join and are sorted by key and rank; only those of a
+    key meet in one task.
     """
     cols = ["start", "end", "label"]
     own = lambda df, prefix: df.select(key, *(F.col(c).alias(prefix + c) for c in cols)).distinct()
@@ -83,19 +84,10 @@ def error_analysis(gold: DataFrame, predicted: DataFrame, key: str, least: float
     met = overlap_join(gold.select(key, *cols).distinct(), predicted.select(key, *cols).distinct(), [key]).withColumn("__iou", iou).filter(F.col("__iou") > least)
     pairs = met.select(key, *(F.col(c).alias("g_" + c) for c in cols), *(F.col(c + "_r").alias("p_" + c) for c in cols), "__iou")
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        exact = (rows["g_start"] == rows["p_start"]) & (rows["g_end"] == rows["p_end"])
-        ranked = rows.assign(__x=~exact, __t=rows["g_label"] != rows["p_label"], __o=-rows["__iou"]).sort_values(["g_start", "g_end", "g_label", "__x", "__t", "__o", "p_start", "p_end", "p_label"], kind="stable")
-        taken, used, keep = set(), set(), []
-        for i, *x in ranked[["g_start", "g_end", "g_label", "p_start", "p_end", "p_label"]].itertuples(name=None):
-            one, two = tuple(x[:3]), tuple(x[3:])
-            if one not in taken and two not in used:
-                taken.add(one)
-                used.add(two)
-                keep.append(i)
-        return rows.loc[keep]
-
-    matched = pairs.groupBy(key).applyInPandas(greedy, pairs.schema)
+    apart = F.coalesce(F.col("g_label") != F.col("p_label"), F.lit(True))
+    best = [(F.col("g_start") != F.col("p_start")) | (F.col("g_end") != F.col("p_end")), apart, F.desc("__iou")]
+    place = lambda side: [F.asc_nulls_last(f"{side}_{c}") for c in cols]
+    matched = one_to_one(pairs, key, [*place("g"), *best, *place("p")], ["g_start", "g_end", "g_label"], ["p_start", "p_end", "p_label"])
     same, kind = (F.col("g_start") == F.col("p_start")) & (F.col("g_end") == F.col("p_end")), F.col("g_label") == F.col("p_label")
     category = F.when(same & kind, "correct").when(same, "type").when(kind, "boundary").otherwise("partial")
     none = F.lit(None).cast("string")
