@@ -2,11 +2,13 @@
 
 import io
 import random
+import re
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import language
 from textloom.operators import coref, memory, pairing, spans
 
 
@@ -99,3 +101,23 @@ def test_error_analysis_as_a_loop_would(spark):
                 want.append((k, "false_negative", g[2], None))
         want += [(k, "false_positive", None, p[2]) for p in left]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def script_of(text):
+    """The script by counting characters one by one."""
+    bare = re.sub(language.IGNORED, "", text)
+    counts = [len(re.findall(f"[{p}]", bare)) for _, p in language.SCRIPTS]
+    every = [*counts, len(bare) - sum(counts)]
+    if not bare or sum(c >= max(len(bare) * 2 // 10, 1) for c in every) >= 2:
+        return "mixed"
+    return [*(n for n, _ in language.SCRIPTS), "mixed"][max(i for i, c in enumerate(every) if c == max(every))]
+
+
+def test_scripts_are_counted_once(spark):
+    r = random.Random(3)
+    signs = "abé ßΩЖж漢かカ한عאไन𝔸😀\u0085 　!-~\t" + "ɏɐἀ"
+    texts = ["".join(r.choice(r.sample(signs, 3)) for _ in range(r.randrange(14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", language.detect_script(F.col("text")).alias("script"))
+    assert {x.i: x.script for x in df.collect()} == dict(enumerate(map(script_of, texts)))
+    assert spark.createDataFrame([(None,)], "text string").select(language.detect_script(F.col("text")).alias("s")).first().s == "mixed"
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_count") <= len(language.SCRIPTS)

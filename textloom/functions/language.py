@@ -58,18 +58,25 @@ def detect_language(text: Column) -> Column:
 
 
 def detect_script(text: Column) -> Column:
-    """The script of most characters; mixed if two have at least a fifth each (and one character), or there are none."""
-    bare = F.regexp_replace(text, IGNORED, "")
-    counts = [F.regexp_count(bare, F.lit(f"[{p}]")) for _, p in SCRIPTS]
-    total = F.length(bare)
-    known = counts[0]
-    for c in counts[1:]:
-        known = known + c
-    every = F.array(*counts, total - known)
-    least = F.greatest(F.floor(total * 0.2), F.lit(1))
+    """The script of most characters; mixed if two have at least a fifth each (and one character), or there are none.
+
+    What is counted for the other scripts is what Latin letters leave of the text, and each step is worked out once.
+    """
+    others = SCRIPTS[1:]
     names = F.array(*(F.lit(n) for n, _ in SCRIPTS), F.lit("mixed"))
-    last = F.size(every) - F.array_position(F.reverse(every), F.array_max(every)).cast("int") + 1
-    return F.when((total == 0) | (F.size(F.filter(every, lambda c: c >= least)) >= 2), "mixed").otherwise(F.element_at(names, last))
+
+    def winner(every: Column) -> Column:
+        total = F.aggregate(every, F.lit(0), lambda s, c: s + c)
+        least = F.greatest(F.floor(total * 0.2), F.lit(1))
+        last = F.size(every) - F.array_position(F.reverse(every), F.array_max(every)).cast("int") + 1
+        return let(least, lambda n: F.when((total == 0) | (F.size(F.filter(every, lambda c: c >= n)) >= 2), "mixed").otherwise(F.element_at(names, last)))
+
+    def counted(latin: Column, rest: Column) -> Column:
+        return let(F.array(*(F.regexp_count(rest, F.lit(f"[{p}]")) for _, p in others)), lambda known: F.concat(F.array(latin), known, F.array(F.length(rest) - F.aggregate(known, F.lit(0), lambda s, c: s + c))))
+
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"{IGNORED}+", "")
+    parts = let(bare, lambda b: F.struct(F.length(b).alias("n"), F.regexp_replace(b, f"[{SCRIPTS[0][1]}]+", "").alias("rest")))
+    return let(let(parts, lambda x: counted(x["n"] - F.length(x["rest"]), x["rest"])), winner)
 
 
 def code_switches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10) -> DataFrame:
