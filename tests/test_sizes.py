@@ -6,10 +6,11 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, memory, pairing, spans
+from textloom.operators import coref, extract, memory, pairing, retrieval, spans
 
 
 def plan(df) -> str:
@@ -128,3 +129,20 @@ def test_relations_take_ascii_borders_of_words_as_sql_does(spark, between, want)
     docs = spark.createDataFrame([(1, f"Aaaaa{between}Bbbbb")], "doc_id long, text string")
     entities = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 5 + len(between), 10 + len(between))], "doc_id long, idx int, start int, end int")
     assert [x.relation for x in extract.relation_pairs(docs, entities).collect()] == [want]
+
+
+def test_fused_arms_meet_whatever_way_each_was_dealt(spark):
+    """Arms ranked by windows of their own, one of many rows, whose partitions adaptive plans cut differently."""
+    arm = lambda n, wide: spark.range(n).select((F.col("id") % 5).cast("string").alias("query"), F.floor(F.col("id") / 5).alias("doc"), F.repeat(F.lit("x"), wide).alias("pad")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc", "pad"))).filter("rank <= 50")
+    old = {c: spark.conf.get(c, None) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    for c, v in zip(old, ("24", "20000", "false")):
+        spark.conf.set(c, v)
+    try:
+        fused = retrieval.fuse([arm(60_000, 60), arm(500, 1)], "doc", 10)
+        first = plan(fused)
+        got = [(x.query, x.doc, x.rank) for x in fused.collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert sorted(got) == sorted((str(q), d, d + 1) for q in range(5) for d in range(10))
+    assert "Exchange" in first[: first.index("Union")].split("HashAggregate")[-1]

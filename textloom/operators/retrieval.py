@@ -107,6 +107,7 @@ def fuse(arms: list[DataFrame], doc: str, k: int) -> DataFrame:
     rows = arms[0].select("query", doc, "rank")
     for arm in arms[1:]:
         rows = rows.unionByName(arm.select("query", doc, "rank"))
+    rows = rows.repartition("query", doc)  # a union of arms that are each dealt by query passes for dealt by query, though adaptive plans may have cut each arm otherwise
     scored = rows.groupBy("query", doc).agg(F.sum(1 / (RRF + F.col("rank"))).alias("score"))
     return _top(scored, "query", k, F.desc("score"), doc)
 
