@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import language
 from textloom.operators import coref, extract, memory, pairing, retrieval, spans
+from textloom.streaming import entities
 
 
 def plan(df) -> str:
@@ -146,3 +147,37 @@ def test_fused_arms_meet_whatever_way_each_was_dealt(spark):
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
     assert sorted(got) == sorted((str(q), d, d + 1) for q in range(5) for d in range(10))
     assert "Exchange" in first[: first.index("Union")].split("HashAggregate")[-1]
+
+
+def slow_take(memory, text):
+    """Memory.take by asking every entity in turn."""
+    key = entities.form(text)
+    best, score = None, 0.0
+    for i in sorted(memory.entities):
+        s = entities.fit(key, memory.entities[i])
+        if s >= entities.LEAST and s > score:
+            best, score = i, s
+    return (memory.number, 0.0) if best is None else (best, score)
+
+
+@pytest.mark.parametrize("policy", [entities.Policy(), entities.Policy("lru", 5), entities.Policy("lfu", 4), entities.Policy("dual", 3, 2)])
+@pytest.mark.parametrize("seed", range(4))
+def test_memory_finds_what_asking_every_entity_finds(policy, seed):
+    r = random.Random(seed)
+    words = ["a", "ab", "abc", "bcab", "Ünïa", "he", "it", "aaa", "aaaa", "aaaaa", "xyz", "zyx yx", "‎", "Corp.", "of"]
+    memory = entities.Memory(policy)
+    for _ in range(600):
+        text = "".join(r.choice("abc") for _ in range(r.randrange(1, 6))) if r.random() < 0.3 else r.choice((" ", "")).join(r.choices(words, k=r.randrange(1, 4)))
+        assert slow_take(memory, text) == memory.take(text)
+
+
+def test_memory_asks_few_entities_of_many(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(entities, "fit", lambda *a: asked.append(a) or 0.0)
+    memory = entities.Memory()
+    for i in range(2_000):
+        memory.take(f"x{i:05d}y first{i} last{i}")
+    assert len(memory.entities) == 2_000 and not asked
+    got = entities.replayed(spark.createDataFrame([(s, i, f"n{i}") for s in ("p", None, "q") for i in range(3)], "stream_id string, seq long, text string"))
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    assert sorted(((x.stream_id or "", x.seq, x.entity) for x in got.collect())) == sorted((s, i, i) for s in ("", "p", "q") for i in range(3))
