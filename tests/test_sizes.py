@@ -181,3 +181,14 @@ def test_memory_asks_few_entities_of_many(spark, monkeypatch):
     got = entities.replayed(spark.createDataFrame([(s, i, f"n{i}") for s in ("p", None, "q") for i in range(3)], "stream_id string, seq long, text string"))
     assert "FlatMapGroupsInPandas" not in plan(got)
     assert sorted(((x.stream_id or "", x.seq, x.entity) for x in got.collect())) == sorted((s, i, i) for s in ("", "p", "q") for i in range(3))
+
+
+@pytest.mark.parametrize("odd", [[], [("gold", 0, 9, 0, 1), ("pred", 1, None, 1, 2), ("gold", None, 1, 0, 1), ("pred", None, 1, 0, 1), ("gold", 3, None, 2, 3), ("gold", 2, 1, None, 4), ("pred", 2, 1, None, 4), ("pred", 77, 1, 0, 1)]])
+def test_conll_reads_its_mentions_once(spark, odd):
+    r = random.Random(6)
+    rows = [(side, d, r.randrange(3), m, m + 1) for side in ("gold", "pred") for d in range(40) for m in r.sample(range(1, 9), 5)]
+    df = spark.createDataFrame(rows + [x for x in odd if x[3] is None or x[0] == "gold" or x[1] in (None, 77)], "side string, doc_id int, chain_id int, start int, end int")
+    got = coref.conll(df)
+    assert plan(got).count("Scan") == 1 and "Join" not in plan(got)
+    assert got.first().f1 == pytest.approx(sum(f(df).first().f1 for f in (coref.muc, coref.b_cubed, coref.ceaf)) / 3)
+    assert coref.conll(df.limit(0)).first().f1 == 0

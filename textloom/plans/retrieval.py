@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import graph, memory, retrieval, spans, tabular
-from textloom.plans.tables import table
+from textloom.plans.tables import dealt, table
 
 # -- frames made of the supplied tables, and the same in SQL
 
@@ -20,8 +20,9 @@ LINES_SQL = "li AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
-    """One row for each order and line number, which the table may repeat."""
-    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")))
+    """One row for each order and line number, which the table may repeat, dealt by order."""
+    columns = ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    return dealt(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *columns), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in columns))
 
 
 def memories(s: SparkSession, d: str) -> DataFrame:

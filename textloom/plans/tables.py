@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that a partition holds about, where one is dealt by key.
+ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table; only the columns that a plan uses reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key, in as many partitions as the session's and at least one for every ROWS: what is grouped, numbered or joined by more keys than these stays where it is, and a task's share does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS)), *keys)

@@ -16,9 +16,10 @@ cm AS (SELECT d, g, p, count(*) AS n FROM mn WHERE g IS NOT NULL AND p IS NOT NU
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
-    li = lines(s, d)
-    side = lambda name, keep, chain: li.filter(keep).select(F.lit(name).alias("side"), F.col("l_orderkey").alias("doc_id"), chain.cast("int").alias("chain_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
-    return side("gold", F.col("l_linenumber") % 5 > 0, F.col("l_partkey") % 3).unionByName(side("pred", F.col("l_linenumber") % 6 > 0, F.col("l_quantity") > 25))
+    side = lambda name, keep, chain: F.when(keep, F.struct(F.lit(name).alias("side"), chain.cast("int").alias("chain_id")))
+    sides = F.array(side("gold", F.col("l_linenumber") % 5 > 0, F.col("l_partkey") % 3), side("pred", F.col("l_linenumber") % 6 > 0, F.col("l_quantity") > 25))
+    rows = lines(s, d).select("l_orderkey", "l_linenumber", F.explode(sides).alias("x")).filter("x is not null")
+    return rows.select("x.side", F.col("l_orderkey").alias("doc_id"), "x.chain_id", F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
 
 
 def _r(df: DataFrame) -> DataFrame:
