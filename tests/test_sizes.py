@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, memory, pairing, retrieval, spans
+from textloom.operators import coref, extract, memory, metrics, pairing, retrieval, spans
 from textloom.streaming import entities
 
 
@@ -192,3 +192,11 @@ def test_conll_reads_its_mentions_once(spark, odd):
     assert plan(got).count("Scan") == 1 and "Join" not in plan(got)
     assert got.first().f1 == pytest.approx(sum(f(df).first().f1 for f in (coref.muc, coref.b_cubed, coref.ceaf)) / 3)
     assert coref.conll(df.limit(0)).first().f1 == 0
+
+
+def test_window_fragmentation_repeats_no_rows(spark):
+    rows = [(d, s, g, p) for d in range(20) for s, g, p in [(0, 1, 1), (1, 1, None), (9, 1, 2 if d % 2 else 1), (None, 2, 1), (3, 2, 2), (8, None, 1), (2, None, 3), (4, 4, None), (40, 4, None)]]
+    df = spark.createDataFrame(rows, "doc_id int, start int, gold int, pred int")
+    got = metrics.window_fragmentation(df, 4, 1)
+    assert "Expand" not in plan(got)
+    assert tuple(got.first()) == (80, 60, 30, 60)

@@ -89,8 +89,9 @@ def window_fragmentation(mentions: DataFrame, size: int, overlap: int) -> DataFr
     """Gold chains over more than one window of characters, and those of them whose windows fall into more than one predicted chain. mentions: doc_id, start, gold, pred."""
     step = max(1, size - overlap)
     m = mentions.withColumn("w", F.floor(F.col("start") / step))
-    chains = m.groupBy("doc_id", "gold").agg(F.countDistinct("w").alias("windows"), F.countDistinct("pred").alias("parts"), F.count_if(F.col("pred").isNull()).alias("missing"))
-    return chains.agg(F.count(F.lit(1)).alias("chains"), F.count_if(F.col("windows") > 1).alias("spanning"), F.count_if((F.col("windows") > 1) & (F.col("parts") > 1)).alias("fragmented"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))
+    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    chains = m.groupBy("doc_id", "gold").agg(several("w").alias("spans"), several("pred").alias("parts"), F.count_if(F.col("pred").isNull()).alias("missing"))
+    return chains.agg(F.count(F.lit(1)).alias("chains"), F.count_if("spans").alias("spanning"), F.count_if(F.col("spans") & F.col("parts")).alias("fragmented"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))
 
 
 def learning_curve(points: DataFrame, size: str, score: str) -> DataFrame:
