@@ -10,7 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, memory, metrics, pairing, retrieval, spans
+from textloom.operators import coref, extract, islands, memory, metrics, pairing, retrieval, spans
+from textloom.plans import tables
+from textloom.plans.retrieval import line_spans, lines
 from textloom.streaming import entities
 
 
@@ -194,6 +196,18 @@ def test_conll_reads_its_mentions_once(spark, odd):
     assert coref.conll(df.limit(0)).first().f1 == 0
 
 
+def test_parts_of_a_deal_grow_with_the_table(spark, monkeypatch):
+    assert tables.dealt(spark.range(100), "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(tables, "ROWS", 10)
+    assert tables.dealt(spark.range(105), "id").rdd.getNumPartitions() == 11
+    for found in (lines, line_spans):
+        shuffles = [x for x in plan(found(spark, "/root/testdata/sf0.001")).splitlines() if "Exchange" in x]
+        assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
+    spans_ = line_spans(spark, "/root/testdata/sf0.001").withColumn("layer", F.col("id") % 3)
+    for name in ("priority", "longest", "confidence"):
+        assert plan(islands.stack(spans_, ["k"], name)).count("Exchange") == 1
+
+
 def test_window_fragmentation_repeats_no_rows(spark):
     rows = [(d, s, g, p) for d in range(20) for s, g, p in [(0, 1, 1), (1, 1, None), (9, 1, 2 if d % 2 else 1), (None, 2, 1), (3, 2, 2), (8, None, 1), (2, None, 3), (4, 4, None), (40, 4, None)]]
     df = spark.createDataFrame(rows, "doc_id int, start int, gold int, pred int")
