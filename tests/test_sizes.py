@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, islands, memory, metrics, pairing, retrieval, spans
+from textloom.operators import coref, extract, islands, matching, memory, metrics, pairing, retrieval, spans
 from textloom.plans import tables
 from textloom.plans.retrieval import line_spans, lines
 from textloom.streaming import entities
@@ -214,3 +214,29 @@ def test_window_fragmentation_repeats_no_rows(spark):
     got = metrics.window_fragmentation(df, 4, 1)
     assert "Expand" not in plan(got)
     assert tuple(got.first()) == (80, 60, 30, 60)
+
+
+def test_boxes_meet_once_for_all_counts(spark):
+    r = random.Random(8)
+    boxes = [(r.randrange(3), i, float(x := r.randrange(300)), float(y := r.randrange(300)), x + r.uniform(5, 90), y + r.uniform(5, 90), r.choice("ab"), r.choice(("u", "U", "v"))) for i in range(150)]
+    moved = [(p, i + 1000, x + r.choice((0, 1, 9)), y, u, v, k, t) for p, i, x, y, u, v, k, t in boxes]
+    schema = "page int, id int, x0 double, y0 double, x1 double, y1 double, label string, text string"
+    g, p = spark.createDataFrame(boxes, schema), spark.createDataFrame(moved, schema)
+    got = matching.box_scores(g, p, "page")
+    first = plan(got)
+    assert first.count("__x") and sum("SortMergeJoin" in x and "__x" in x or "HashJoin" in x and "__x" in x for x in first.splitlines()) == 1
+    pairs = []
+    for a in boxes:
+        for b in moved:
+            w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+            if a[0] == b[0] and a[6] == b[6] and w > 0 and h > 0 and b[2] < b[4]:
+                both = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - w * h
+                pairs.append((a[1], b[1], w * h / both, a[7].lower() == b[7].lower()))
+    first_of = {}
+    for i, j, s, said in sorted(pairs, key=lambda x: (-x[2], x[0])):
+        if s >= 0.5 and said:
+            first_of.setdefault(j, i)
+    x = got.first()
+    assert x.mean_iou == pytest.approx(sum(s for *_, s, _ in pairs) / len(pairs))
+    assert x.box_recall == pytest.approx(len({i for i, _, s, _ in pairs if s >= 0.5}) / 150) and x.both_recall == pytest.approx(len(set(first_of.values())) / 150)
+    assert matching.box_scores(g.limit(0), p, "page").first().mean_iou == 0

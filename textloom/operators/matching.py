@@ -63,9 +63,11 @@ def fragment_scores(gold: DataFrame, predicted: DataFrame, key: str, match_type:
     return one.select("gold", "predicted", *out)
 
 
-def box_pairs(left: DataFrame, right: DataFrame, page: str, cell: float = 64.0) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, page: str, cell: float = 64.0, same: tuple[str, ...] = (), beside: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of overlapping boxes (id, x0, y0, x1, y1) of a page, as (page, id, id_r, iou): shared area over joint area.
 
+    same: columns in which both must be equal; beside: columns of either side to return too, those of the right end in _r.
+
     Boxes are dealt to the cells of a grid that they touch and meet there; a pair
     counts in the cell where its shared area begins, so it comes once and no page
     is paired off as a whole. cell: the side of a cell, about that of a usual box.
@@ -73,17 +75,17 @@ def box_pairs(left: DataFrame, right: DataFrame, page: str, cell: float = 64.0)
     """
 
     def dealt(boxes: DataFrame, end: str) -> DataFrame:
-        real = boxes.filter(f"x0 < x1 and y0 < y1 and `{page}` is not null").select(page, *(F.col(c).alias(c + end) for c in ("id", "x0", "y0", "x1", "y1")))
+        real = boxes.filter(f"x0 < x1 and y0 < y1 and `{page}` is not null").select(page, *(F.col(c).alias(c + end) for c in ("id", "x0", "y0", "x1", "y1", *beside)), *same)
         cells = [F.explode(F.sequence(F.floor(F.col(f"{a}0{end}") / cell), F.floor(F.col(f"{a}1{end}") / cell))).alias(f"__{a}") for a in "xy"]
         return real.select("*", cells[0]).select("*", cells[1])
 
-    met = dealt(left, "").join(dealt(right, "_r"), [page, "__x", "__y"])
+    met = dealt(left, "").join(dealt(right, "_r"), [page, *same, "__x", "__y"])
     x, y = F.greatest("x0", "x0_r"), F.greatest("y0", "y0_r")
     wide, high = F.least("x1", "x1_r") - x, F.least("y1", "y1_r") - y
     once = (F.floor(x / cell) == F.col("__x")) & (F.floor(y / cell) == F.col("__y"))
     shared = wide * high
     area = lambda e: (F.col(f"x1{e}") - F.col(f"x0{e}")) * (F.col(f"y1{e}") - F.col(f"y0{e}"))
-    return met.filter((wide > 0) & (high > 0) & once).select(page, "id", "id_r", F.try_divide(shared, area("") + area("_r") - shared).alias("iou"))
+    return met.filter((wide > 0) & (high > 0) & once).select(page, "id", "id_r", F.try_divide(shared, area("") + area("_r") - shared).alias("iou"), *(c + e for c in beside for e in ("", "_r")))
 
 
 def box_scores(gold: DataFrame, predicted: DataFrame, page: str, least: float = 0.5, cell: float = 64.0) -> DataFrame:
@@ -98,12 +100,22 @@ def box_scores(gold: DataFrame, predicted: DataFrame, page: str, least: float =
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
     g, p = (d.withColumn("said", plain).withColumn("label", F.coalesce("label", F.lit(""))) for d in (gold, predicted))
     texts = g.join(p.select(page, "label", "said").distinct(), [page, "label", "said"], "left_semi").agg(F.count(F.lit(1)).alias("texts"))
-    named = box_pairs(g, p, page, cell).join(g.select(page, "id", F.col("label").alias("gl"), F.col("said").alias("gt")), [page, "id"]).join(p.select(page, F.col("id").alias("id_r"), F.col("label").alias("pl"), F.col("said").alias("pt")), [page, "id_r"]).filter("gl = pl")
-    close = named.filter(F.col("iou") >= least)
-    boxes = close.agg(F.countDistinct(page, "id").alias("boxes"))
-    order = lambda by: Window.partitionBy(page, by).orderBy(F.desc("iou"), "id", "id_r")
-    both = close.filter("gt = pt").withColumn("a", F.row_number().over(order("id_r"))).filter("a = 1").agg(F.countDistinct(page, "id").alias("both"))
-    one = g.agg(F.count(F.lit(1)).alias("gold")).join(p.agg(F.count(F.lit(1)).alias("predicted"))).join(texts).join(boxes).join(both).join(named.agg(F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou")))
+    named = box_pairs(g, p, page, cell, ("label",), ("said",))
+    close = F.coalesce(F.col("iou") >= least, F.lit(False))
+    row = lambda kind, if_, of, by, best: F.when(if_, F.struct(F.lit(kind).alias("kind"), of.alias("page"), by.alias("by"), F.when(F.lit(kind == "mean"), F.col("iou")).alias("iou"), best.alias("best")))
+    rank = F.struct((-F.col("iou")).alias("iou"), F.col("id").alias("id"))
+    none = lambda c: F.lit(None).cast(c)
+    of_page, of_id, of_rank = (named.select(x.alias("x")).schema["x"].dataType for x in (F.col(page), F.col("id"), rank))
+    kinds = F.array(
+        row("mean", F.lit(True), none(of_page), none(of_id), none(of_rank)),
+        row("box", close & F.col("id").isNotNull(), F.col(page), F.col("id"), none(of_rank)),
+        row("both", close & (F.col("said") == F.col("said_r")), F.col(page), F.col("id_r"), rank),
+    )  # what each count needs of a pair, so that pairs are met once and only close ones go on
+    told = named.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x")).groupBy("x.kind", "x.page", "x.by").agg(F.sum("x.iou").alias("s"), F.count("x.iou").alias("n"), F.min("x.best").alias("best"))
+    of = lambda kind: F.col("kind") == kind
+    found = F.when(of("both") & F.col("best.id").isNotNull(), F.struct(F.col("page"), F.col("best.id").alias("id")))
+    counts = told.agg(F.count_if(of("box")).alias("boxes"), F.countDistinct(found).alias("both"), F.coalesce(F.sum(F.when(of("mean"), F.col("s"))) / F.sum(F.when(of("mean") & (F.col("n") > 0), F.col("n"))), F.lit(0.0)).alias("mean_iou"))
+    one = g.agg(F.count(F.lit(1)).alias("gold")).join(p.agg(F.count(F.lit(1)).alias("predicted"))).join(texts).join(counts)
     out = []
     for name, n in (("text", "texts"), ("box", "boxes"), ("both", "both")):
         precision, recall = _share(F.col(n), F.col("predicted")), _share(F.col(n), F.col("gold"))
