@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, islands, matching, memory, metrics, pairing, retrieval, spans
+from textloom.operators import coref, extract, index, islands, matching, memory, metrics, pairing, retrieval, spans
 from textloom.plans import tables
 from textloom.plans.retrieval import line_spans, lines
 from textloom.streaming import entities
@@ -240,3 +240,17 @@ def test_boxes_meet_once_for_all_counts(spark):
     assert x.mean_iou == pytest.approx(sum(s for *_, s, _ in pairs) / len(pairs))
     assert x.box_recall == pytest.approx(len({i for i, _, s, _ in pairs if s >= 0.5}) / 150) and x.both_recall == pytest.approx(len(set(first_of.values())) / 150)
     assert matching.box_scores(g.limit(0), p, "page").first().mean_iou == 0
+
+
+def test_index_partitions_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """A term that all documents have is joined where its rows lie, and documents are dealt into more partitions as their texts grow."""
+    monkeypatch.setattr(index, "SHARE", 2_000)
+    docs = spark.range(1_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word"), F.col("id")).alias("text"), F.col("id").alias("added"))
+    path, asked = str(tmp_path / "i"), spark.createDataFrame([("q", ["the", "word7"])], "query string, terms array<string>")
+    index.refresh(path, docs.filter("added < 600"))
+    found = index.search(path, docs, asked)
+    assert "SortMergeJoin" not in plan(found)
+    plain = retrieval.bm25(docs.select("doc_id", "text"), asked)
+    assert {r.doc_id: round(r.score, 9) for r in found.collect()} == {r.doc_id: round(r.score, 9) for r in plain.collect()}
+    rows = index._rows(docs, "doc_id", "text", "added", None)
+    assert index._newest(rows, 11_000).rdd.getNumPartitions() == 6

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.retrieval import B, K1, MOST_TERMS, tokens
+from textloom.storage import stash
 
-#: Folders that postings are dealt to by their term.
-BUCKETS = 64
+#: Folders that postings are dealt to by their term; bytes of text that a partition holds about, where documents are dealt by their id.
+BUCKETS, SHARE = 64, 16 << 20
 _COMMITS = "batch long, mark long"
 
 
@@ -36,16 +37,27 @@ def _commits(spark: SparkSession, path: str) -> tuple[list[int], int | None]:
     return sorted(r.batch for r in rows), max((r.mark for r in rows), default=None)
 
 
-def _newest(docs: DataFrame, doc_id: str, text: str, added: str, after: int | None) -> DataFrame:
-    """(doc_id, __t: its terms) of the rows added after the watermark; of a document's rows the last added, of equals that of the greatest text."""
+def _parts(spark: SparkSession, held: int | None) -> int:
+    """Partitions for so many bytes of text: the session's, and at least one for every SHARE."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(held or 0) // SHARE))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, added: str, after: int | None) -> DataFrame:
+    """(doc_id, added, text) of the rows added after the watermark."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(added).cast("long").alias("added"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("added is not null")
-    if after is not None:
-        rows = rows.filter(F.col("added") > after)
-    return rows.groupBy("doc_id").agg(F.max(F.struct("added", "text")).alias("x")).select("doc_id", F.col("x.added").alias("added"), tokens(F.col("x.text")).alias("__t"))
+    return rows if after is None else rows.filter(F.col("added") > after)
+
+
+def _newest(rows: DataFrame, held: int | None) -> DataFrame:
+    """(doc_id, added, __t: its terms), of a document's rows the last added, of equals that of the greatest text. Rows are dealt by document once, so that its terms are counted where it lies."""
+    own = rows.repartition(_parts(rows.sparkSession, held), "doc_id").groupBy("doc_id").agg(F.max(F.struct("added", "text")).alias("x"))
+    return own.select("doc_id", F.col("x.added").alias("added"), tokens(F.col("x.text")).alias("__t"))
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.size("__t").alias("n"), F.explode("__t").alias("term")).groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _postings(rows: DataFrame, said: Column | None = None) -> DataFrame:
+    """Rows (doc_id, n, term, tf); said: the terms that are wanted (by default all)."""
+    terms = F.col("__t") if said is None else said
+    return rows.select("doc_id", F.size("__t").alias("n"), F.explode(terms).alias("term")).groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def refresh(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", added: str = "added") -> int:
@@ -58,13 +70,14 @@ def refresh(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     done, mark = _commits(spark, path)
-    rows = _newest(docs, doc_id, text, added, mark)
-    last = rows.agg(F.max("added")).first()[0]
+    rows = _rows(docs, doc_id, text, added, mark)
+    last, held = rows.agg(F.max("added"), F.sum(F.octet_length("text"))).first()
     if last is None:
         return -1
     batch = max(done, default=-1) + 1
-    new = rows.withColumn("batch", F.lit(batch).cast("long"))
-    _postings(new).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    new, parts = _newest(rows, held), _parts(spark, held)
+    slices = max(4, -(-2 * parts // BUCKETS))  # of a bucket, by document
+    _postings(new).withColumn("bucket", _bucket(F.col("term"))).repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/batch={batch}")
     new.select("doc_id", F.size("__t").alias("n")).write.mode("overwrite").parquet(f"{path}/lengths/batch={batch}")
     if done:
         known = _read(spark, path, "lengths", done).select("doc_id", F.col("batch").alias("old"))
@@ -90,12 +103,15 @@ def search(path: str, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id
     spark = docs.sparkSession
     wanted = queries.select("query", F.explode("terms").alias("term")).distinct()
     terms = [r.term for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(terms) <= MOST_TERMS
     done, mark = _commits(spark, path)
-    fresh = _newest(docs, doc_id, text, added, mark)
-    held, sizes = _postings(fresh).join(wanted.select("term").distinct(), "term", "left_semi"), fresh.select("doc_id", F.size("__t").alias("n"))
+    rows = _rows(docs, doc_id, text, added, mark)
+    fresh = _newest(rows, rows.agg(F.sum(F.octet_length("text"))).first()[0])
+    held = _postings(fresh, F.filter("__t", lambda t: t.isin(terms))) if few else _postings(fresh).join(wanted.select("term").distinct(), "term", "left_semi")
+    held, sizes = held.select("doc_id", "n", "term", "tf"), fresh.select("doc_id", F.size("__t").alias("n"))
     if done:
         stored, lengths = _read(spark, path, "postings", done), _read(spark, path, "lengths", done)
-        if len(terms) <= MOST_TERMS:
+        if few:
             buckets = [r.b for r in wanted.select(_bucket(F.col("term")).alias("b")).distinct().collect()]
             stored = stored.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
         else:
@@ -111,7 +127,10 @@ def search(path: str, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id
             else:
                 sizes = sizes.unionByName(left.select("doc_id", "n"))
     totals = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = stash(held, "held")
+    asked = wanted.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:  # a term may be in most documents, whose rows then stay where they are
+        asked = F.broadcast(asked)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return held.join(df, "term").join(wanted, "term").join(F.broadcast(totals)).groupBy("query", "doc_id").agg(F.sum(weight).alias("score")).withColumnRenamed("doc_id", doc_id)
+    return held.join(asked, "term").join(F.broadcast(totals)).groupBy("query", "doc_id").agg(F.sum(weight).alias("score")).withColumnRenamed("doc_id", doc_id)
