@@ -254,3 +254,11 @@ def test_index_partitions_grow_with_the_texts(spark, tmp_path, monkeypatch):
     assert {r.doc_id: round(r.score, 9) for r in found.collect()} == {r.doc_id: round(r.score, 9) for r in plain.collect()}
     rows = index._rows(docs, "doc_id", "text", "added", None)
     assert index._newest(rows, 11_000).rdd.getNumPartitions() == 6
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark, tmp_path):
+    """Ten texts of 1 MB come to a worker in batches of about BATCH bytes, whatever the rows of a batch may be."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(10).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = tables.table(spark, str(tmp_path), "documents").mapInPandas(lambda batches: (b[["doc_id"]].agg(["size"]) for b in batches), "doc_id long")
+    assert max(r[0] for r in sizes.collect()) <= 5
