@@ -353,3 +353,14 @@ def test_names_by_shape(spark):
         (1, "Acme Group"): ("ORG", "org_suffix"), (1, "Dr. Jane Roe"): ("PER", "title_and_name"), (1, "Paris"): ("LOC", "known_loc"), (1, "NATO"): ("ORG", "acronym"), (1, "Berlin"): ("LOC", "after_place_word"), (1, "Bank of England"): ("ORG", "of_in_second"),
         (5, "Tim Cook"): ("PER", "two_words"), (5, "Global Widget Ltd"): ("ORG", "org_suffix"), (6, "Élodie Martin"): ("PER", "two_words"), (7, "New York"): ("LOC", "place_of_two"), (7, "IBM Research"): ("ORG", "acronym_in_run"),
     } | {k: v for k, v in got.items() if k == (1, "She")}
+
+
+def test_personal_data_is_found_as_by_a_scan_of_every_place():
+    from textloom.operators import pii
+
+    r = random.Random(5)
+    bits = ["1", "12", "123", "4567", "(", ")", "+", "-", ".", " ", "a", "Main", "Street", "DE", "FR12", "@", "x.org", "é", "٣"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 40)))
+        for pattern, _, _, need, start in pii._compiled:
+            assert [m.span() for m in pii._matches(text, pattern, need, start)] == [m.span() for m in pattern.finditer(text)], (pattern.pattern, text)

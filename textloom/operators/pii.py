@@ -23,17 +23,33 @@ PATTERNS = (
         "HIGH",
     ),
 )
-_compiled = [(re.compile(p, re.ASCII), kind, risk) for p, kind, risk in PATTERNS]
+#: For each pattern a character that a text must have for it, of a class, and the class that all its matches start with, if few characters are of it.
+_NEEDS = ((r"\d", r"\d"), (r"\d", r"\d"), (r"\d", None), ("@", None), (r"\d", r"[+(\d]"), (r"\d", r"\d"))
+_compiled = [(re.compile(p, re.ASCII), kind, risk, re.compile(need, re.ASCII), start and re.compile(start, re.ASCII)) for (p, kind, risk), (need, start) in zip(PATTERNS, _NEEDS, strict=True)]
 #: Types that identify a person directly. Fixed values.
 DIRECT = "ID_NUMBER NATIONAL_ID_FR NATIONAL_ID_ES NATIONAL_ID_IT NATIONAL_ID_PL NATIONAL_ID_NL NATIONAL_ID_BE TAX_ID_SIRET TAX_ID_SIREN TAX_ID_VAT LICENSE_PLATE_EU".split()
 SPANS = "array<struct<start:int,end:int,type:string,risk:string,text:string>>"
 
 
+def _matches(text: str, pattern: re.Pattern, need: re.Pattern, start: re.Pattern | None) -> Iterator[re.Match]:
+    """What pattern.finditer gives, tried only where a match may start: trying every place of a text costs most of a scan."""
+    if not need.search(text):
+        return
+    if start is None:
+        yield from pattern.finditer(text)
+        return
+    end = 0
+    for at in start.finditer(text):
+        if at.start() >= end and (m := pattern.match(text, at.start())):
+            yield m
+            end = m.end()
+
+
 def _find(text: str) -> list[tuple[int, int, str, str, str]]:
     found: list[tuple[int, int, str, str, str]] = []
-    for pattern, kind, risk in _compiled:
-        for m in pattern.finditer(text):
-            if m.end() > m.start() and all(m.end() <= s or m.start() >= e for s, e, *_ in found):
+    for pattern, kind, risk, need, start in _compiled:
+        for m in _matches(text, pattern, need, start):
+            if all(m.end() <= s or m.start() >= e for s, e, *_ in found):
                 found.append((m.start(), m.end(), kind, risk, m.group()))
     return found
 
