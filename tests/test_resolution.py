@@ -355,6 +355,18 @@ def test_names_by_shape(spark):
     } | {k: v for k, v in got.items() if k == (1, "She")}
 
 
+def test_only_words_that_may_be_names_are_shuffled(spark):
+    from textloom.operators import recognise
+
+    texts = [(1, "the end of the Bank of  England,\tof\nÉire and of it. The A"), (1, "plain words only"), (None, "of Rome"), (2, None), (3, "")]
+    got = sorted(map(tuple, recognise.words(spark.createDataFrame(texts, "doc_id int, text string")).drop("row").fillna(-1, ["doc_id"]).collect()))
+    assert got == [
+        (-1, 0, 0, "of", "Rome", None, None, None), (-1, 1, 3, "Rome", None, "of", 0, None),
+        (1, 3, 11, "the", "Bank", "of", 8, "end"), (1, 4, 15, "Bank", "of", "the", 11, "of"), (1, 5, 20, "of", "England,", "Bank", 15, "the"), (1, 6, 24, "England,", "of", "of", 20, "Bank"),
+        (1, 7, 33, "of", "Éire", "England,", 24, "of"), (1, 8, 36, "Éire", "and", "of", 33, "England,"), (1, 12, 52, "The", "A", "it.", 48, "of"), (1, 13, 56, "A", None, "The", 52, "it."),
+    ]
+
+
 def test_personal_data_is_found_as_by_a_scan_of_every_place():
     from textloom.operators import pii
 

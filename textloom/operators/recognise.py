@@ -1,4 +1,5 @@
-"""Names by the shape of their words and by what stands around them: no model, one windowed projection.
+"""Names by the shape of their words and by what stands around them: no model. Words that may be part of a name
+are cut out of texts batch by batch, each with its neighbours; only they are shuffled and windowed.
 
 Words with a capital make runs, joined by `of` and `the` before another; a run
 ends at closing brackets and sentence ends unless a company's suffix follows.
@@ -9,6 +10,11 @@ rule that fits it; the rules' weights are a table, and so are the words.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +34,47 @@ RULES = (
 )
 #: The weight from which a run is a name. Fixed value.
 LEAST = 0.35
-BLANK = r"[ \t\n\x0B\f\r]"
+_BLANK = re.compile(r"[ \t\n\x0B\f\r]")
+
+
+def _shaped(word: str | None) -> bool:
+    """Whether a word may have a capital: any that has one by Java's classes does."""
+    return word is not None and (word != word.lower() or not word.isascii())
+
+
+def _around(text: str) -> Iterator[tuple]:
+    """(pos, start, word, next, before, before_start, before2) of the words that may be part of a name; pos counts words, start is in characters."""
+    cut = _BLANK.split(text)
+    starts = [at for at, w in zip(accumulate((len(w) + 1 for w in cut), initial=0), cut) if w]
+    found = [w for w in cut if w]
+    shaped = [*map(_shaped, found), False]
+    for k, word in enumerate(found):
+        if shaped[k] or (shaped[k + 1] and word in ("of", "the")):
+            yield k, starts[k], word, found[k + 1] if k + 1 < len(found) else None, found[k - 1] if k else None, starts[k - 1] if k else None, found[k - 2] if k > 1 else None
 
 
 def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, pos, start, word): the words of texts between white space, with the place of their first character."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))  # before the words are exploded: one number a text
-    cut = rows.select("doc_id", "row", F.posexplode(F.split("text", BLANK)).alias("pos", "word"))
-    order = Window.partitionBy("row").orderBy("pos")
-    return cut.withColumn("start", (F.sum(F.length("word") + 1).over(order) - 1 - F.length("word")).cast("int")).filter("word <> ''").select("doc_id", "row", "pos", "start", "word")
+    """Rows (doc_id, row, pos, start, word, next, before, before_start, before2) of the words between white space that have a capital or a letter beyond ASCII, or are `of` or `the` before one: their number and place in the text and the words around them. row: a number for each row of docs."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    names = ["pos", "start", "word", "next", "before", "before_start", "before2"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for k, t in enumerate(batch.column(2)):
+                found += _around(t.as_py())
+                owner += [k] * (len(found) - len(owner))
+            keys = batch.select([0, 1]).take(pa.array(owner, pa.int64()))
+            columns = zip(*found) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names=["doc_id", "row", *names])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, pos int, start int, word string, next string, before string, before_start int, before2 string")
+
+
+#: A word whose first letter or digit is a capital.
+CAPITAL = r"^[^\p{L}\p{N}]*\p{Lu}"
 
 
 def _clean(word: Column) -> Column:
@@ -59,13 +97,14 @@ def names(docs: DataFrame, lexicon: dict[str, list[str]] | None = None, rules: D
     known = {k: [*WORDS.get(k, []), *(lexicon or {}).get(k, [])] for k in {*WORDS, *(lexicon or {}), "known_org", "known_loc", "known_per", "acronym"}}
     is_a = lambda kind, c: c.isin(*known[kind]) if known[kind] else F.lit(False)
     order = Window.partitionBy("row").orderBy("pos")
-    rows = words(docs, doc_id, text).withColumn("plain", _clean(F.col("word"))).withColumn("low", F.lower("plain")).withColumn("cap", F.col("word").rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))
-    rows = rows.withColumns({"next_low": F.lead("low").over(order), "next_cap": F.lead("cap").over(order), "before": F.lag("word").over(order), "before_start": F.lag("start").over(order), "before2": F.lag("word", 2).over(order)})
+    rows = words(docs, doc_id, text).withColumn("plain", _clean(F.col("word"))).withColumn("low", F.lower("plain")).withColumn("cap", F.col("word").rlike(CAPITAL))
+    rows = rows.withColumn("next_low", F.lower(_clean(F.col("next")))).withColumn("next_cap", F.col("next").rlike(CAPITAL))
     ends = F.col("word").rlike(r"[)\]}.!?]$") & ~F.coalesce(is_a("suffix", F.col("next_low")), F.lit(False))
     joins = F.lower("word").isin("of", "the") & F.coalesce(F.col("next_cap"), F.lit(False)) & ~ends
     rows = rows.withColumn("ends", ends).withColumn("in", (F.col("cap") & ~is_a("trade", F.col("low"))) | joins)
-    fresh = ~F.col("in") | ~F.coalesce(F.lag("in").over(order), F.lit(False)) | F.coalesce(F.lag("ends").over(order), F.lit(False))
-    rows = rows.withColumn("run", F.sum(fresh.cast("int")).over(order)).filter("in")
+    rows = rows.filter("in")
+    fresh = F.coalesce(F.lag("pos").over(order) != F.col("pos") - 1, F.lit(True)) | F.coalesce(F.lag("ends").over(order), F.lit(False))
+    rows = rows.withColumn("run", F.sum(fresh.cast("int")).over(order))
     opens = F.min(F.when(F.col("cap") & ~is_a("opener", F.col("low")), F.col("pos"))).over(Window.partitionBy("row", "run"))
     inside = rows.withColumn("first", opens).filter("pos >= first")
     items = inside.groupBy("doc_id", "row", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "word", "plain", "low", "before", "before_start", "before2"))).alias("w"))
