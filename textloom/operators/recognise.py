@@ -37,36 +37,36 @@ LEAST = 0.35
 _BLANK = re.compile(r"[ \t\n\x0B\f\r]")
 
 
-def _shaped(word: str | None) -> bool:
-    """Whether a word may have a capital: any that has one by Java's classes does."""
-    return word is not None and (word != word.lower() or not word.isascii())
+def _shaped(word: str) -> bool:
+    """Whether a word may have a capital as its first letter or digit: any that has one by Java's classes may."""
+    return not "a" <= word[0] <= "z" and (word != word.lower() or not word.isascii())
 
 
-def _around(text: str) -> Iterator[tuple]:
-    """(pos, start, word, next, before, before_start, before2) of the words that may be part of a name; pos counts words, start is in characters."""
+def _around(text: str) -> tuple[list, ...]:
+    """Columns pos, start, word, next, before, before_start, before2 of the words that may be part of a name; pos counts words, start is in characters."""
     cut = _BLANK.split(text)
-    starts = [at for at, w in zip(accumulate((len(w) + 1 for w in cut), initial=0), cut) if w]
-    found = [w for w in cut if w]
-    shaped = [*map(_shaped, found), False]
-    for k, word in enumerate(found):
-        if shaped[k] or (shaped[k + 1] and word in ("of", "the")):
-            yield k, starts[k], word, found[k + 1] if k + 1 < len(found) else None, found[k - 1] if k else None, starts[k - 1] if k else None, found[k - 2] if k > 1 else None
+    start = [None, None, *(at for at, w in zip(accumulate((len(w) + 1 for w in cut), initial=0), cut) if w)]
+    word = [None, None, *(w for w in cut if w), None]
+    shaped = [False, False, *map(_shaped, word[2:-1]), False]
+    at = [k for k in range(2, len(word) - 1) if shaped[k] or (shaped[k + 1] and word[k] in ("of", "the"))]
+    return [k - 2 for k in at], [start[k] for k in at], [word[k] for k in at], [word[k + 1] for k in at], [word[k - 1] for k in at], [start[k - 1] for k in at], [word[k - 2] for k in at]
 
 
 def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, row, pos, start, word, next, before, before_start, before2) of the words between white space that have a capital or a letter beyond ASCII, or are `of` or `the` before one: their number and place in the text and the words around them. row: a number for each row of docs."""
+    """Rows (doc_id, row, pos, start, word, next, before, before_start, before2) of the words between white space that do not start with a small letter of ASCII and have a capital or a letter beyond ASCII, or are `of` or `the` before one: their number and place in the text and the words around them. row: a number for each row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text")).filter("text is not null")
     names = ["pos", "start", "word", "next", "before", "before_start", "before2"]
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, found = [], []
+            owner, columns = [], [[] for _ in kinds]
             for k, t in enumerate(batch.column(2)):
-                found += _around(t.as_py())
-                owner += [k] * (len(found) - len(owner))
+                found = _around(t.as_py())
+                owner += [k] * len(found[0])
+                for column, own in zip(columns, found):
+                    column += own
             keys = batch.select([0, 1]).take(pa.array(owner, pa.int64()))
-            columns = zip(*found) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names=["doc_id", "row", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
