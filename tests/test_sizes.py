@@ -262,3 +262,29 @@ def test_batches_of_texts_are_bounded_by_bytes(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     sizes = tables.table(spark, str(tmp_path), "documents").mapInPandas(lambda batches: (b[["doc_id"]].agg(["size"]) for b in batches), "doc_id long")
     assert max(r[0] for r in sizes.collect()) <= 5
+
+
+def test_fragments_are_dealt_once(spark):
+    """Two counts, one for fragments and one for pairs, share the exchange by key; the rest are sums of one row each."""
+    r = random.Random(4)
+    rows = [(r.randrange(6), r.randrange(4), r.choice("ab"), s := r.randrange(300), s + r.randrange(0, 150)) for _ in range(300)]
+    schema = "d int, entity int, label string, start int, end int"
+    gold, predicted = rows[:160], rows[140:]
+    own = {}
+    for g, side in ((True, gold), (False, predicted)):
+        for d, e, label, a, b in side:
+            if a < b:
+                own.setdefault((g, d, e), []).append((a, b, label))
+    label, size = {k: min(x[2] for x in v) for k, v in own.items()}, {k: sum(x[1] - x[0] for x in v) for k, v in own.items()}
+    best = dict.fromkeys(own, 0.0)
+    for a in own:
+        for b in own:
+            if a[0] and not b[0] and a[1] == b[1] and label[a] == label[b]:
+                score = 2 * sum(max(0, min(x[1], y[1]) - max(x[0], y[0])) for x in own[a] for y in own[b]) / (size[a] + size[b])
+                best[a], best[b] = max(best[a], score), max(best[b], score)
+    mean = lambda side: sum(v for k, v in best.items() if k[0] == side) / sum(k[0] == side for k in own)
+    scores = matching.fragment_scores(spark.createDataFrame(gold, schema), spark.createDataFrame(predicted, schema), "d", parts=3)
+    row = scores.first()
+    assert (row.partial_recall, row.partial_precision) == (pytest.approx(mean(True)), pytest.approx(mean(False)))
+    assert (row.gold, row.predicted) == (sum(k[0] for k in own), sum(not k[0] for k in own))
+    assert set(re.findall(r"Exchange hashpartitioning\(d#", plan(scores))) and not re.search(r"Exchange hashpartitioning\([^)]*,[^)]*ENSURE_REQUIREMENTS", plan(scores))

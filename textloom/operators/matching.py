@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.spans import overlap_join
+from textloom.operators.spans import buckets
+
+#: Places of a bucket in which fragments meet. Fixed value.
+BUCKET = 64
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -16,13 +19,7 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def _matched(gold: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
-    """One row with how many can be paired one to one where all of `by` are equal: of each value the lesser of both counts."""
-    g, p = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("g")), predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("p"))
-    return g.join(p, by).agg(F.coalesce(F.sum(F.least("g", "p")), F.lit(0)).alias("n"))
-
-
-def fragment_scores(gold: DataFrame, predicted: DataFrame, key: str, match_type: bool = True) -> DataFrame:
+def fragment_scores(gold: DataFrame, predicted: DataFrame, key: str, match_type: bool = True, parts: int | None = None) -> DataFrame:
     """One row (exact_, boundary_, partial_ precision, recall and f1; gold, predicted): entities of several fragments.
 
     Rows (key, entity, label, start, end) are fragments: equal key and entity are
@@ -34,27 +31,38 @@ def fragment_scores(gold: DataFrame, predicted: DataFrame, key: str, match_type:
     must be equal. Fragments without extent or a null key, entity, start or end
     have no part. Nothing on both sides scores 1, nothing on one 0.
 
-    Fragments meet in an interval join by buckets of places and their shared
-    characters are summed by pair, so no document is paired off as a whole.
+    Fragments meet in the buckets of places that they touch and their shared
+    characters are summed by pair, so no document is paired off as a whole. Both
+    sides are dealt by key once, into parts partitions (by default the session's);
+    everything else is grouped where it lies.
     """
 
-    def whole(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        real = rows.select(key, "entity", F.coalesce("label", F.lit("")).alias("label"), "start", "end").filter(f"`{key}` is not null and entity is not null and start < end")
-        own = real.groupBy(key, "entity").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("size"))
-        return real, own
-
-    (g_rows, g), (p_rows, p) = whole(gold), whole(predicted)
+    side = lambda rows, is_gold: rows.select(key, F.lit(is_gold).alias("g"), "entity", F.coalesce("label", F.lit("")).alias("label"), "start", "end").filter(f"`{key}` is not null and entity is not null and start < end")
+    both = side(gold, True).unionByName(side(predicted, False))
+    both = both.repartition(parts, key) if parts else both.repartition(key)
     by = [key, "label"] if match_type else [key]
-    exact, boundary = _matched(g, p, [*by, "parts"]), _matched(g, p, [*by, "first", "last"])
-    met = overlap_join(g_rows.select(key, "entity", "start", "end"), p_rows.select(key, "entity", "start", "end"), [key])
-    shared = met.groupBy(key, "entity", "entity_r").agg(F.sum(F.least("end", "end_r") - F.greatest("start", "start_r")).alias("shared"))
-    pairs = shared.join(g.select(key, "entity", F.col("label").alias("gl"), F.col("size").alias("gs")), [key, "entity"]).join(p.select(key, F.col("entity").alias("entity_r"), F.col("label").alias("pl"), F.col("size").alias("ps")), [key, "entity_r"])
+    own = both.groupBy(key, "g", "entity").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"), F.min("start").alias("first"), F.max("end").alias("last"))
+    alike = own.groupBy(*by, "parts", "first", "last").agg(F.count_if("g").alias("g"), F.count_if(~F.col("g")).alias("p"))
+    ends = alike.groupBy(*by, "first", "last").agg(F.sum(F.least("g", "p")).alias("e"), F.sum("g").alias("g"), F.sum("p").alias("p"))  # equal fragments have equal ends
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    counts = ends.agg(total("g", "gold"), total("p", "predicted"), total("e", "e"), total(F.least("g", "p"), "b"))
+
+    entity = Window.partitionBy(key, "g", "entity")
+    sized = both.withColumn("size", F.sum(F.col("end") - F.col("start")).over(entity)).withColumn("label", F.min("label").over(entity))
+    place = F.explode(buckets(F.col("start"), F.col("end"), BUCKET)).alias("bucket")
+    met = sized.select(key, place, F.struct("g", "entity", "label", "size", "start", "end").alias("x")).groupBy(key, "bucket").agg(F.collect_list("x").alias("x"))
+    met = met.select(key, "bucket", F.explode(F.filter("x", lambda x: x["g"])).alias("a"), F.filter("x", lambda x: ~x["g"]).alias("x"))
+    met = met.select(key, "bucket", "a", F.explode(F.filter("x", lambda x: (x["start"] < F.col("a.end")) & (x["end"] > F.col("a.start")))).alias("b"))
+    begin, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
+    fits = F.floor(begin / BUCKET) == F.col("bucket")  # a pair counts where the later of the two starts
     if match_type:
-        pairs = pairs.filter("gl = pl")
-    scored = pairs.withColumn("score", 2 * F.col("shared") / (F.col("gs") + F.col("ps")))
-    of_gold = scored.groupBy(key, "entity").agg(F.max("score").alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("recalled"))
-    of_predicted = scored.groupBy(key, "entity_r").agg(F.max("score").alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("precise"))
-    one = g.agg(F.count(F.lit(1)).alias("gold")).join(p.agg(F.count(F.lit(1)).alias("predicted"))).join(exact.withColumnRenamed("n", "e")).join(boundary.withColumnRenamed("n", "b")).join(of_gold).join(of_predicted)
+        fits &= F.col("a.label") == F.col("b.label")
+    shared = met.filter(fits).groupBy(key, F.col("a.entity").alias("of"), F.col("b.entity").alias("to")).agg(F.sum(end - begin).alias("shared"), F.any_value(F.col("a.size") + F.col("b.size")).alias("size"))
+    score = (2 * F.col("shared") / F.col("size")).alias("score")
+    ways = shared.select(key, score, F.explode(F.array(F.struct(F.lit(True).alias("g"), F.col("of").alias("entity")), F.struct(F.lit(False).alias("g"), F.col("to").alias("entity")))).alias("w"))
+    best = ways.groupBy(key, "w").agg(F.max("score").alias("s"))
+    of_side = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("s"))), F.lit(0.0)).alias(name)
+    one = counts.join(best.agg(of_side(F.col("w.g"), "recalled"), of_side(~F.col("w.g"), "precise")))
     out = []
     for name, for_p, for_r in (("exact", "e", "e"), ("boundary", "b", "b"), ("partial", "precise", "recalled")):
         nothing = (F.col("gold") == 0) & (F.col("predicted") == 0)

@@ -14,7 +14,8 @@ def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return (s1 < e2) & (e1 > s2)
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def buckets(start: Column, end: Column, width: int) -> Column:
+    """The buckets of places that a span touches, in order."""
     return F.sequence(F.floor(start / width), F.greatest(F.floor((end - 1) / width), F.floor(start / width)))
 
 
@@ -26,8 +27,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     once and no document is paired off as a whole.
     """
     r = right.select(*keys, *(F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys))
-    a = left.withColumn("__b", F.explode(_buckets(F.col("start"), F.col("end"), width)))
-    b = r.withColumn("__b", F.explode(_buckets(F.col("start_r"), F.col("end_r"), width)))
+    a = left.withColumn("__b", F.explode(buckets(F.col("start"), F.col("end"), width)))
+    b = r.withColumn("__b", F.explode(buckets(F.col("start_r"), F.col("end_r"), width)))
     met = overlaps(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r"))
     return a.join(b, [*keys, "__b"]).filter(met & (F.floor(F.greatest("start", "start_r") / width) == F.col("__b"))).drop("__b")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import diversity, fanout, index, islands, matching, messages, pii, recognise, resolve, rewriting, spans
 from textloom.plans.retrieval import BM25_SQL, SPAN_SQL, line_spans
-from textloom.plans.tables import table
+from textloom.plans.tables import shares, table
 from textloom.storage import fresh_path
 from textloom.streaming import entities
 
@@ -232,7 +232,7 @@ def _fragments(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def fragment_score(s, d):
     gold, predicted = _fragments(s, d)
-    scores = matching.fragment_scores(gold, predicted, "k")
+    scores = matching.fragment_scores(gold, predicted, "k", parts=shares(table(s, d, "lineitem")))
     return scores.select("gold", "predicted", *(F.round(c, 9).alias(c) for c in scores.columns[2:]))
 
 

@@ -23,7 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows by key, in as many partitions as the session's and at least one for every ROWS: what is grouped, numbered or joined by more keys than these stays where it is, and a task's share does not grow with the table."""
+def shares(df: DataFrame) -> int:
+    """Partitions for a table's rows: as many as the session's and at least one for every ROWS."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // ROWS)), *keys)
+    return max(least, -(-df.count() // ROWS))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key, in ``shares`` partitions: what is grouped, numbered or joined by more keys than these stays where it is, and a task's share does not grow with the table."""
+    return df.repartition(shares(df), *keys)
