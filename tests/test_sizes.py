@@ -288,3 +288,16 @@ def test_fragments_are_dealt_once(spark):
     assert (row.partial_recall, row.partial_precision) == (pytest.approx(mean(True)), pytest.approx(mean(False)))
     assert (row.gold, row.predicted) == (sum(k[0] for k in own), sum(not k[0] for k in own))
     assert set(re.findall(r"Exchange hashpartitioning\(d#", plan(scores))) and not re.search(r"Exchange hashpartitioning\([^)]*,[^)]*ENSURE_REQUIREMENTS", plan(scores))
+
+
+def test_batches_of_the_operators_are_bounded_by_bytes(spark, tmp_path):
+    """500 rows may be 500 long texts: JVM and worker hold a batch each, so it is cut by bytes too."""
+    from textloom.llm import common
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(10).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        sizes = common.table(spark, str(tmp_path), "documents").mapInPandas(lambda batches: (b[["doc_id"]].agg(["size"]) for b in batches), "doc_id long")
+        assert max(r[0] for r in sizes.collect()) <= 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -15,15 +15,15 @@ from textloom.storage import drop_stash, fresh_path, shared_dir, stash  # noqa:
 SLICE_BYTES = 8 << 20
 
 
-#: Rows of an Arrow batch: whole texts of any length travel in batches, so these are kept short.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: whole texts of any length travel in batches, and JVM and worker hold one each, so these are kept short.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Shortens the session's Arrow batches to BATCH_ROWS rows, unless they are shorter already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Shortens the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES bytes, unless they are shorter already."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
