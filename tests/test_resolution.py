@@ -376,3 +376,12 @@ def test_personal_data_is_found_as_by_a_scan_of_every_place():
         text = "".join(r.choice(bits) for _ in range(r.randrange(1, 40)))
         for pattern, _, _, need, start in pii._compiled:
             assert [m.span() for m in pii._matches(text, pattern, need, start)] == [m.span() for m in pattern.finditer(text)], (pattern.pattern, text)
+
+
+def test_mentions_are_cut_without_a_window(spark):
+    from textloom.plans import resolution
+
+    docs = spark.createDataFrame([(1, "Berlin  saw it, it Élan\nIT Rome Paris"), (2, None), (3, "")], "doc_id long, text string")
+    out = resolution._mentions(docs)
+    assert [tuple(r) for r in out.orderBy("start").select("doc_id", "pos", "start", "end", "text").collect()] == [(1, 0, 0, 6, "Berlin"), (1, 4, 16, 18, "it"), (1, 7, 32, 37, "Paris")]
+    assert "Window" not in out._jdf.queryExecution().toString()

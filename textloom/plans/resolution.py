@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import diversity, fanout, index, islands, matching, messages, pii, recognise, resolve, rewriting, spans
 from textloom.plans.retrieval import BM25_SQL, SPAN_SQL, line_spans
 from textloom.plans.tables import shares, table
-from textloom.storage import fresh_path
+from textloom.storage import fresh_path, stash
 from textloom.streaming import entities
 
 # -- spans
@@ -173,18 +176,32 @@ SELECT c.id, c.cluster, n.text AS name, count(DISTINCT m.doc_id) OVER (PARTITION
 # -- texts for retrieval
 
 
+_PRONOUNS = ("it", "itself", "es", "la", "le", "er")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (text, doc_id) to (doc_id, pos, start, end, text) of the words, cut at blanks, that may be mentions: pronouns, words with a capital first, and any beyond ASCII."""
+    for batch in batches:
+        found = [[] for _ in range(5)]
+        for text, doc_id in zip(batch.column(0), batch.column(1).to_pylist()):
+            words = text.as_py().split(" ")
+            starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+            at = [k for k, w in enumerate(words) if "A" <= w[:1] <= "Z" or w.lower() in _PRONOUNS or not w.isascii()]
+            for column, own in zip(found, ([doc_id] * len(at), at, [starts[k] for k in at], [starts[k + 1] - 1 for k in at], [words[k] for k in at])):
+                column += own
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(found, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "pos", "start", "end", "text"])
+
+
 def _mentions(docs: DataFrame) -> DataFrame:
     """Words of documents cut at blanks: capitalised ones as names, pronouns; type by the length's parity."""
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    placed = words.withColumn("end", F.sum(F.length("text") + 1).over(order) - 1).withColumn("start", F.col("end") - F.length("text"))
-    said = F.lower("text").isin("it", "itself", "es", "la", "le", "er")
+    placed = docs.filter("text is not null").select("text", "doc_id").mapInArrow(_cut, "doc_id long, pos int, start long, end long, text string")
+    said = F.lower("text").isin(*_PRONOUNS)
     return placed.filter(said | F.col("text").rlike("^[A-Z][a-z]{4,}$")).select("doc_id", "start", "end", "text", F.lit("X").alias("type"), F.when(F.length("text") > 14, F.col("text")).alias("chain"), "pos")
 
 
 def rewritten_for_retrieval(s, d):
     docs = table(s, d, "documents").select("doc_id", "text")
-    return rewriting.self_contained(docs, _mentions(docs)).select("doc_id", "rewrites", F.sha2("text", 256).alias("text_sha256"))
+    return rewriting.self_contained(docs, stash(_mentions(docs), "mentions")).select("doc_id", "rewrites", F.sha2("text", 256).alias("text_sha256"))
 
 
 _REWRITE_SQL = f"""WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),
