@@ -1,6 +1,7 @@
 """Steps that must grow no faster than their input or their result, and rows that differed from SQL on larger tables."""
 
 import io
+import json
 import random
 import re
 from contextlib import redirect_stdout
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import language
-from textloom.operators import coref, extract, index, islands, matching, memory, metrics, pairing, retrieval, spans
+from textloom.operators import coref, extract, index, islands, matching, memory, messages, metrics, pairing, retrieval, spans
 from textloom.plans import tables
 from textloom.plans.retrieval import line_spans, lines
 from textloom.streaming import entities
@@ -301,3 +302,22 @@ def test_batches_of_the_operators_are_bounded_by_bytes(spark, tmp_path):
         assert max(r[0] for r in sizes.collect()) <= 5
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_trees_are_opened_in_one_pass_and_written_in_one_shuffle(spark, monkeypatch):
+    """Levels were written one by one, and each level of a rebuilt tree read the leaves twice."""
+    made = []
+    stash = messages.stash
+    monkeypatch.setattr(messages, "stash", lambda df, name: made.append(name) or stash(df, name))
+    deep = {"a": [{"b": [[], {"c": [1, "x", {"\"d": None}]}, {}]}, "e"]}
+    for _ in range(9):
+        deep = {"in": [deep, "y"], "z": {}}
+    trees = {1: {"messages": [{"content": [{"text": "a@b.io", "type": "text"}], "role": "user"}], "system": "s"}, 2: [], 3: "t", 4: None, 5: deep}
+    df = spark.createDataFrame([(i, None if t is None else json.dumps(t)) for i, t in trees.items()], "id long, t string").select("id", F.parse_json("t").alias("tree"))
+    messages.flatten(df.filter("id < 5"))
+    assert made == ["trees"]
+    again = messages.rebuild(messages.flatten(df))
+    assert made == ["trees"] * 5  # 25 levels in four passes of 8
+    assert plan(again).count("Exchange") == 1
+    got = again.select("id", F.to_json("tree").alias("t")).collect()
+    assert {r.id: None if r.t is None else json.loads(r.t) for r in got} == trees

@@ -54,6 +54,11 @@ def _find(text: str) -> list[tuple[int, int, str, str, str]]:
     return found
 
 
+def possible(text: Column) -> Column:
+    """Whether ``scan`` may find anything in a text: it has a character that some pattern needs. A null text gives null."""
+    return text.rlike("[0-9@]")
+
+
 def scan(text: Column) -> Column:
     """Spans of the patterns as an array, those of earlier patterns first; offsets in characters. A null text gives null."""
 
@@ -136,6 +141,11 @@ def vault_tokens(values: DataFrame, vault: DataFrame, kind: str = "type", value:
     return vault.select("type", "text", "token").unionByName(ranked.select("type", "text", F.concat("type", F.lit("_"), F.coalesce("last", F.lit(0)) + F.col("k")).alias("token")))
 
 
+def tokens_possible(text: Column) -> Column:
+    """Whether ``rehydrate`` may find a token TYPE_n in a text. A null text gives null."""
+    return text.rlike("_[0-9]")
+
+
 def rehydrate(texts: DataFrame, vault: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, text) with every known token TYPE_n replaced by its value; others stay. Tokens meet the vault by a join."""
     pieces = texts.select(doc_id, F.posexplode(F.split(F.col(text), r"(?<![A-Z_0-9])(?=[A-Z][A-Z_]*_\d+)|(?<=[A-Z]_\d{1,9})(?!\d)")).alias("k", "piece"))
