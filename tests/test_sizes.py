@@ -321,3 +321,20 @@ def test_trees_are_opened_in_one_pass_and_written_in_one_shuffle(spark, monkeypa
     assert plan(again).count("Exchange") == 1
     got = again.select("id", F.to_json("tree").alias("t")).collect()
     assert {r.id: None if r.t is None else json.loads(r.t) for r in got} == trees
+
+
+def test_risks_meet_where_their_lines_are_dealt(spark, tmp_path):
+    """Rules and models met in a join by document and category, in partitions whose number did not grow with the table."""
+    from textloom.operators import subjects
+    from textloom.plans import records
+
+    lines = spark.range(60).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), F.lit("1995-01-01").cast("date").alias("l_shipdate"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = records.risks_merged(spark, str(tmp_path))
+    written = plan(got)
+    assert "Join" not in written and not re.search(r"hashpartitioning\(doc_id", written)
+    assert sorted(map(tuple, got.collect())) == [("model", "R", 21), ("rule", "R", 19)]
+    rule = spark.createDataFrame([(1, None, "low"), (None, "a", "low"), (2, "a", "low"), (2, "a", "high")], "doc_id int, category string, severity string")
+    model = spark.createDataFrame([(1, None, "low"), (1, None, "high"), (None, "a", "low"), (2, "a", "critical"), (2, "b", None)], "doc_id long, category string, severity string")
+    found = subjects.merge_risks(rule, model).filter("source = 'model'").collect()
+    assert {tuple(r)[:3] for r in found} == {(1, None, "high"), (None, "a", "low"), (2, "b", None)} and len(found) == 3

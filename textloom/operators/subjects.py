@@ -61,8 +61,10 @@ def merge_risks(by_rule: DataFrame, by_model: DataFrame) -> DataFrame:
     """Risks (doc_id, category, severity) of rules, and those of a model in categories that no rule found in the document; source tells which. Of a model's risks of one category the most severe counts (critical, high, medium, low, then others), then the least of its other columns."""
     rest = [c for c in by_model.columns if c not in ("doc_id", "category")]
     level = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.lower("severity")), F.lit(0))
-    worst = by_model.groupBy("doc_id", "category").agg(F.min(F.struct(F.when(level > 0, level).otherwise(len(SEVERITIES) + 1).alias("__l"), *rest)).alias("__x"))
-    extra = worst.select(*(F.col(c) if c not in rest else F.col(f"__x.{c}").alias(c) for c in by_model.columns)).join(by_rule.select("doc_id", "category").distinct(), ["doc_id", "category"], "left_anti")
+    ranked = by_model.select("doc_id", "category", F.struct(F.when(level > 0, level).otherwise(len(SEVERITIES) + 1).alias("__l"), *rest).alias("__x"), F.lit(False).alias("__r"))
+    known = by_rule.select("doc_id", "category", (F.col("doc_id").isNotNull() & F.col("category").isNotNull()).alias("__r"))  # a null equals no other
+    worst = ranked.unionByName(known, allowMissingColumns=True).groupBy("doc_id", "category").agg(F.min("__x").alias("__x"), F.bool_or("__r").alias("__r")).filter("__x is not null and not __r")
+    extra = worst.select(*(F.col(c) if c not in rest else F.col(f"__x.{c}").alias(c) for c in by_model.columns))
     return by_rule.withColumn("source", F.lit("rule")).unionByName(extra.withColumn("source", F.lit("model")))
 
 

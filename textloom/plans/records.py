@@ -217,10 +217,11 @@ def revisions_ready(s, d):
 
 
 def risks_merged(s, d):
-    li = lines(s, d)
-    own = li.filter("l_quantity > 30").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("category"), F.lit("high").alias("severity"))
-    model = li.filter("l_partkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("category"), F.lit("low").alias("severity"))
-    return subjects.merge_risks(own, model).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
+    risk = lambda by, keep, severity: F.when(keep, F.struct(F.lit(by).alias("by"), F.lit(severity).alias("severity")))
+    risks = F.array(risk("rule", F.col("l_quantity") > 30, "high"), risk("model", F.col("l_partkey") % 2 == 0, "low"))
+    rows = lines(s, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("category"), F.explode(risks).alias("x"))  # the shuffle of the lines is shared
+    of = lambda by: rows.filter(F.col("x.by") == by).select("doc_id", "category", "x.severity")
+    return subjects.merge_risks(of("rule"), of("model")).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _review_columns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
