@@ -338,3 +338,21 @@ def test_risks_meet_where_their_lines_are_dealt(spark, tmp_path):
     model = spark.createDataFrame([(1, None, "low"), (1, None, "high"), (None, "a", "low"), (2, "a", "critical"), (2, "b", None)], "doc_id long, category string, severity string")
     found = subjects.merge_risks(rule, model).filter("source = 'model'").collect()
     assert {tuple(r)[:3] for r in found} == {(1, None, "high"), (None, "a", "low"), (2, "b", None)} and len(found) == 3
+
+
+def test_a_walk_over_chunks_reads_the_lines_once(spark, tmp_path):
+    """Each kind of node and edge dealt and grouped the lines anew, and events met documents twice, so that those of a document named k times came k * k times."""
+    from textloom.operators import dossier
+    from textloom.plans import dossier as plans
+
+    d = str(tmp_path)
+    day = F.lit("1995-01-01").cast("date")
+    spark.range(20).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.lit(5.0).alias("l_quantity"), F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), day.alias("l_shipdate")).write.parquet(f"{d}/lineitem.parquet")
+    spark.range(20).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{d}/orders.parquet")
+    spark.range(20).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name")).write.parquet(f"{d}/customer.parquet")
+    for query in (plans.case_file_review, plans.contract_review):
+        assert "REPARTITION_BY_NUM" not in plan(query(spark, d))
+    assert plans.case_file_review(spark, d).count() == 39
+    nodes, edges = plans.case_graph(spark, d)
+    twice = nodes.unionByName(nodes.filter("label = 'Document'"))
+    assert dossier.timeline(twice, edges).count() == 2 * dossier.timeline(nodes, edges).count() == 26

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import graph
-from textloom.operators.graph import nodes_of, prop, step
+from textloom.operators.graph import edges_of, nodes_of, prop
 
 #: What is advised at a severity. Fixed values.
 ADVICE = {
@@ -34,16 +34,18 @@ def _roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes_of(nodes, "Party", "p"), "p_id").select("doc_id", prop("canonical_name", "p_props").alias("value"), "role")
 
 
-def _mentioned(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """Rows (doc_id, chunk_id, x_id, x_props): nodes of a label that the chunks of documents mention."""
-    rows = step(nodes_of(nodes, "Document", "doc").select("doc_id"), "doc_id", edges, "HAS_CHUNK", nodes, "Chunk", "chunk")
-    return step(rows.select("doc_id", "chunk_id"), "chunk_id", edges, "MENTIONS", nodes, label, "x").select("doc_id", "chunk_id", "x_id", "x_props")
+def _mentioned(docs: DataFrame, nodes: DataFrame, edges: DataFrame, label: str, **props: str) -> DataFrame:
+    """docs (doc_id, …) with chunk_id, x_id and properties by name: nodes of a label that their chunks mention. What is joined by chunk is joined before what is joined by document, so chunks are dealt once."""
+    found = nodes_of(nodes, label, "x").select("x_id", *(prop(p, "x_props").alias(name) for name, p in props.items()))
+    said = edges_of(edges, "MENTIONS").toDF("chunk_id", "x_id").join(found, "x_id")
+    chunks = edges_of(edges, "HAS_CHUNK").toDF("doc_id", "chunk_id").join(nodes_of(nodes, "Chunk", "c").select(F.col("c_id").alias("chunk_id")), "chunk_id")
+    return chunks.join(said, "chunk_id").join(docs, "doc_id")
 
 
 def timeline(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (dossier, doc_id, chunk_id, event_id, event_kind, event_date, deadline_date) of the events that a dossier's chunks mention."""
-    rows = _mentioned(nodes, edges, "Event").join(documents(nodes).select("dossier", "doc_id"), "doc_id")
-    return rows.select("dossier", "doc_id", "chunk_id", F.col("x_id").alias("event_id"), *(prop(p, "x_props").alias(name) for p, name in (("kind", "event_kind"), ("event_date", "event_date"), ("deadline_date", "deadline_date"))))
+    rows = _mentioned(documents(nodes).select("dossier", "doc_id"), nodes, edges, "Event", event_kind="kind", event_date="event_date", deadline_date="deadline_date")
+    return rows.select("dossier", "doc_id", "chunk_id", F.col("x_id").alias("event_id"), "event_kind", "event_date", "deadline_date")
 
 
 def parties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def parties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def contract_obligations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (doc_id, kind, text, chunk_id) of the obligations that a document's chunks mention."""
-    return _mentioned(nodes, edges, "Obligation").select("doc_id", prop("kind", "x_props").alias("kind"), prop("text_pseudo", "x_props").alias("text"), "chunk_id")
+    return _mentioned(nodes_of(nodes, "Document", "doc").select("doc_id"), nodes, edges, "Obligation", kind="kind", text="text_pseudo").select("doc_id", "kind", "text", "chunk_id")
 
 
 def contract_parties(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 from textloom.operators import dossier, graph
 from textloom.plans.retrieval import LINES_SQL, lines
 from textloom.plans.tables import table
+from textloom.storage import stash
 
 
-def case_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o, li = table(s, d, "orders"), lines(s, d)
+#: Columns of the lines that chunks and their events, or their obligations, are made of.
+EVENTS, DUTIES = ("l_returnflag", "l_linestatus", "l_shipdate"), ("l_returnflag", "l_linestatus", "l_quantity", "l_partkey")
+
+
+def case_graph(s: SparkSession, d: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges. The lines are written once with the columns to keep: a walk over chunks reads them for four kinds of nodes and edges, and would deal and group them for each. What needs other columns reads the table."""
+    o, full = table(s, d, "orders"), lines(s, d)
+    li = stash(full.select("l_orderkey", "l_linenumber", *keep), "lines") if keep else full
+    having = lambda *columns: li if {*columns} <= {*keep} else full
     doc, chunk = F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("o"), "l_orderkey", F.lit("-"), "l_linenumber")
     owner, null, none = F.concat(F.lit("o"), "l_orderkey"), F.lit(None).cast("string"), F.lit("{}")
     node = lambda df, label, key, of, props: df.select(F.lit(label).alias("label"), key.alias("id"), of.alias("doc_id"), props.alias("props"))
     edge = lambda df, a, b, kind, of, props=none: df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("type"), of.alias("doc_id"), props.alias("props"))
     kind = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))  # no type for the least
     document = F.to_json(F.struct(F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("d"), "o_custkey")).alias("dossier_id"), kind.alias("doc_type")))
-    shipped, returned = li.filter("l_linestatus = 'F'"), li.filter("l_returnflag = 'R'")
+    shipped = lambda *columns: having("l_linestatus", *columns).filter("l_linestatus = 'F'")
+    returned = lambda *columns: having("l_returnflag", *columns).filter("l_returnflag = 'R'")
     event = F.to_json(F.struct(F.col("l_returnflag").alias("kind"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("event_date"), F.when(F.col("l_linenumber") < 4, F.date_format(F.date_add("l_shipdate", 30), "yyyy-MM-dd")).alias("deadline_date")))
     duty = F.to_json(F.struct(F.when(F.col("l_quantity") > 10, F.lit("pay")).alias("kind"), F.concat(F.lit("part "), "l_partkey").alias("text_pseudo")))
     severity = F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 20, "moyen").otherwise("low")
     e, b, r, c = F.concat(F.lit("e"), chunk), F.concat(F.lit("b"), chunk), F.concat(F.lit("r"), chunk), F.concat(F.lit("c"), "o_custkey")
-    nodes = [node(o, "Document", doc, doc, document), node(li, "Chunk", chunk, owner, none), node(shipped, "Event", e, owner, event), node(returned, "Obligation", b, owner, duty), node(returned, "Risk", r, owner, F.to_json(F.struct(severity.alias("severity"))))]
+    nodes = [node(o, "Document", doc, doc, document), node(li, "Chunk", chunk, owner, none), node(shipped("l_returnflag", "l_shipdate"), "Event", e, owner, event), node(returned("l_quantity", "l_partkey"), "Obligation", b, owner, duty), node(returned("l_quantity"), "Risk", r, owner, F.to_json(F.struct(severity.alias("severity"))))]
     nodes.append(node(table(s, d, "customer"), "Party", F.concat(F.lit("c"), "c_custkey"), null, F.to_json(F.struct(F.col("c_name").alias("canonical_name")))))
     role = F.to_json(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("role")))
-    edges = [edge(o, c, doc, "PARTY_TO", doc, role), edge(li, owner, chunk, "HAS_CHUNK", owner), edge(shipped, chunk, e, "MENTIONS", owner), edge(returned, chunk, b, "MENTIONS", owner), edge(returned, owner, r, "HAS_RISK", owner)]
+    edges = [edge(o, c, doc, "PARTY_TO", doc, role), edge(li, owner, chunk, "HAS_CHUNK", owner), edge(shipped(), chunk, e, "MENTIONS", owner), edge(returned(), chunk, b, "MENTIONS", owner), edge(returned(), owner, r, "HAS_RISK", owner)]
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 
@@ -37,7 +46,7 @@ def case_file_documents(s, d):
 
 
 def procedural_timeline(s, d):
-    return dossier.timeline(*case_graph(s, d))
+    return dossier.timeline(*case_graph(s, d, keep=EVENTS))
 
 
 def case_file_parties(s, d):
@@ -45,7 +54,7 @@ def case_file_parties(s, d):
 
 
 def case_file_events(s, d):
-    return dossier.timeline(*case_graph(s, d)).select("dossier", F.col("event_kind").alias("kind"), "event_date", "chunk_id")
+    return dossier.timeline(*case_graph(s, d, keep=EVENTS)).select("dossier", F.col("event_kind").alias("kind"), "event_date", "chunk_id")
 
 
 def contract_parties(s, d):
@@ -53,15 +62,15 @@ def contract_parties(s, d):
 
 
 def contract_obligations(s, d):
-    return dossier.contract_obligations(*case_graph(s, d))
+    return dossier.contract_obligations(*case_graph(s, d, keep=DUTIES))
 
 
 def contract_review(s, d):
-    return dossier.contract_review(*case_graph(s, d))
+    return dossier.contract_review(*case_graph(s, d, keep=DUTIES))
 
 
 def case_file_review(s, d):
-    return dossier.case_file_review(*case_graph(s, d))
+    return dossier.case_file_review(*case_graph(s, d, keep=EVENTS))
 
 
 def risk_review(s, d):
@@ -69,7 +78,7 @@ def risk_review(s, d):
 
 
 def graph_intent_timeline(s, d):
-    return dossier.run_intent("procedural_timeline", *case_graph(s, d), "d7")
+    return dossier.run_intent("procedural_timeline", *case_graph(s, d, keep=EVENTS), "d7")
 
 
 def graph_delete_document(s, d):
